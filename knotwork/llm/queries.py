@@ -7,21 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import bpe
+from knotwork.llm import bpe, minhash, oracles, segments
 from knotwork.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return segments.top_k(rows, rows.filter("vec_id % 100 = 0"), k=10, scale=1024.0)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN, decoded=True))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_segment_topk": op2_segment_topk,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_minhash": op4_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_segment_topk": oracles.OP2,
+        "op4_minhash": oracles.OP4,
+    }

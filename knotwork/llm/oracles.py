@@ -47,3 +47,14 @@ ranked AS (
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+#: Types and targets by payload, straight from the pages.
+OP1 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT digest, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM original AND g.digest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest
+"""

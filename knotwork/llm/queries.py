@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import bpe, minhash, oracles, segments
-from knotwork.llm.common import table
+from knotwork.llm import anisotropic, bpe, histogram_sort, minhash, oracles, segments, warc
+from knotwork.llm.common import new_path, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.resolved(warc.read(spark, path)).withColumnRenamed("key", "page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return segments.top_k(rows, rows.filter("vec_id % 100 = 0"), k=10, scale=1024.0)
@@ -26,16 +32,29 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_sort.sharded(table(spark, sf_dir, "documents"), n_shards=40)
+
+
+def op10_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return anisotropic.nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_revisits": op1_warc_revisits,
         "op2_segment_topk": op2_segment_topk,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_minhash": op4_minhash,
+        "op5_histogram_sort": op5_histogram_sort,
+        "op10_anisotropic": op10_anisotropic,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_revisits": oracles.OP1,
         "op2_segment_topk": oracles.OP2,
         "op4_minhash": oracles.OP4,
     }

@@ -12,8 +12,10 @@ answers, so eta > 1 penalises it.  Codes are found by coordinate descent over th
 pairs, centres by least squares with the same weights.  Because u has unit length
 a tight cluster of near copies is coded as finely as any other.
 
-A query's scan adds q.c and s times the sum of its table entries, two four-bit
-codes looked up at once; of every block of rows the ``rerank`` best are scored
+A row also carries the factor that makes the coded vector's inner product with x
+itself right, so no parallel error is left for the queries closest to x.  A query's
+scan adds q.c and s times the sum of its table entries, two four-bit codes looked up
+at once, and multiplies by that factor; of every block of rows the ``rerank`` best are scored
 exactly, in doubles, and the ``k`` best of those remain.
 
 Every row is coded and scanned; only the quantiser is fitted on a sample, rows
@@ -128,13 +130,19 @@ class Quantiser:
                 self.books[m][c] = np.linalg.solve(left, extra * (want[at] @ w[at]) + parts[at, m].sum(0))
             along = want - (self.books[m][code] * w).sum(1)
 
-    def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Two four-bit codes a byte, coarse numbers and residual lengths."""
+    def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two four-bit codes a byte, coarse numbers, residual lengths and factors."""
         parts, ways, coarse, length = self._parts(x)
         codes = self._codes(parts, ways).astype(np.uint8)
+        along = (self.centres[coarse] * x).sum(1)
+        wide = self._padded(x)
+        for m in range(self.pairs):
+            along += length * (self.books[m][codes[:, m]] * wide[:, m]).sum(1)
+        norms = (x**2).sum(1)
+        factor = np.where(along > 0.5 * norms, norms / np.where(along > 0, along, 1), 1.0)
         if self.pairs % 2:
             codes = np.pad(codes, ((0, 0), (0, 1)))
-        return codes[:, ::2] << 4 | codes[:, 1::2], coarse, length
+        return codes[:, ::2] << 4 | codes[:, 1::2], coarse, length, factor
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, bytes, 256): what each byte of codes adds to the score."""
@@ -163,9 +171,9 @@ def scan(queries: list[tuple[np.ndarray, np.ndarray]], blocks: Iterator[tuple[np
         query_ids, q, best = held[x.shape[1]]
         model = fitted.get(x.shape[1])
         if model is not None:
-            packed, coarse, length = model.coded(x)
+            packed, coarse, length, factor = model.coded(x)
             columns = np.ascontiguousarray(packed.T).astype(np.intp)
-            length = length.astype(np.float32)
+            length, factor = length.astype(np.float32), factor.astype(np.float32)
             total, part = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
         for begin in range(0, len(q), TOGETHER):
             some = q[begin : begin + TOGETHER]
@@ -181,6 +189,7 @@ def scan(queries: list[tuple[np.ndarray, np.ndarray]], blocks: Iterator[tuple[np
                         np.add(total, part, out=total)
                     np.multiply(total, length, out=total)
                     np.add(total, near[i][coarse], out=total)
+                    np.multiply(total, factor, out=total)
                     places = _chosen(total, rerank + 1)
                 places = places[ids[places] != query_ids[begin + i]]
                 scores = (x[places] * some[i]).sum(1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import anisotropic, bpe, histogram_sort, minhash, oracles, segments, warc
+from knotwork.llm import anisotropic, bpe, histogram_sort, language, minhash, oracles, secret_scan, segments, warc
 from knotwork.llm.common import new_path, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,6 +36,14 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.sharded(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.counted(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
 def op10_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return anisotropic.nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
@@ -48,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_minhash": op4_minhash,
         "op5_histogram_sort": op5_histogram_sort,
+        "op6_secret_scan": op6_secret_scan,
+        "op9_language": op9_language,
         "op10_anisotropic": op10_anisotropic,
     }
 

@@ -77,3 +77,45 @@ def test_bounds_hold():
 
 def test_empty_tables(spark, tmp_path):
     assert got(queries.op2_segment_topk(spark, table(spark, tmp_path, []))) == []
+    assert got(queries.op10_anisotropic(spark, str(tmp_path))) == []
+
+
+def test_approximate_search_on_odd_rows(spark, tmp_path):
+    rows = odd_rows(4)
+    want = brute(rows, 20, 20, lambda v: [float(np.float32(c)) for c in v], lambda a, b: float((np.array(a) * np.array(b)).sum()), zeros=False)
+    found = got(queries.op10_anisotropic(spark, table(spark, tmp_path, rows)))
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    exact = {}
+    for q, _, i, s in brute(rows, 20, len(rows), lambda v: [float(np.float32(c)) for c in v], lambda a, b: float((np.array(a) * np.array(b)).sum()), zeros=False):
+        exact.setdefault((q, i), []).append(s)  # an id may repeat
+    assert all(min(abs(x - s) for x in exact[q, i]) < 1e-12 for q, _, i, s in found)
+    near = {(q, i) for q, _, i, _ in want}
+    assert len(near & {(q, i) for q, _, i, _ in found}) >= 0.95 * len(near)
+
+
+def test_recall_with_a_tight_cluster(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(9000, 32))
+    x[::3] = x[0] + 0.03 * rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), 0, 1, "r") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int, score int, rank string")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r[0], r[2]) for r in got(queries.op10_anisotropic(spark, str(tmp_path)))}
+    x = x.astype("float32").astype(float)
+    scores = x[::20] @ x.T
+    scores[np.arange(450), np.arange(0, 9000, 20)] = -9
+    near = {(i * 20, int(j)) for i, row in enumerate(scores) for j in np.argsort(-row)[:20]}
+    assert len(near & found) / len(near) >= 0.97
+
+
+def test_parallel_error_is_smaller_than_with_nearest_codes():
+    from knotwork.llm.anisotropic import Quantiser, _nearest
+
+    rng = np.random.default_rng(2)
+    model = Quantiser(rng.normal(size=(3000, 16)))
+    parts, ways, _, _ = model._parts(rng.normal(size=(500, 16)))
+    along = lambda codes: sum(((parts[:, m] - model.books[m][codes[:, m]]) * ways[:, m]).sum(1) for m in range(model.pairs))
+    plain = np.stack([_nearest(parts[:, m], model.books[m]) for m in range(model.pairs)], axis=1)
+    model_codes = model._codes(parts, ways)
+    assert model.books.shape == (8, 16, 2)
+    assert (along(model_codes) ** 2).mean() <= (along(plain) ** 2).mean() + 1e-12

@@ -5,13 +5,18 @@ document its set size, a 128-bit fingerprint of the set, the keys of its bands
 and the low four bits of 128 minima, packed.  Documents of equal sets form a
 class, of which one document stands for all.  Candidate pairs come in two steps:
 
-1. in every band bucket, the least representative against each other one;
+1. in every band bucket, one representative, its leader, against each other one;
+   buckets have one of ``LEADERS`` ways to choose it, so that a group of near
+   copies is seen from several of its members;
 2. once the links of step 1 have merged classes into components, all pairs of a
    bucket whose components still differ.  A bucket beyond a block is cut into
    blocks, and pairs of blocks are dealt out as rows of their own, so that no
-   task holds a large bucket.
+   task holds a large bucket.  Blocks are first compared by the short signatures,
+   which gives no pairs but the members that have any plausible partner; those
+   get signatures of eight times the length, and pairs plausible by these are
+   given once, in the first band that both share.
 
-In both steps a pair goes on only if the set sizes permit the similarity and the
+A pair is plausible if the set sizes permit the similarity and the
 collision-corrected estimate from counting equal low bits is within five
 standard deviations of it; it is then confirmed on the full sets.  Pairs within
 a component are not made, since they can't change it.
@@ -38,6 +43,8 @@ from knotwork.llm.shingles import blocks, mix, shingle_sets
 
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
+LONG_HASHES = 8 * HASHES
+LEADERS = 4
 WORDS_64 = HASHES * BITS // 64
 PERCENT = 75
 #: Members of a bucket that are compared with one another as one block.
@@ -45,26 +52,26 @@ BLOCK = 128
 #: Ids that a scan of the texts may be joined to by broadcast; more go by shuffle.
 BROADCAST_IDS = 2_000_000
 _RNG = np.random.Generator(np.random.PCG64(4_096))
-_XOR = _RNG.integers(0, 1 << 64, HASHES, np.uint64)
-_ODD = _RNG.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 64, LONG_HASHES, np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, LONG_HASHES, np.uint64) | np.uint64(1)
 _SEAL = _RNG.integers(0, 1 << 64, 3, np.uint64)
 
 
-def least_matches(percent: int = PERCENT) -> int:
-    """Equal low-bit minima below which a pair can't plausibly be similar enough."""
+def least_matches(hashes: int = HASHES, percent: int = PERCENT) -> int:
+    """Equal low-bit minima of so many below which a pair can't plausibly be similar enough."""
     chance = 1 / (1 << BITS)
     p = chance + (1 - chance) * percent / 100
-    return int(HASHES * p - 5 * (HASHES * p * (1 - p)) ** 0.5)
+    return int(hashes * p - 5 * (hashes * p * (1 - p)) ** 0.5)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """(len(sets), HASHES) least hash values; the sets are not empty."""
-    out = np.empty((len(sets), HASHES), np.uint64)
+def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
+    """(len(sets), hashes) least hash values; the sets are not empty."""
+    out = np.empty((len(sets), hashes), np.uint64)
     for begin, end in blocks([len(s) for s in sets], 1 << 15):
         flat = np.concatenate(sets[begin:end])
         starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[begin : end - 1]])]).astype(np.int64)
         scratch = np.empty_like(flat)
-        for k in range(HASHES):
+        for k in range(hashes):
             np.bitwise_xor(flat, _XOR[k], out=scratch)
             np.multiply(scratch, _ODD[k], out=scratch)
             out[begin:end, k] = np.minimum.reduceat(scratch, starts)
@@ -72,10 +79,10 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> np.ndarray:
-    """Low bits of the minima, WORDS_64 numbers a row."""
+    """Low bits of the minima, sixteen in each number of a row."""
     low = (values ^ (values >> np.uint64(32))) & np.uint64((1 << BITS) - 1)
     per = 64 // BITS
-    return np.bitwise_or.reduce(low.reshape(len(low), WORDS_64, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2)
+    return np.bitwise_or.reduce(low.reshape(len(low), -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -179,41 +186,149 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     usable = docs.filter("doc_id IS NOT NULL AND n > 0")
     classes = written(usable.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(usable.alias("d").join(classes.alias("c"), F.expr("d.doc_id = c.rep AND d.lo = c.lo AND d.hi = c.hi AND d.n = c.n")).select("d.*").dropDuplicates(["doc_id", "lo", "hi"]), "reps")
+    mask = F.xxhash64(F.pmod(F.col("key"), F.lit(LEADERS)))
     members = reps.select(F.explode("bands").alias("key"), "doc_id")
-    buckets = members.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last")
-    members = written(members.join(buckets.select("key", "leader"), "key"), "members")
+    buckets = members.groupBy("key").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("first"), F.max(F.col("doc_id").bitwiseXOR(mask)).alias("last")).filter("first < last")
+    members = written(members.join(buckets.select("key", F.col("first").bitwiseXOR(mask).alias("leader")), "key"), "members")
 
     signed = reps.select("doc_id", "n", *SIGNATURE)
-    stars = members.filter("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = members.filter("leader <> doc_id").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     stars = stars.join(signed.alias("x"), F.col("a") == F.col("x.doc_id")).join(signed.alias("y"), F.col("b") == F.col("y.doc_id"))
-    stars = written(stars.filter(_plausible("x", "y")).select("a", "b").distinct(), "stars")
+    stars = written(stars.filter(_plausible("x", "y")).select("a", "b").distinct(), "near")
     links = confirmed(stars, df, id_column, text_column)
     labels = components(links)
 
-    rest = _unresolved(members, labels, signed)
+    rest = _unresolved(members, labels, reps)
     if rest.isEmpty():
         return _labelled(docs, classes, labels)
-    more = confirmed(_within_buckets(rest), df, id_column, text_column)
+    more = confirmed(_within_buckets(rest, df, id_column, text_column), df, id_column, text_column)
     return _labelled(docs, classes, components(links.union(more)))
 
 
-def _unresolved(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Members, with label and signature, of the buckets that hold more than one component."""
+def _unresolved(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, doc_id, label, block, n_blocks, n, signature, bands): the members of the
+    buckets that hold more than one component."""
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     open_buckets = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter("least < most")
     open_buckets = open_buckets.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
+    signed = reps.select("doc_id", "n", F.array(*SIGNATURE).alias("signature"), "bands")
     rest = labelled.join(open_buckets, "key").join(signed, "doc_id")
     return written(rest.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), n_blocks) as int)")), "rest")
 
 
-def _within_buckets(rest: DataFrame) -> DataFrame:
-    """Plausible pairs of different components within the same bucket, block against block."""
-    left = rest.withColumn("other", F.explode(F.expr("sequence(block, n_blocks - 1)"))).alias("x")
-    right = rest.withColumn("other", F.explode(F.expr("sequence(0, block)"))).alias("y")
-    met = F.expr("x.key = y.key AND x.block = y.other AND x.other = y.block")
-    once = F.expr("x.label <> y.label AND (x.block < y.block OR x.doc_id < y.doc_id)")
-    pairs = left.join(right, met & once & _plausible("x", "y"))
-    return written(pairs.select(F.expr("least(x.doc_id, y.doc_id)").alias("a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("b")).distinct(), "pairs")
+def _dealt(rest: DataFrame) -> DataFrame:
+    """The members once for each pair of blocks that theirs is in, pairs of blocks together."""
+    rows = rest.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
+    rows = rows.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    rows = rows.select("key", "left", "right", "block", "doc_id", "label", "n", "signature", "bands")
+    return rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "doc_id")
+
+
+class _Group:
+    """The members of one pair of blocks of a bucket, and which of their pairs are plausible."""
+
+    def __init__(self, columns: dict[str, np.ndarray], at: slice):
+        self.key, self.ids, self.bands = columns["key"][at.start], columns["doc_id"][at], columns["bands"][at]
+        label, block, n, low = (columns[c][at] for c in ("label", "block", "n", "signature"))
+        crossing = columns["left"][at.start] != columns["right"][at.start]
+        x, y = [], []
+        ones = np.uint64(0x1111111111111111)
+        needed, hashes = least_matches(low.shape[1] * 64 // BITS), low.shape[1] * 64 // BITS
+        for i in range(len(self.ids) - 1):
+            j = np.arange(i + 1, len(self.ids))
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
+            if crossing:
+                j = j[block[j] != block[i]]
+            if not len(j):
+                continue
+            differ = low[j] ^ low[i]
+            differ |= differ >> np.uint64(2)
+            differ |= differ >> np.uint64(1)
+            j = j[hashes - np.bitwise_count(differ & ones).sum(1) >= needed]
+            x.append(np.full(len(j), i))
+            y.append(j)
+        none = np.zeros(0, np.int64)
+        self.x, self.y = np.concatenate([none, *x]), np.concatenate([none, *y])
+
+    def with_partner(self) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.ids[np.unique(np.concatenate([self.x, self.y]))]
+        return np.full(len(ids), self.key), ids
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The plausible pairs of which no earlier band has both."""
+        both = self.bands[self.x] == self.bands[self.y]
+        first = self.bands[self.x, both.argmax(1)] == self.key if len(self.x) else np.zeros(0, bool)
+        a, b = self.ids[self.x[first]], self.ids[self.y[first]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+
+def _over_groups(rest: DataFrame, result: str, names: list[str]) -> DataFrame:
+    """Calls ``result`` of each group; a group is a bounded pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in _then_none(batches):
+            if batch is not None:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < 2 * BLOCK + 1:
+                    continue
+            if not held:
+                continue
+            columns = _columns(pa.Table.from_batches(held).combine_chunks())
+            where = np.stack([columns[c] for c in ("key", "left", "right")])
+            cuts = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(0)) + 1
+            edges = [0, *cuts.tolist(), where.shape[1]]
+            last = edges[-2] if batch is not None else edges[-1]  # the last group may go on in the next batch
+            for begin, end in zip(edges, edges[1:], strict=False):
+                if end <= last:
+                    found = getattr(_Group(columns, slice(begin, end)), result)()
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
+            held = [b for b in pa.Table.from_batches(held).slice(last).to_batches() if b.num_rows]
+
+    return _dealt(rest).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _columns(t: pa.Table) -> dict[str, np.ndarray]:
+    out = {}
+    for name in t.column_names:
+        c = t.column(name)
+        if pa.types.is_list(c.type):
+            flat = pa.concat_arrays([x.flatten() for x in c.chunks]).to_numpy()
+            out[name] = (flat.view(np.uint64) if name == "signature" else flat).reshape(t.num_rows, -1)
+        else:
+            out[name] = c.to_numpy()
+    return out
+
+
+def _within_buckets(rest: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(a, b): plausible pairs of different components within the same bucket."""
+    promising = written(_over_groups(rest, "with_partner", ["key", "doc_id"]).distinct(), "promising")
+    ids = written(promising.select("doc_id").distinct(), "ids")
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            for begin, end in blocks([len(t) for t in texts], 1 << 21):
+                sets = shingle_sets(texts[begin:end])
+                some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+                if len(some):
+                    low = packed(minima([sets[i] for i in some], LONG_HASHES)).view(np.int64)
+                    offsets = np.arange(len(some) + 1, dtype=np.int32) * low.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(begin, end - begin).take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(low.ravel()))],
+                        ["doc_id", "n", "signature"],
+                    )
+
+    signed = written(narrowed(texts, ids, "left_semi").mapInArrow(run, "doc_id long, n long, signature array<long>"), "long")
+    rest = rest.drop("n", "signature").join(promising, ["key", "doc_id"], "left_semi").join(signed, "doc_id")
+    return written(_over_groups(rest, "pairs", ["a", "b"]).distinct(), "pairs")
 
 
 def _labelled(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import written
+from knotwork.llm.common import rows_per_batch, written
 from knotwork.llm.components import components
 from knotwork.llm.shingles import blocks, mix, shingle_sets
 
@@ -51,6 +51,8 @@ PERCENT = 75
 BLOCK = 128
 #: Ids that a scan of the texts may be joined to by broadcast; more go by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Texts, and pairs of texts, that a worker gets at once.
+TEXTS, TEXT_PAIRS = 1000, 128
 _RNG = np.random.Generator(np.random.PCG64(4_096))
 _XOR = _RNG.integers(0, 1 << 64, LONG_HASHES, np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, LONG_HASHES, np.uint64) | np.uint64(1)
@@ -177,12 +179,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: st
                 yield pa.RecordBatch.from_arrays([pa.array(a[begin:end][keep]), pa.array(b[begin:end][keep])], ["a", "b"])
 
     joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
-    return written(joined.mapInArrow(run, "a long, b long"), "links")
+    with rows_per_batch(docs.sparkSession, TEXT_PAIRS):
+        return written(joined.mapInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df``."""
-    docs = written(signatures(df, id_column, text_column), "signatures")
+    with rows_per_batch(df.sparkSession, TEXTS):
+        docs = written(signatures(df, id_column, text_column), "signatures")
     usable = docs.filter("doc_id IS NOT NULL AND n > 0")
     classes = written(usable.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(usable.alias("d").join(classes.alias("c"), F.expr("d.doc_id = c.rep AND d.lo = c.lo AND d.hi = c.hi AND d.n = c.n")).select("d.*").dropDuplicates(["doc_id", "lo", "hi"]), "reps")
@@ -326,7 +330,8 @@ def _within_buckets(rest: DataFrame, docs: DataFrame, id_column: str, text_colum
                         ["doc_id", "n", "signature"],
                     )
 
-    signed = written(narrowed(texts, ids, "left_semi").mapInArrow(run, "doc_id long, n long, signature array<long>"), "long")
+    with rows_per_batch(docs.sparkSession, TEXTS):
+        signed = written(narrowed(texts, ids, "left_semi").mapInArrow(run, "doc_id long, n long, signature array<long>"), "long")
     rest = rest.drop("n", "signature").join(promising, ["key", "doc_id"], "left_semi").join(signed, "doc_id")
     return written(_over_groups(rest, "pairs", ["a", "b"]).distinct(), "pairs")
 

@@ -10,7 +10,7 @@ sets AS (
   SELECT doc_id,
          CASE WHEN len(w) = 0 THEN []
               WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-              ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s
+              ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
   FROM words),
 sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
 shingles AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
@@ -33,14 +33,14 @@ FROM sized s JOIN (SELECT origin, min(node) AS component_id FROM reach GROUP BY
 #: Brute force over all pairs of a query and a candidate.
 OP2 = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 asked AS (SELECT vec_id, min(v) AS v FROM usable WHERE vec_id % 100 = 0 GROUP BY vec_id),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM asked q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
@@ -58,3 +58,42 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
        CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
 FROM p LEFT JOIN g ON p.digest = g.digest
 """
+
+#: Quotes by their text, parents by a scan of earlier turns, threads by recursion.
+OP7 = r"""
+WITH RECURSIVE
+m AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
+l AS (
+  SELECT conv_id, turn, unnest(string_split_regex(text, '\r\n|\n|\r')) AS line
+  FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+p AS (
+  SELECT conv_id, turn,
+         length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+[ \t]?'), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '')), '[ \t]+', ' ', 'g')) AS passage
+  FROM l),
+g AS (SELECT conv_id, turn, level, passage, count(*) AS n FROM p WHERE passage <> '' GROUP BY ALL),
+f AS (
+  SELECT q.conv_id, q.turn, q.level, q.passage, any_value(q.n) AS n, max(o.turn) AS found
+  FROM g q LEFT JOIN g o ON o.level = 0 AND o.conv_id = q.conv_id AND o.passage = q.passage AND o.turn < q.turn
+  WHERE q.level > 0 GROUP BY q.conv_id, q.turn, q.level, q.passage),
+votes AS (SELECT conv_id, turn, found, sum(n) AS n FROM f WHERE level = 1 AND found IS NOT NULL GROUP BY ALL),
+best AS (
+  SELECT conv_id, turn, found AS parent_turn FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, found DESC) = 1),
+counts AS (
+  SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS n_quoted, CAST(coalesce(sum(n) FILTER (WHERE found IS NOT NULL), 0) AS BIGINT) AS n_linked
+  FROM f GROUP BY ALL),
+walk AS (
+  SELECT conv_id, turn, parent_turn AS thread_turn, 1 AS depth FROM best
+  UNION ALL
+  SELECT w.conv_id, w.turn, b.parent_turn, w.depth + 1 FROM walk w JOIN best b ON w.conv_id = b.conv_id AND w.thread_turn = b.turn),
+roots AS (SELECT conv_id, turn, min(thread_turn) AS thread_turn, max(depth) AS depth FROM walk GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role,
+       regexp_replace(array_to_string(list_filter(string_split_regex(m.text, '\r\n|\n|\r'), lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+[ \t]?')), chr(10)), '\A[ \t\n]+|[ \t\n]+\z', '', 'g') AS body,
+       b.parent_turn, coalesce(r.thread_turn, m.turn) AS thread_turn, CAST(coalesce(r.depth, 0) AS BIGINT) AS depth,
+       coalesce(c.n_quoted, 0) AS n_quoted, coalesce(c.n_linked, 0) AS n_linked
+FROM m
+LEFT JOIN best b ON m.conv_id = b.conv_id AND m.turn = b.turn
+LEFT JOIN roots r ON m.conv_id = r.conv_id AND m.turn = r.turn
+LEFT JOIN counts c ON m.conv_id = c.conv_id AND m.turn = c.turn
+"""

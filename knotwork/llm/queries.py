@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import anisotropic, bpe, histogram_sort, language, minhash, oracles, secret_scan, segments, warc
+from knotwork.llm import anisotropic, bpe, histogram_sort, language, minhash, oracles, packing, quotes, secret_scan, segments, warc
 from knotwork.llm.common import new_path, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,6 +40,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.counted(table(spark, sf_dir, "documents"))
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.byte_tokens(table(spark, sf_dir, "documents")), "tokens")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash": op4_minhash,
         "op5_histogram_sort": op5_histogram_sort,
         "op6_secret_scan": op6_secret_scan,
+        "op7_quotes": op7_quotes,
+        "op8_best_fit": op8_best_fit,
         "op9_language": op9_language,
         "op10_anisotropic": op10_anisotropic,
     }
@@ -67,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc_revisits": oracles.OP1,
         "op2_segment_topk": oracles.OP2,
         "op4_minhash": oracles.OP4,
+        "op7_quotes": oracles.OP7,
     }

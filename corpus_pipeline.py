@@ -6,10 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from knotwork.llm import language, minhash, packing, secret_scan
 from knotwork.llm.common import table, written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or letters go; the classifier learns from the documents at hand."""
+    return language.accepted(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the document of least id stays."""
+    return minhash.without_duplicates(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    return secret_scan.redacted(docs)
+
+
+def in_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's pieces with the bins of training sequences that they fill."""
+    return packing.packed(packing.byte_tokens(docs), "tokens")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", in_a_language),
+    ("near_duplicates", one_of_each_group),
+    ("secrets", without_secrets),
+    ("packing", in_bins),
+]
+
+#: Neither the classifier nor the packing can be put in SQL.
 ORACLE_SQL = None
 
 

@@ -57,11 +57,3 @@ def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
     finally:
         spark.conf.set(name, before)
 
-
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
-    name = stem
-    while name.lower() in taken:
-        name += "_"
-    return name

@@ -165,23 +165,33 @@ def learned(df: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text
 def identified(df: DataFrame, model: Model | None, keep: list[str], text_column: str = "text") -> DataFrame:
     """Columns ``keep`` of every row with (lang_pred, score)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{i}" for i in range(len(keep))]
-    schema = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), "lang_pred string, score double"])
+    read = [*keep, *[text_column] * (text_column not in keep)]
+    names, at_text = [f"c{i}" for i in range(len(read))], read.index(text_column)
+    kept = names[: len(keep)]
+    schema = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(kept, keep, strict=True)), "lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(at_text).to_pylist()
             known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
             labels, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             for begin in range(0, len(known), ROWS):
                 at = known[begin : begin + ROWS]
                 best, share = model.predict([texts[i] for i in at])
                 labels[at], scores[at] = np.array(model.languages, object)[best], share
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(labels, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
-    out = df.select(F.col(text_column), *(F.col(c).alias(n) for n, c in zip(names, keep, strict=True))).mapInArrow(run, schema)
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "lang_pred", "score")
+    out = df.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, read, strict=True))).mapInArrow(run, schema)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(kept, keep, strict=True)), F.col("lang_pred"), F.col("score"))
+
+
+def accepted(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` that are in some language: all but those found to be ``und``."""
+    out = identified(df, learned(df), df.columns)
+    own = len(df.columns)
+    marked = out.toDF(*(f"c{i}" for i in range(own)), "lang_pred", "score").filter(F.col("lang_pred") != UNDETERMINED)
+    return marked.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
 def predicted(df: DataFrame) -> DataFrame:

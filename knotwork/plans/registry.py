@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from knotwork.plans import graph_queries, text_queries
+
+MODULES = (graph_queries, text_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for module in MODULES for name, (f, _) in module.FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, (_, sql) in module.FOUND.items() if sql is not None}

@@ -22,6 +22,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.llm.common import bounded_batches
+
 NO_RANK = np.int64(1 << 40)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -248,6 +250,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id
     The rank file is read on the driver, its size is that of a vocabulary, and
     it is broadcast once; each Python worker builds its tables once.
     """
+    bounded_batches(df.sparkSession)
     with open(rank_file, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[id_column].dataType.simpleString()
@@ -282,6 +285,7 @@ def vocabulary_of(rank_file: bytes) -> Vocabulary:
 
 def decode(df: DataFrame, rank_file: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(id, decoded binary) of rows with ids; null ids count as none."""
+    bounded_batches(df.sparkSession)
     with open(rank_file, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[id_column].dataType.simpleString()

@@ -57,3 +57,10 @@ def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
     finally:
         spark.conf.set(name, before)
 
+
+def bounded_batches(spark: SparkSession, n: int = 500) -> None:
+    """From now on the session sends Python at most ``n`` rows of text at a time: what
+    a worker and the JVM's buffers beside it hold follows from that number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= n:
+        spark.conf.set(name, str(n))

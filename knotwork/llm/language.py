@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.llm.common import bounded_batches
+
 LONGEST = 3
 #: Distinct characters told apart; number 0 is any other.
 ALPHABET = 64
@@ -164,6 +166,7 @@ def learned(df: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text
 
 def identified(df: DataFrame, model: Model | None, keep: list[str], text_column: str = "text") -> DataFrame:
     """Columns ``keep`` of every row with (lang_pred, score)."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     read = [*keep, *[text_column] * (text_column not in keep)]
     names, at_text = [f"c{i}" for i in range(len(read))], read.index(text_column)

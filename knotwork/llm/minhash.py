@@ -52,7 +52,7 @@ BLOCK = 128
 #: Ids that a scan of the texts may be joined to by broadcast; more go by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Texts, and pairs of texts, that a worker gets at once.
-TEXTS, TEXT_PAIRS = 1000, 128
+TEXTS, TEXT_PAIRS = 500, 64
 _RNG = np.random.Generator(np.random.PCG64(4_096))
 _XOR = _RNG.integers(0, 1 << 64, LONG_HASHES, np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, LONG_HASHES, np.uint64) | np.uint64(1)
@@ -107,7 +107,7 @@ def signatures(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for begin, end in blocks([len(t) for t in texts], 1 << 21):
+            for begin, end in blocks([len(t) for t in texts], 1 << 20):
                 sets = shingle_sets(texts[begin:end])
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
@@ -168,7 +168,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: st
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             sizes = [len(x or b"") + len(y or b"") for x, y in zip(left, right, strict=True)]
-            for begin, end in blocks(sizes, 1 << 21):
+            for begin, end in blocks(sizes, 1 << 20):
                 sets = shingle_sets([t or b"" for pair in zip(left[begin:end], right[begin:end], strict=True) for t in pair])
                 keep = []
                 for i in range(end - begin):
@@ -319,7 +319,7 @@ def _within_buckets(rest: DataFrame, docs: DataFrame, id_column: str, text_colum
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for begin, end in blocks([len(t) for t in texts], 1 << 21):
+            for begin, end in blocks([len(t) for t in texts], 1 << 20):
                 sets = shingle_sets(texts[begin:end])
                 some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
                 if len(some):

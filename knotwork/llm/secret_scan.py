@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knotwork.llm.common import bounded_batches
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # as AKIA[A-Z0-9]+ of 20 characters and more: a shorter run holds no longer one
@@ -151,6 +153,7 @@ def written_out(found: list[tuple[int, int, int]]) -> str:
 
 def scanned(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, spans array<struct<start, kind, end>>) of every row."""
+    bounded_batches(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
     item = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
 
@@ -192,6 +195,7 @@ def masked(text: str | None, mark: str = "[secret]") -> str | None:
 
 def redacted(df: DataFrame, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
     """All rows and columns of ``df``, secrets in the text masked and its length brought up to date."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

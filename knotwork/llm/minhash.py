@@ -48,7 +48,7 @@ LEADERS = 4
 WORDS_64 = HASHES * BITS // 64
 PERCENT = 75
 #: Members of a bucket that are compared with one another as one block.
-BLOCK = 128
+BLOCK = 512
 #: Ids that a scan of the texts may be joined to by broadcast; more go by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Texts, and pairs of texts, that a worker gets at once.

@@ -27,8 +27,10 @@ def average(total: Column, count: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """The distinct pairs of neighbouring characters."""
-    return F.when(F.char_length(text) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))))
+    """The distinct pairs of neighbouring characters; one pass over the text."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
+    pairs = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: F.concat(x, y))
+    return F.when(F.char_length(text) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs(chars)))
 
 
 def evidence_bigrams(text: Column) -> Column:
@@ -36,6 +38,11 @@ def evidence_bigrams(text: Column) -> Column:
     return F.when(F.char_length(text) == 1, F.array(F.concat(text, text))).otherwise(bigrams(text))
 
 
+def pair_codes(pairs: Column) -> Column:
+    """Pairs of characters as numbers, which compare faster: two code points of 21 bits."""
+    return F.transform(pairs, lambda p: F.ascii(F.left(p, F.lit(1))).cast("long") * 2097152 + F.ascii(F.right(p, F.lit(1))))
+
+
 def dice(a: Column, b: Column) -> Column:
     """Of two sets; of two empty ones 1."""
     total = F.size(a) + F.size(b)

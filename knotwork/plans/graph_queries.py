@@ -398,7 +398,7 @@ def leaf_graph(spark, sf_dir):
 
 @query(None)
 def communities(spark, sf_dir):
-    return community.communities(_places(spark, sf_dir))
+    return community.communities(fold.edges(tables.regional(spark, sf_dir).assertions))
 
 
 @query(W + f", w AS ({WINDOW.format(f'< {SINCE}')}) SELECT subject, label, object, CAST(1 AS INTEGER) AS distance, total / n AS weight, n AS count FROM w WHERE subject = '{CONCEPT}' OR object = '{CONCEPT}'")

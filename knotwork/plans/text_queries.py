@@ -13,8 +13,6 @@ from knotwork.sources import documents, jsonl
 from knotwork.streaming import oplog
 
 FOUND: dict[str, tuple] = {}
-QUERIES, ASKED_VECTORS = 20, 50
-
 #: Terms of a text: words, pairs of other letters, and parts of words in camel case.
 TERMS = r"""list_concat(list_concat(
   regexp_extract_all(lower({0}), '[a-z0-9]+'),
@@ -29,7 +27,7 @@ lengths AS (SELECT context, source, paragraph, lang, len(terms) AS length FROM t
 posted AS (SELECT source, paragraph, term, count(*) AS tf FROM (SELECT source, paragraph, unnest(terms) AS term FROM tokens) GROUP BY ALL),
 carriers AS (SELECT term, count(*) AS carriers FROM posted GROUP BY term),
 corpus AS (SELECT count(*) AS documents, greatest(avg(length), 1.0) AS mean FROM lengths),
-asked AS (SELECT DISTINCT query, term FROM (SELECT CAST(item_id AS VARCHAR) AS query, unnest(""" + TERMS.format("text") + r""") AS term FROM benchmark WHERE item_id < 20)),
+asked AS (SELECT DISTINCT query, term FROM (SELECT CAST(item_id AS VARCHAR) AS query, unnest(""" + TERMS.format("text") + r""") AS term FROM benchmark)),
 explained AS (
   SELECT query, term, source, paragraph, tf, carriers, ln(1 + (documents - carriers + 0.5) / (carriers + 0.5)) AS idf,
          ln(1 + (documents - carriers + 0.5) / (carriers + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean)) AS contribution
@@ -55,7 +53,7 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings, lengths and the asked terms; tokens are kept once, since both come from them."""
     tokens = staged(search.tokenized(_paragraphs(spark, sf_dir)), "tokens")
-    asked = tables.read(spark, sf_dir, "benchmark").filter(F.col("item_id") < QUERIES).select(F.col("item_id").cast("string").alias("query"), "text")
+    asked = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query"), "text")
     return search.postings(tokens), search.lengths(tokens), search.query_terms(asked)
 
 
@@ -94,14 +92,14 @@ def bm25_filtered(spark, sf_dir):
 COSINE = "round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x)))), 6)"
 VECTORS = f"""
 v AS (SELECT vec_id, 'doc:' || vec_id AS source, 0 AS paragraph, label, embedding::DOUBLE[] AS v FROM embeddings),
-sense AS (SELECT CAST(a.vec_id // {ASKED_VECTORS} AS VARCHAR) AS query, b.source, b.paragraph, {COSINE} AS score FROM v a, v b WHERE a.vec_id % {ASKED_VECTORS} = 0 AND a.vec_id < 500)
+sense AS (SELECT CAST(a.vec_id AS VARCHAR) AS query, b.source, b.paragraph, {COSINE} AS score FROM v a, v b WHERE a.vec_id IN (SELECT item_id FROM benchmark))
 """
 
 
 def _sense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.read(spark, sf_dir, "embeddings").filter((F.col("vec_id") % ASKED_VECTORS == 0) & (F.col("vec_id") < 500))
-    asked = rows.select(F.floor(F.col("vec_id") / ASKED_VECTORS).cast("string").alias("query"), F.col("embedding").alias("vector"))
-    return search.vector_scores(tables.vectors(spark, sf_dir), asked)
+    """Every benchmark item asks with the vector of its number."""
+    asked = tables.read(spark, sf_dir, "embeddings").join(tables.read(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id"))
+    return search.vector_scores(tables.vectors(spark, sf_dir), asked.select(F.col("item_id").cast("string").alias("query"), F.col("embedding").alias("vector")))
 
 
 @query("WITH " + VECTORS + f"SELECT * FROM (SELECT query, source, CAST(paragraph AS INTEGER) AS paragraph, score, {RANK.format('query')} AS rank FROM sense) WHERE rank <= 10")
@@ -186,16 +184,24 @@ def semantic_resolve(spark, sf_dir):
     return entry.semantic_resolve(rows, rows.filter("vec_id = 0")).withColumn("score", F.round("score", 6))
 
 
-@query("WITH g AS (SELECT doc_id, list_distinct(list_transform(range(1, length(text)), lambda i: text[i:i+1])) AS s FROM documents WHERE doc_id < 200), p AS (SELECT a.doc_id AS a, b.doc_id AS b, 2.0 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)) AS score FROM g a JOIN g b ON a.doc_id < b.doc_id) SELECT 'q' AS query, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, round(score, 9) AS score FROM p WHERE score >= 0.9")
+LANES = f"""lanes AS (SELECT query, 'bm25' AS lane, source AS item, {RANK.format('query')} AS rank FROM scored UNION ALL SELECT query, 'vector', source, {RANK.format('query')} FROM sense),
+best AS (SELECT query, item, lane, min(rank) AS rank FROM lanes WHERE rank <= 30 GROUP BY ALL)"""
+
+
+@query("WITH " + BM25 + ", " + VECTORS + ", " + LANES + """,
+t AS (SELECT item, unnest(list_distinct(list_transform(range(1, length(text)), lambda i: text[i:i+1]))) AS gram FROM (SELECT 'doc:' || doc_id AS item, text FROM documents)),
+n AS (SELECT item, count(*) AS n FROM t GROUP BY item),
+g AS (SELECT DISTINCT query, item FROM best),
+k AS (SELECT query, a, b, count(*) AS k FROM (SELECT x.query, x.item AS a, y.item AS b FROM g x JOIN g y ON x.query = y.query AND x.item < y.item) JOIN t p ON p.item = a JOIN t q ON q.item = b AND q.gram = p.gram GROUP BY ALL)
+SELECT query, a, b, round(2.0 * k / (na.n + nb.n), 9) AS score FROM k JOIN n na ON na.item = a JOIN n nb ON nb.item = b WHERE 2.0 * k / (na.n + nb.n) >= 0.9""")
 def near_dup_pairs(spark, sf_dir):
-    pool = tables.read(spark, sf_dir, "documents").filter("doc_id < 200").select(F.lit("q").alias("query"), "doc_id", "text")
-    pairs = evidence.near_pairs(pool.select("query", F.col("doc_id").alias("item"), "text"))
-    return pairs.select("query", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.round("score", 9).alias("score"))
+    """Within the pool of each query."""
+    texts = tables.passages(spark, sf_dir).select(F.col("source").alias("item"), "text")
+    pool = staged(_lanes(spark, sf_dir).select("query", "item").distinct().join(texts, "item"), "pool")
+    return evidence.near_pairs(pool).select("query", "a", "b", F.round("score", 9).alias("score"))
 
 
-@query("WITH " + BM25 + ", " + VECTORS + f""",
-lanes AS (SELECT query, 'bm25' AS lane, source AS item, {RANK.format('query')} AS rank FROM scored UNION ALL SELECT query, 'vector', source, {RANK.format('query')} FROM sense),
-best AS (SELECT query, item, lane, min(rank) AS rank FROM lanes WHERE rank <= 30 GROUP BY ALL)
+@query("WITH " + BM25 + ", " + VECTORS + ", " + LANES + """
 SELECT query, 'passage' AS kind, item, round(sum(1.0 / (60 + rank)), 9) AS score, list_sort(list(lane)) AS lanes FROM best GROUP BY query, item""")
 def evidence_fuse(spark, sf_dir):
     return evidence.fuse(_lanes(spark, sf_dir))
@@ -215,15 +221,17 @@ def evidence_select(spark, sf_dir):
 
 @query("WITH " + BM25 + f""",
 hits AS (SELECT query, source AS item, {RANK.format('query')} AS rank FROM scored),
-want AS (SELECT DISTINCT query, 'doc:' || doc_id AS item, quality + 1 AS relevance FROM asked, labels WHERE doc_id % 5 = CAST(query AS INTEGER) % 5 AND doc_id < 100),
+want AS (SELECT CAST(item_id AS VARCHAR) AS query, 'doc:' || doc_id AS item, quality + 1 AS relevance FROM benchmark JOIN labels ON doc_id % (SELECT count(*) FROM benchmark) = item_id),
 met AS (SELECT w.query, w.item, relevance, rank FROM want w LEFT JOIN (SELECT * FROM hits WHERE rank <= 50) h USING (query, item)),
 ideal AS (SELECT query, sum(relevance / log2(p + 1)) AS ideal FROM (SELECT query, relevance, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, item) AS p FROM want) GROUP BY query)
 SELECT query, round(count(rank) / count(*), 9) AS recall, round(coalesce(1.0 / min(rank), 0.0), 9) AS reciprocal, round(least(coalesce(sum(relevance / log2(rank + 1)) / any_value(ideal), 0.0), 1.0), 9) AS ndcg FROM met JOIN ideal USING (query) GROUP BY query""")
 def eval_metrics(spark, sf_dir):
     posted, length, asked = _index(spark, sf_dir)
     hits = search.ranked(search.scores(posted, length, asked), 50).select("query", F.col("source").alias("item"), "rank")
-    graded = tables.read(spark, sf_dir, "labels").filter("doc_id < 100")
-    want = asked.select("query").distinct().join(graded, graded["doc_id"] % 5 == F.col("query").cast("int") % 5).select("query", tables.named("doc", "doc_id").alias("item"), (F.col("quality") + 1).alias("relevance"))
+    items = tables.read(spark, sf_dir, "benchmark").select("item_id")
+    n = items.agg(F.count("*").alias("n"))
+    graded = tables.read(spark, sf_dir, "labels").crossJoin(F.broadcast(n))  # one row
+    want = graded.join(items, F.col("doc_id") % F.col("n") == F.col("item_id")).select(F.col("item_id").cast("string").alias("query"), tables.named("doc", "doc_id").alias("item"), (F.col("quality") + 1).alias("relevance"))
     out = evaluate.retrieval(hits, want, 50)
     return out.select("query", *(F.round(c, 9).alias(c) for c in ("recall", "reciprocal", "ndcg")))
 
@@ -240,12 +248,12 @@ def ratio_metric(spark, sf_dir):
     return evaluate.ratio(tables.read(spark, sf_dir, "events").withColumn("hit", F.col("value") > 20), "hit", ["event_type"])
 
 
-@query("""WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, n_chars / 100.0 AS v FROM documents WHERE doc_id < 100), r AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, n_chars / 110.0 AS v FROM documents WHERE doc_id < 100 AND doc_id % 3 <> 0)
+@query("""WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, n_chars / 100.0 AS v FROM documents), r AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, n_chars / 110.0 AS v FROM documents JOIN labels USING (doc_id))
 SELECT case_id, round(b.v, 6) AS base, round(r.v, 6) AS run, round(r.v - b.v, 6) AS delta, CASE WHEN r.v IS NULL THEN 'skipped' WHEN r.v < CASE case_id WHEN '4' THEN 1e9 ELSE 5.0 END THEN 'failed' ELSE 'passed' END AS verdict FROM b FULL OUTER JOIN r USING (case_id)""")
 def eval_compare(spark, sf_dir):
-    rows = tables.read(spark, sf_dir, "documents").filter("doc_id < 100")
+    rows = tables.read(spark, sf_dir, "documents")
     run = lambda df, by: df.select(F.col("doc_id").cast("string").alias("case_id"), (F.col("n_chars") / by).alias("recall"))
-    out = evaluate.compared(run(rows, 100.0), run(rows.filter("doc_id % 3 <> 0"), 110.0), "recall", {"4": 1e9}, 5.0)
+    out = evaluate.compared(run(rows, 100.0), run(rows.join(tables.read(spark, sf_dir, "labels"), "doc_id"), 110.0), "recall", {"4": 1e9}, 5.0)
     return out.select("case_id", *(F.round(c, 6).alias(c) for c in ("base", "run", "delta")), "verdict")
 
 
@@ -264,11 +272,11 @@ def candidate_terms(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", F.size(scalar.candidate_terms(F.col("text"), 1_000_000)).cast("long").alias("terms"))
 
 
-@query("SELECT a.p_name AS a, b.p_name AS b, round(2.0 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)), 9) AS dice, round(least(length(a.p_name), length(b.p_name)) / greatest(length(a.p_name), length(b.p_name)), 9) AS containment FROM (SELECT DISTINCT p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: p_name[i:i+1])) AS s FROM part) a, (SELECT DISTINCT p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: p_name[i:i+1])) AS s FROM part WHERE p_partkey < 5) b")
+@query("SELECT a.p_name AS a, b.p_name AS b, round(2.0 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)), 9) AS dice, round(least(length(a.p_name), length(b.p_name)) / greatest(length(a.p_name), length(b.p_name)), 9) AS containment FROM (SELECT DISTINCT p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: p_name[i:i+1])) AS s FROM part) a, (SELECT DISTINCT p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: p_name[i:i+1])) AS s FROM part) b WHERE a.p_name[1] = b.p_name[1]")
 def name_similarity(spark, sf_dir):
     names = tables.read(spark, sf_dir, "part")
-    a, b = names.select(F.col("p_name").alias("a")).distinct(), names.filter("p_partkey < 5").select(F.col("p_name").alias("b")).distinct()
-    both = a.crossJoin(F.broadcast(b))  # five names
+    a = staged(names.select(F.col("p_name").alias("a")).distinct(), "names")
+    both = a.join(a.select(F.col("a").alias("b"), F.substring("a", 1, 1).alias("first")), F.substring("a", 1, 1) == F.col("first"))
     return both.select("a", "b", F.round(scalar.dice(scalar.bigrams(F.col("a")), scalar.bigrams(F.col("b"))), 9).alias("dice"), F.round(scalar.containment(F.col("a"), F.col("b")), 9).alias("containment"))
 
 
@@ -337,11 +345,11 @@ def code_find_tiers(spark, sf_dir):
     return documents.code_find(names, "blue_ring")
 
 
-@query("SELECT 'order:' || l_orderkey AS source, 'supplier:' || l_suppkey AS subject, 'supplies' AS label, 'part:' || l_partkey AS object, sum(CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) / count(*) AS weight FROM lineitem WHERE l_orderkey < 200 GROUP BY ALL")
+@query("SELECT 'order:' || l_orderkey AS source, 'supplier:' || l_suppkey AS subject, 'supplies' AS label, 'part:' || l_partkey AS object, sum(CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) / count(*) AS weight FROM lineitem GROUP BY ALL")
 def export_import(spark, sf_dir):
     """Exported as JSON lines and read again."""
     path = new_path(spark, "export")
-    jsonl.write(jsonl.export_lines(tables.supplies(spark, sf_dir).filter(F.col("seq") < 1600).filter(F.substring_index("source", ":", -1).cast("long") < 200), "tpch"), path)
+    jsonl.write(jsonl.export_lines(tables.supplies(spark, sf_dir), "tpch"), path)
     return jsonl.associations(jsonl.parsed(jsonl.lines(spark, path))).select("source", "subject", "label", "object", "weight")
 
 

@@ -49,8 +49,10 @@ def parsed(rows: DataFrame) -> DataFrame:
 def associations(read: DataFrame) -> DataFrame:
     """Assertions of all batches, in order of file and line."""
     rows = read.filter("what = 'association'")
-    seq = F.row_number().over(Window.partitionBy("head.context").orderBy("file", "line"))
-    return rows.select(F.col("head.context").alias("context"), seq.cast("long").alias("seq"), "r.subject", "r.label", "r.object", F.coalesce("r.weight", F.lit(1.0)).alias("weight"), F.col("head.source").alias("source"), "r.paragraph")
+    files = rows.select("file").distinct().withColumn("place", F.row_number().over(Window.orderBy("file")))  # a row a file
+    rows = rows.join(files, "file")
+    seq = F.col("place").cast("long") * (1 << 32) + F.col("line")
+    return rows.select(F.col("head.context").alias("context"), seq.alias("seq"), "r.subject", "r.label", "r.object", F.coalesce("r.weight", F.lit(1.0)).alias("weight"), F.col("head.source").alias("source"), "r.paragraph")
 
 
 def passages(read: DataFrame) -> DataFrame:

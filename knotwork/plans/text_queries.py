@@ -188,16 +188,16 @@ LANES = f"""lanes AS (SELECT query, 'bm25' AS lane, source AS item, {RANK.format
 best AS (SELECT query, item, lane, min(rank) AS rank FROM lanes WHERE rank <= 30 GROUP BY ALL)"""
 
 
-@query("WITH " + BM25 + ", " + VECTORS + ", " + LANES + """,
+@query("WITH " + BM25 + ", " + VECTORS + ", " + LANES.replace("<= 30", "<= 10") + """,
 t AS (SELECT item, unnest(list_distinct(list_transform(range(1, length(text)), lambda i: text[i:i+1]))) AS gram FROM (SELECT 'doc:' || doc_id AS item, text FROM documents)),
 n AS (SELECT item, count(*) AS n FROM t GROUP BY item),
 g AS (SELECT DISTINCT query, item FROM best),
 k AS (SELECT query, a, b, count(*) AS k FROM (SELECT x.query, x.item AS a, y.item AS b FROM g x JOIN g y ON x.query = y.query AND x.item < y.item) JOIN t p ON p.item = a JOIN t q ON q.item = b AND q.gram = p.gram GROUP BY ALL)
 SELECT query, a, b, round(2.0 * k / (na.n + nb.n), 9) AS score FROM k JOIN n na ON na.item = a JOIN n nb ON nb.item = b WHERE 2.0 * k / (na.n + nb.n) >= 0.9""")
 def near_dup_pairs(spark, sf_dir):
-    """Within the pool of each query."""
+    """Within the pool of each query, ten of each lane."""
     texts = tables.passages(spark, sf_dir).select(F.col("source").alias("item"), "text")
-    pool = staged(_lanes(spark, sf_dir).select("query", "item").distinct().join(texts, "item"), "pool")
+    pool = staged(_lanes(spark, sf_dir, 10).select("query", "item").distinct().join(texts, "item"), "pool")
     return evidence.near_pairs(pool).select("query", "a", "b", F.round("score", 9).alias("score"))
 
 
@@ -207,8 +207,8 @@ def evidence_fuse(spark, sf_dir):
     return evidence.fuse(_lanes(spark, sf_dir))
 
 
-def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lane = lambda df, name: search.ranked(df, 30).select("query", F.lit(name).alias("lane"), F.lit("passage").alias("kind"), F.col("source").alias("item"), "rank")
+def _lanes(spark: SparkSession, sf_dir: str, most: int = 30) -> DataFrame:
+    lane = lambda df, name: search.ranked(df, most).select("query", F.lit(name).alias("lane"), F.lit("passage").alias("kind"), F.col("source").alias("item"), "rank")
     return lane(search.scores(*_index(spark, sf_dir)), "bm25").union(lane(_sense(spark, sf_dir), "vector"))
 
 

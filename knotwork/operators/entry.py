@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalar import bigrams, containment, cosine, normalized
+from knotwork.plans.stage import staged
 
 DICE_FLOOR, TWIN_FLOOR, CONFIDENT = 0.3, 0.6, 0.5
 SEMANTIC_FLOOR, SEMANTIC_LIMIT = 0.35, 5
@@ -62,7 +63,7 @@ def twins(spelled: DataFrame, floor: float = TWIN_FLOOR) -> DataFrame:
     Candidates come from shared pairs; those of many spellings are stop-grams, which
     bounds what any pair of characters makes.
     """
-    grams, _ = informative(spelled)
+    grams = staged(informative(spelled)[0], "grams")
     sizes = grams.groupBy("name", "spelling").agg(F.count("*").alias("size"))
     x, y = grams.alias("x"), grams.alias("y")
     both = x.join(y, F.expr("x.gram = y.gram AND x.name < y.name")).groupBy(F.col("x.name").alias("a"), F.col("x.spelling").alias("sa"), F.col("y.name").alias("b"), F.col("y.spelling").alias("sb")).agg(F.count("*").alias("both"))

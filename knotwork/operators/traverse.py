@@ -52,7 +52,7 @@ def distances(edge: DataFrame, origins: list[str], depth: int) -> DataFrame:
 def explore(edge: DataFrame, origins: list[str], depth: int) -> DataFrame:
     """(distance, path, subject, label, object, weight, count): every edge within reach
     at the hop that touches it first, with the chain to the concept that does."""
-    depth = min(depth, DEEPEST)
+    depth, edge = min(depth, DEEPEST), staged(edge, "edges")
     nodes = distances(edge, origins, depth - 1).select("concept", "distance", "path", "order")
     touched = adjacency(edge).join(nodes, F.col("src") == F.col("concept"))
     first = touched.groupBy("edge").agg(F.min(F.struct("distance", "order", "path")).alias("by"))
@@ -82,6 +82,7 @@ def activation(edge: DataFrame, origins: list[str], decay: float = DECAY) -> Dat
 def activate(edge: DataFrame, origins: list[str], decay: float = DECAY, limit: int = STRONGEST) -> DataFrame:
     """(strength, subject, label, object, weight, count, total): the edges that activation
     reaches, strongest first; ties to the one asserted first."""
+    edge = staged(edge, "edges")
     active = activation(edge, origins, decay)
     near = adjacency(edge.filter("sum <> 0"))
     reached = near.join(active, F.col("src") == F.col("concept")).groupBy("edge").agg(F.max(F.col("strength") * decay * F.abs("edge.sum")).alias("strength"))
@@ -96,7 +97,7 @@ def paths(edge: DataFrame, origins: list[str], targets: list[str], depth: int, l
 
     A trail goes on only to concepts that can still reach a target within ``depth``.
     """
-    depth = min(depth, DEEPEST)
+    depth, edge = min(depth, DEEPEST), staged(edge, "edges")
     remaining = distances(edge, targets, depth).select(F.col("concept").alias("dst"), F.col("distance").alias("left"))
     near = adjacency(edge).join(remaining, "dst")
     goal = _names(edge, targets).select(F.col("concept").alias("at"))
@@ -132,4 +133,5 @@ def component(edge: DataFrame, origins: list[str]) -> DataFrame:
 
 def unreachable_from(edge: DataFrame, origins: list[str]) -> DataFrame:
     """Edges whose subject the origins don't reach; every edge where no origin is known."""
+    edge = staged(edge, "edges")
     return edge.join(component(edge, origins).select(F.col("concept").alias("subject")), "subject", "left_anti").select(*edge.columns)

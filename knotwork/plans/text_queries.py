@@ -149,7 +149,7 @@ GRAMS = "grams AS (SELECT name, norm, unnest(list_distinct(list_transform(range(
 
 @query(f"WITH {SPELLED}, {GRAMS} SELECT a, b, round(max(2.0 * k / (na + nb)), 9) AS score FROM (SELECT x.name AS a, y.name AS b, x.norm, y.norm, count(*) AS k, any_value(sx.size) AS na, any_value(sy.size) AS nb FROM informative x JOIN informative y ON x.gram = y.gram AND x.name < y.name JOIN sizes sx ON sx.name = x.name AND sx.norm = x.norm JOIN sizes sy ON sy.name = y.name AND sy.norm = y.norm GROUP BY x.name, y.name, x.norm, y.norm) GROUP BY a, b HAVING max(2.0 * k / (na + nb)) >= 0.6")
 def lexical_twins(spark, sf_dir):
-    return entry.twins(_spelled(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    return entry.twins(staged(_spelled(spark, sf_dir), "spellings")).withColumn("score", F.round("score", 9))
 
 
 CUES = ("blue ring", "Small Ring", "tiny loop", "smal rnig", "ring")

@@ -1,5 +1,7 @@
 """Text queries against brute force on small tables."""
 
+import pytest
+
 from knotwork.plans import text_queries
 
 
@@ -28,3 +30,22 @@ def test_near_pairs_reach_over_the_whole_pool(spark, tmp_path):
     assert {("0", "doc:20", "doc:21"), ("0", "doc:26", "doc:27")} <= set(want)
     got = {(r.query, r.a, r.b): r.score for r in text_queries.near_dup_pairs(spark, path).collect()}
     assert got == want
+
+
+def parts(spark, path, names):
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{path}/part.parquet")
+
+
+def test_names_of_different_first_characters_are_compared(spark, tmp_path):
+    names = ["small ring", "ring", "blue ring", "king", "ring"]
+    parts(spark, tmp_path, names)
+    got = {(r.a, r.b): (r.dice, r.containment) for r in text_queries.name_similarity(spark, str(tmp_path)).collect()}
+    assert got == {(a, b): (round(dice(a, b), 9), round(min(len(a), len(b)) / max(len(a), len(b)), 9)) for a in names for b in names}
+    assert got["ring", "small ring"][1] == 0.4 and got["king", "ring"][0] > 0.6
+
+
+def test_too_many_names_are_refused(spark, tmp_path, monkeypatch):
+    parts(spark, tmp_path, ["a b", "c d", "e f"])
+    monkeypatch.setattr(text_queries, "NAMES", 2)
+    with pytest.raises(ValueError, match="more than 2 names"):
+        text_queries.name_similarity(spark, str(tmp_path))

@@ -7,7 +7,10 @@ as password, pwd, auth or client_secret, then ``:``, ``=`` or ``=>``) the least
 decimal logarithm of the guesses that an attacker needs is found by dynamic
 programming over segmentations into words, dates, repeats, keyboard walks and
 brute-force characters; values of at least ``STRONG`` are added.  Placeholders and
-weak words such as ``changeme2020`` cost little and add nothing.
+weak words such as ``changeme2020`` cost little and add nothing.  A quoted value goes
+up to its closing quote on the line, whatever it holds; any other one ends at the first
+character that isn't visible ASCII.  The name may follow a lower-case letter or digit if
+it begins with a capital, as in ``dbPassword``.
 
 Spans count code points, end exclusive, in whole texts.  Defined results: a null
 text counts as empty and has no spans; equal texts get equal results; a table
@@ -34,8 +37,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # as AKIA[A-Z0-9]+ of 20 characters and more: a shorter run holds no longer one
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as [0-9a-f]+ of 24 and more
 ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Groups 1 and 2 are values up to their closing quote on the line, 3 others; a name may begin inside a word in camel case.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:[A-Za-z]{1,16}[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth|bearer)["']?\x20{0,4}(?:=>|:=|[:=])\x20{0,4}["']?([!-~]+)""",
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:[A-Za-z]{1,16}[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth|bearer)["']?\x20{0,4}(?:=>|:=|[:=])\x20{0,4}"""
+    r"""(?:"((?:[^"\\\r\n]|\\[^\r\n])*+)"|'((?:[^'\\\r\n]|\\[^\r\n])*+)'|["']?([!-~]+))""",
     re.ASCII | re.IGNORECASE,
 )
 CONTEXT_STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
@@ -71,7 +76,7 @@ def _character_cost(value: str) -> float:
 
 def _segments(value: str) -> Iterator[tuple[int, int, float]]:
     """(begin, end, cost) of every segment other than a brute-force character."""
-    low, n = value.lower(), len(value)
+    low, n = "".join(c.lower()[0] for c in value), len(value)
     plain = low.translate(DISGUISES)
     for begin in range(n):
         for end in range(begin + 3, min(n, begin + _LONGEST_WORD) + 1):
@@ -135,10 +140,15 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(stem in low for stem in CONTEXT_STEMS):
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip("\"'`,;.)>]}")
-            if len(value) >= 6 and (_cost(value) if len(value) < 100 else guess_cost(value)) >= STRONG:
-                found.append((m.start(1), 3, m.start(1) + len(value)))
+        at = 0
+        while m := CONTEXT.search(text, at):
+            group = m.lastindex
+            value = m[group] if group < 3 else m[3].rstrip("\"'`,;.)>]}")
+            strong = len(value) >= 6 and (_cost(value) if len(value) < 100 else guess_cost(value)) >= STRONG
+            if strong:
+                found.append((m.start(group), 3, m.start(group) + len(value)))
+            # what looks like a weak quoted value may hold a name and its value
+            at = m.end() if strong or group == 3 else m.start(group)
         if _cost.cache_info().currsize > 50_000:
             _cost.cache_clear()
     return sorted(found)

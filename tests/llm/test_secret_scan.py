@@ -65,6 +65,19 @@ def test_weak_values_cost_little_and_random_ones_much():
     assert secret_scan.guess_cost("a1" * 50_000) < secret_scan.STRONG
 
 
+def test_whole_quoted_values_and_names_in_camel_case():
+    for value in ("tidal copper lantern moss quartz", "grün$Kx92#Lm", "!q9$Zx%81#Lk", "日本 Kx92#Lmzq", 'Kx92\\"Lm zq#81'):
+        for name in ("passphrase: ", "pwd: ", "dbPassword = ", "apiToken=>"):
+            text = f'so {name}"{value}" it is, "said"'
+            assert secret_scan.masked(text) == f'so {name}"[secret]" it is, "said"', text
+            assert [s for s in secret_scan.spans(text) if s[1] == 3] == [(len(name) + 4, 3, len(name) + 4 + len(value))]
+    assert secret_scan.spans("bypass: Xk9#qLz2!vT") == []
+    assert secret_scan.masked("pwd: 'Xk9#qLz2!vT and no end") == "pwd: '[secret] and no end"
+    assert secret_scan.masked('pwd: "Xk9#qLz2!vT\nno end"') == 'pwd: "[secret]\nno end"'
+    assert secret_scan.masked('auth: " pwd="Xk9#qLz2!vT"') == 'auth: " pwd="[secret]"'
+    assert secret_scan.spans("pwd: 'changeme2020'") == []
+
+
 def test_masking(spark):
     rows = [(1, "token = abcdef123456 end", 24), (2, "clean", 5), (3, None, None), (4, "é password=04dbebab91ab85687d33eeaa!", 36), (5, "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

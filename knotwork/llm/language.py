@@ -2,8 +2,9 @@
 
 Texts are sets of the character n-grams of length 1 to 3 that they hold; the
 blended-spectrum presence kernel of two texts counts the n-grams that both hold,
-weighted by length and normalised to 1 for equal sets.  The kernel is taken over
-the n-grams of ``LANDMARKS`` landmark texts.  Nystroem features of a text are its
+weighted by length and normalised to 1 for equal sets.  N-grams of any code points
+are hashed into a fixed space.  The kernel is taken over at most ``FEATURES`` n-grams
+of ``LANDMARKS`` landmark texts; it doesn't count others.  Nystroem features of a text are its
 kernels with the landmarks times the inverse root of the landmarks' own kernel
 matrix, and one-versus-rest kernel ridge regression on those gives each language a
 value.  Texts are scored in batches: a presence matrix times the landmark matrix
@@ -32,15 +33,17 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import bounded_batches
 
 LONGEST = 3
-#: Distinct characters told apart; number 0 is any other.
-ALPHABET = 64
+#: N-grams of each length are hashed to so many bits.
+BITS = (16, 20, 21)
 #: Codes of n-grams: those of length n start at OFFSETS[n - 1].
-OFFSETS = (0, ALPHABET, ALPHABET + ALPHABET**2)
-N_CODES = ALPHABET + ALPHABET**2 + ALPHABET**3
+OFFSETS = (0, 1 << BITS[0], (1 << BITS[0]) + (1 << BITS[1]))
+N_CODES = sum(1 << b for b in BITS)
+#: Fixed odd factors of the hash, one for each place in an n-gram.
+FACTORS = tuple(map(np.uint32, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)))
 #: What an n-gram counts by its length.
 WEIGHTS = (0.5, 1.0, 1.0)
 LANDMARKS, SAMPLE, RIDGE = 160, 2400, 1e-2
-#: N-grams of the landmarks that the kernel counts at most: those that most landmarks hold.
+#: N-grams of the landmarks that the kernel counts at most: those that most landmarks of a language hold.
 FEATURES = 16_384
 #: Texts of one presence matrix.
 ROWS = 192
@@ -55,7 +58,6 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class Model:
     languages: list[str]
-    characters: np.ndarray  # number of each code point of the basic plane
     feature_of: np.ndarray  # feature of each n-gram code, -1 for none
     weight: np.ndarray  # square root of each feature's weight
     landmarks: np.ndarray  # (features, landmarks), weighted and normalised
@@ -65,7 +67,7 @@ class Model:
         """(texts, features) weighted presence, each row of length 1 or 0."""
         out = np.zeros((len(texts), len(self.weight)), np.float32)
         for row, text in enumerate(texts):
-            codes = ngram_codes(text, self.characters)
+            codes = ngram_codes(text)
             features = self.feature_of[codes]
             out[row, features[features >= 0]] = 1
         out *= self.weight
@@ -74,32 +76,38 @@ class Model:
         return out
 
     def kernels(self, texts: list[str]) -> np.ndarray:
-        return self.presence(texts) @ self.landmarks
+        """Kernels of at most ROWS texts, filled up to ROWS rows: a product's rounding depends on its shape."""
+        rows = np.zeros((ROWS, len(self.weight)), np.float32)
+        rows[: len(texts)] = self.presence(texts)
+        return rows @ self.landmarks
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language with the largest value, and its share of exp(4 * value)."""
-        values = 4 * (self.kernels(texts) @ self.values).astype(np.float64)
+        values = 4 * (self.kernels(texts) @ self.values).astype(np.float64)[: len(texts)]
         values = np.exp(values - values.max(1, keepdims=True, initial=-np.inf))
         shares = values / values.sum(1, keepdims=True)
         best = shares.argmax(1)
         return best, shares[np.arange(len(texts)), best]
 
 
-def numbered(text: str, characters: np.ndarray) -> np.ndarray:
-    """The numbers of the lower-cased text's characters, with an `other` at both ends."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    out = np.zeros(len(points) + 2, np.int32)
-    out[1:-1] = characters[np.minimum(points, len(characters) - 1)]
-    return out
+def hashed(mixed: np.ndarray, length: int) -> np.ndarray:
+    """Codes of n-grams of one length from the sums of their code points times FACTORS."""
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * FACTORS[0]
+    mixed ^= mixed >> np.uint32(13)
+    return ((mixed * FACTORS[2]) >> np.uint32(32 - BITS[length - 1])).astype(np.int32) + np.int32(OFFSETS[length - 1])
 
 
-def ngram_codes(text: str, characters: np.ndarray) -> np.ndarray:
-    c = numbered(text, characters)
+def ngram_codes(text: str) -> np.ndarray:
+    """Codes of the lower-cased text's n-grams, with a code point 0 at both ends."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    c = np.zeros(len(points) + 2, np.uint32)
+    c[1:-1] = points
+    one = c * FACTORS[0]
     if len(c) < LONGEST:
-        return c[1:-1]
-    two = c[:-1] * ALPHABET + c[1:]
-    three = two[:-1] * ALPHABET + c[2:]
-    return np.concatenate([c[1:-1], two + OFFSETS[1], three + OFFSETS[2]])
+        return hashed(one[1:-1], 1)
+    two = one[:-1] + c[1:] * FACTORS[1]
+    three = two[:-1] + c[2:] * FACTORS[2]
+    return np.concatenate([hashed(one[1:-1], 1), hashed(two, 2), hashed(three, 3)])
 
 
 def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model | None:
@@ -109,32 +117,29 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model | None:
         return None
     labels, texts = [x for x, _ in pairs], [y for _, y in pairs]
     languages = sorted(set(labels))
-    points = np.frombuffer("".join(texts).lower().encode("utf-32-le", "replace"), np.uint32)
-    counts = np.bincount(np.minimum(points, 0xFFFF), minlength=1 << 16)
-    counts[0xFFFF] = 0
-    common = np.argsort(-counts, kind="stable")[: ALPHABET - 1]
-    characters = np.zeros(1 << 16, np.int32)
-    characters[common[counts[common] > 0]] = np.arange(1, 1 + (counts[common] > 0).sum())
-
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(x) for x in labels])
     chosen = np.concatenate([rng.permutation(np.flatnonzero(y == c))[: max(1, LANDMARKS // len(languages))] for c in range(len(languages))])
+    # the most landmarks of one language that hold it, so that no language's n-grams crowd out another's
     held = np.zeros(N_CODES, np.int64)
-    for i in chosen:
-        held[np.unique(ngram_codes(texts[i], characters))] += 1
+    for c in range(len(languages)):
+        own = np.zeros(N_CODES, np.int64)
+        for i in chosen[y[chosen] == c]:
+            own[np.unique(ngram_codes(texts[i]))] += 1
+        held = np.maximum(held, own)
     features = np.sort(np.argsort(-held, kind="stable")[:FEATURES])
     features = features[held[features] > 0]
     feature_of = np.full(N_CODES, -1, np.int32)
     feature_of[features] = np.arange(len(features))
     weight = np.sqrt(np.array(WEIGHTS, np.float32))[np.searchsorted(OFFSETS, features, "right") - 1]
-    model = Model(languages, characters, feature_of, weight, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
+    model = Model(languages, feature_of, weight, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
     model.landmarks = np.ascontiguousarray(model.presence([texts[i] for i in chosen]).T)
 
     own = (model.landmarks.T @ model.landmarks).astype(np.float64)
     among, vectors = np.linalg.eigh(own)
     kept = among > 1e-6 * among[-1]
     root = vectors[:, kept] / np.sqrt(among[kept])
-    kernels = np.concatenate([model.kernels(texts[i : i + ROWS]) for i in range(0, len(texts), ROWS)]).astype(np.float64)
+    kernels = np.concatenate([model.kernels(texts[i : i + ROWS]) for i in range(0, len(texts), ROWS)])[: len(texts)].astype(np.float64)
     z = kernels @ root
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     share = np.bincount(y, minlength=len(languages))

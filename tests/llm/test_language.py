@@ -49,6 +49,17 @@ def test_kernel_matches_brute_force():
             assert abs(got[i, j] - want) < 1e-5
 
 
+def test_scripts_with_many_letters_are_told_apart():
+    rng = random.Random(7)
+    script = lambda first, n: [chr(first + i) for i in range(n)]
+    letters = {"de": script(97, 26), "el": script(0x3B1, 17), "ru": script(0x430, 32), "zh": script(0x4E00, 300), "ko": script(0xAC00, 300), "xx": script(0x20000, 300)}
+    pairs = [(lang, t) for lang, of in letters.items() for t in sentences(rng, of, 60)]
+    model = language.fit([t for _, t in pairs[::2]], [lang for lang, _ in pairs[::2]])
+    best = [model.predict([t])[0][0] for _, t in pairs[1::2]]
+    right = [model.languages[b] == lang for b, (lang, _) in zip(best, pairs[1::2], strict=True)]
+    assert sum(right) >= 0.97 * len(right)
+
+
 def test_no_labels_and_no_rows(spark, tmp_path):
     got = queries.op9_language(spark, write(spark, tmp_path / "a", [(1, "some text", None, "s", 1, 1)])).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]

@@ -169,8 +169,8 @@ def learned(df: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text
     return fit(rows.column(1).to_pylist(), rows.column(0).to_pylist())
 
 
-def identified(df: DataFrame, model: Model | None, keep: list[str], text_column: str = "text") -> DataFrame:
-    """Columns ``keep`` of every row with (lang_pred, score)."""
+def identified(df: DataFrame, model: Model | None, keep: list[str], text_column: str = "text", unlearned: str = UNDETERMINED) -> DataFrame:
+    """Columns ``keep`` of every row with (lang_pred, score); without a model, ``unlearned`` marks texts with letters."""
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     read = [*keep, *[text_column] * (text_column not in keep)]
@@ -182,8 +182,10 @@ def identified(df: DataFrame, model: Model | None, keep: list[str], text_column:
         model = shared.value
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
-            known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+            known = [i for i, t in enumerate(texts) if has_letter(t)]
             labels, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+            if model is None:
+                labels[known], known = unlearned, []
             for begin in range(0, len(known), ROWS):
                 at = known[begin : begin + ROWS]
                 best, share = model.predict([texts[i] for i in at])
@@ -195,8 +197,8 @@ def identified(df: DataFrame, model: Model | None, keep: list[str], text_column:
 
 
 def accepted(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` that are in some language: all but those found to be ``und``."""
-    out = identified(df, learned(df), df.columns)
+    """The rows of ``df`` whose text has a letter, whatever the classifier makes of it, and where it can't learn too."""
+    out = identified(df, learned(df), df.columns, unlearned="any")
     own = len(df.columns)
     marked = out.toDF(*(f"c{i}" for i in range(own)), "lang_pred", "score").filter(F.col("lang_pred") != UNDETERMINED)
     return marked.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)))

@@ -64,3 +64,9 @@ def test_no_labels_and_no_rows(spark, tmp_path):
     got = queries.op9_language(spark, write(spark, tmp_path / "a", [(1, "some text", None, "s", 1, 1)])).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
     assert queries.op9_language(spark, write(spark, tmp_path / "b", [])).collect() == []
+
+
+def test_texts_with_letters_stay_where_no_row_is_labelled(spark):
+    rows = [(1, "some clean text", None), (2, "12 ... !", None), (3, None, None), (4, "", None), (5, "日本語", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language.accepted(df).collect()) == [1, 5]

@@ -380,9 +380,13 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 trail(node, concepts, edges, strength, length) AS (
   SELECT 'customer:1', ['customer:1'], []::BIGINT[], 'inf'::DOUBLE, 0
   UNION ALL SELECT dst, list_append(concepts, dst), list_append(edges, first_seq), least(strength, pull), length + 1 FROM trail JOIN hops ON node = src WHERE length < 4 AND NOT list_contains(concepts, dst))
-SELECT CAST(length AS INTEGER) AS length, strength, concepts, edges, count(*) OVER () AS total FROM trail WHERE length > 0 AND node IN ('customer:2', 'nation:3', 'region:1') ORDER BY length, strength DESC, concepts, edges LIMIT 10""")
+SELECT CAST(length AS INTEGER) AS length, strength, concepts, edges, count(*) OVER () AS total, false AS capped FROM trail WHERE length > 0 AND node IN ('customer:2', 'nation:3', 'region:1') ORDER BY length, strength DESC, concepts, edges LIMIT 10""")
 def paths_depth4(spark, sf_dir):
-    return traverse.paths(_places(spark, sf_dir), ["customer:1"], ["customer:2", "nation:3", "region:1"], 4)[0]
+    """``capped``: the budget of trails ran out, and longer paths are missing from rows and ``total``."""
+    out, capped = traverse.paths(_places(spark, sf_dir), ["customer:1"], ["customer:2", "nation:3", "region:1"], 4)
+    if capped and out.isEmpty():
+        raise ValueError("the budget of trails ran out before any path was found")
+    return out.withColumn("capped", F.lit(capped))
 
 
 @query(W + f""", hops AS (SELECT src, dst FROM either WHERE label <> 'supplies'), reach(c) AS (SELECT 'region:0' UNION SELECT dst FROM reach JOIN hops ON c = src)

@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import bounded_batches
+from knotwork.llm.common import sliced
 
 NO_RANK = np.int64(1 << 40)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -250,7 +250,6 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id
     The rank file is read on the driver, its size is that of a vocabulary, and
     it is broadcast once; each Python worker builds its tables once.
     """
-    bounded_batches(df.sparkSession)
     with open(rank_file, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[id_column].dataType.simpleString()
@@ -258,7 +257,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, findall = vocabulary_of(shared.value), compiled(pattern).findall
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in _blocks(texts):
                 ids, offsets = encode_texts(texts[begin:end], vocabulary, findall)
@@ -285,14 +284,13 @@ def vocabulary_of(rank_file: bytes) -> Vocabulary:
 
 def decode(df: DataFrame, rank_file: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(id, decoded binary) of rows with ids; null ids count as none."""
-    bounded_batches(df.sparkSession)
     with open(rank_file, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             lists = batch.column(1)
             lengths = np.array([0 if n is None else n for n in pa.compute.list_value_length(lists).to_pylist()], np.int64)
             data, ends = vocabulary.decode_flat(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,9 +59,9 @@ def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def bounded_batches(spark: SparkSession, n: int = 500) -> None:
-    """From now on the session sends Python at most ``n`` rows of text at a time: what
-    a worker and the JVM's buffers beside it hold follows from that number."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= n:
-        spark.conf.set(name, str(n))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches, at most ``rows`` rows each.  Spark bounds a batch by bytes; what Python
+    makes of the texts of one is bounded by this too, whatever the session's settings."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotwork.llm.common import bounded_batches
+from knotwork.llm.common import sliced
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -163,12 +163,11 @@ def written_out(found: list[tuple[int, int, int]]) -> str:
 
 def scanned(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, spans array<struct<start, kind, end>>) of every row."""
-    bounded_batches(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
     item = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in spans(text.as_py() or "")] for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(item))], ["id", "spans"])
 
@@ -205,10 +204,9 @@ def masked(text: str | None, mark: str = "[secret]") -> str | None:
 
 def redacted(df: DataFrame, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
     """All rows and columns of ``df``, secrets in the text masked and its length brought up to date."""
-    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(text_column)
             yield batch.set_column(at, batch.schema.field(at), pa.array([masked(t.as_py()) for t in batch.column(at)], batch.schema.field(at).type))
 

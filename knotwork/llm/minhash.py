@@ -2,8 +2,8 @@
 
 Documents are sets of five-word shingles.  One pass over the texts gives each
 document its set size, a 128-bit fingerprint of the set, the keys of its bands
-and the low four bits of 128 minima, packed.  Documents of equal sets form a
-class, of which one document stands for all.  Candidate pairs come in two steps:
+and the low four bits of 192 minima, packed.  Documents of equal sets form a
+class, a node of the graph, for which one text stands.  Candidate pairs come in two steps:
 
 1. in every band bucket, one representative, its leader, against each other one;
    buckets have one of ``LEADERS`` ways to choose it, so that a group of near
@@ -17,15 +17,21 @@ class, of which one document stands for all.  Candidate pairs come in two steps:
    given once, in the first band that both share.
 
 A pair is plausible if the set sizes permit the similarity and the
-collision-corrected estimate from counting equal low bits is within five
+collision-corrected estimate from counting equal low bits is within six
 standard deviations of it; it is then confirmed on the full sets.  Pairs within
 a component are not made, since they can't change it.
 
+A pair of sets at exactly 75 percent shares no band with a probability of 1.2e-8
+(0.6836 to the 48th power) and falls below the estimate's bound with one of 1e-9.
+
 Defined results: a null or blank text has an empty set, links with nothing and is
-kept; equal sets link whatever their size; rows that repeat a doc_id count as one
-document for links and are all returned; a null doc_id links with nothing, has
-no component and is kept; a table without rows gives none.  Columns other than
-the two named are not read.
+kept; equal sets link whatever their size; rows that repeat a doc_id, with the same
+text or another, count as one document with the links of all its texts, and are all
+returned with one component; a null doc_id links with nothing, has no component and
+is kept; a table without rows gives none.  Columns other than the two named are not
+read.  ``without_duplicates`` goes by texts, so that none is lost by an id that two
+texts share: of all rows whose texts link one stays, that of the least id, of which
+rows that repeat id and text count once.
 """
 
 from __future__ import annotations
@@ -41,7 +47,7 @@ from knotwork.llm.common import rows_per_batch, written
 from knotwork.llm.components import components
 from knotwork.llm.shingles import blocks, mix, shingle_sets
 
-BANDS, ROWS, BITS = 32, 4, 4
+BANDS, ROWS, BITS = 48, 4, 4
 HASHES = BANDS * ROWS
 LONG_HASHES = 8 * HASHES
 LEADERS = 4
@@ -49,7 +55,7 @@ WORDS_64 = HASHES * BITS // 64
 PERCENT = 75
 #: Members of a bucket that are compared with one another as one block.
 BLOCK = 512
-#: Ids that a scan of the texts may be joined to by broadcast; more go by shuffle.
+#: Keys that a scan of the texts may be joined to by broadcast; more go by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Texts, and pairs of texts, that a worker gets at once.
 TEXTS, TEXT_PAIRS = 500, 64
@@ -63,7 +69,7 @@ def least_matches(hashes: int = HASHES, percent: int = PERCENT) -> int:
     """Equal low-bit minima of so many below which a pair can't plausibly be similar enough."""
     chance = 1 / (1 << BITS)
     p = chance + (1 - chance) * percent / 100
-    return int(hashes * p - 5 * (hashes * p * (1 - p)) ** 0.5)
+    return int(hashes * p - 6 * (hashes * p * (1 - p)) ** 0.5)
 
 
 def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
@@ -100,13 +106,18 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 SIGNATURE = [f"s{i}" for i in range(WORDS_64)]
 
 
+def row_key(id_column: str, text_column: str) -> Column:
+    """What names a row by its id and text."""
+    return F.xxhash64(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
+
+
 def signatures(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n, lo, hi, s0.., bands): set size, fingerprint, packed low bits and band keys."""
-    schema = "doc_id long, n long, lo long, hi long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", bands array<long>"
+    """(doc_id, row_key, n, lo, hi, s0.., bands): set size, fingerprint, packed low bits and band keys."""
+    schema = "doc_id long, row_key long, n long, lo long, hi long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            texts = [t or b"" for t in batch.column(2).to_pylist()]
             for begin, end in blocks([len(t) for t in texts], 1 << 20):
                 sets = shingle_sets(texts[begin:end])
                 n = np.array([len(s) for s in sets], np.int64)
@@ -122,16 +133,16 @@ def signatures(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 offsets = np.concatenate([[0], np.cumsum((n > 0) * BANDS)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(begin, end - begin),
+                        *(batch.column(i).slice(begin, end - begin) for i in range(2)),
                         pa.array(n),
                         *(pa.array(x.view(np.int64)) for x in seals),
                         *(pa.array(np.ascontiguousarray(low[:, j]).view(np.int64)) for j in range(WORDS_64)),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    ["doc_id", "n", "lo", "hi", *SIGNATURE, "bands"],
+                    ["doc_id", "row_key", "n", "lo", "hi", *SIGNATURE, "bands"],
                 )
 
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column).cast("long").alias("doc_id"), row_key(id_column, text_column).alias("row_key"), F.col(text_column).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def matches(a: str, b: str) -> Column:
@@ -150,18 +161,26 @@ def _plausible(a: str, b: str) -> Column:
     return sizes & (matches(a, b) >= least_matches())
 
 
-def narrowed(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``df`` joined by ``how`` to a table of doc_ids: by broadcast where they are
-    few by count, else by shuffle."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+def narrowed(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """``df`` joined by ``how`` to a table of keys: by broadcast where they are few by
+    count, else by shuffle."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, how)
+
 
+def texts_of(nodes: DataFrame, reps: DataFrame, df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(node, text binary), one row for each of the nodes."""
+    keys = written(reps.join(nodes, "node", "left_semi").select("row_key", "node"), "keys")
+    texts = df.select(row_key(id_column, text_column).alias("row_key"), F.col(text_column).cast("binary").alias("text"))
+    return narrowed(texts, keys, "row_key", "inner").select("node", "text")
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    texts = written(narrowed(texts, ids, "left_semi"), "texts")
-    sides = [texts.select(F.col("doc_id").alias(x), F.col("text").cast("binary").alias(f"text_{x}")) for x in "ab"]
+
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = written(texts_of(nodes, reps, docs, id_column, text_column), "texts")
+    if texts.count() > texts.select("node").distinct().count():
+        texts = written(texts.dropDuplicates(["node"]), "texts")  # rows that repeat id and text
+    sides = [texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,56 +202,81 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: st
         return written(joined.mapInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``df``."""
+def _linked(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The signatures of all rows; classes (lo, hi, n, rep, node) of equal sets, rep the
+    least id; rows (doc_id, row_key, node) of a class; and confirmed links (a, b) of
+    nodes, enough of them for all components."""
     with rows_per_batch(df.sparkSession, TEXTS):
         docs = written(signatures(df, id_column, text_column), "signatures")
     usable = docs.filter("doc_id IS NOT NULL AND n > 0")
-    classes = written(usable.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(usable.alias("d").join(classes.alias("c"), F.expr("d.doc_id = c.rep AND d.lo = c.lo AND d.hi = c.hi AND d.n = c.n")).select("d.*").dropDuplicates(["doc_id", "lo", "hi"]), "reps")
+    classes = usable.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    assigned = written(usable.select("doc_id", "row_key", "lo", "hi", "n").join(classes, ["lo", "hi", "n"]).select("doc_id", "row_key", "node"), "assigned")
+    reps = usable.alias("d").join(classes.alias("c"), F.expr("d.doc_id = c.rep AND d.lo = c.lo AND d.hi = c.hi AND d.n = c.n"))
+    reps = written(reps.select("c.node", "d.row_key", "d.n", *SIGNATURE, "bands").dropDuplicates(["node"]), "reps")
     mask = F.xxhash64(F.pmod(F.col("key"), F.lit(LEADERS)))
-    members = reps.select(F.explode("bands").alias("key"), "doc_id")
-    buckets = members.groupBy("key").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("first"), F.max(F.col("doc_id").bitwiseXOR(mask)).alias("last")).filter("first < last")
+    members = reps.select(F.explode("bands").alias("key"), "node")
+    buckets = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("first"), F.max(F.col("node").bitwiseXOR(mask)).alias("last")).filter("first < last")
     members = written(members.join(buckets.select("key", F.col("first").bitwiseXOR(mask).alias("leader")), "key"), "members")
 
-    signed = reps.select("doc_id", "n", *SIGNATURE)
-    stars = members.filter("leader <> doc_id").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
-    stars = stars.join(signed.alias("x"), F.col("a") == F.col("x.doc_id")).join(signed.alias("y"), F.col("b") == F.col("y.doc_id"))
-    stars = written(stars.filter(_plausible("x", "y")).select("a", "b").distinct(), "near")
-    links = confirmed(stars, df, id_column, text_column)
+    signed = reps.select("node", "n", *SIGNATURE)
+    stars = members.filter("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    stars = stars.join(signed.alias("x"), F.col("a") == F.col("x.node")).join(signed.alias("y"), F.col("b") == F.col("y.node"))
+    # nothing after the joins needs their partitioning, so that a leader of many members is split
+    stars = written(stars.filter(_plausible("x", "y")).select("a", "b"), "near")
+    links = confirmed(stars, reps, df, id_column, text_column)
+
+    rest = _unresolved(members, components(links), reps)
+    if not rest.isEmpty():
+        links = links.union(confirmed(_within_buckets(rest, reps, df, id_column, text_column), reps, df, id_column, text_column))
+    return docs, classes, assigned, links
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with ``root``, one node for each component."""
     labels = components(links)
+    return nodes.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node")).drop("label")
+
 
-    rest = _unresolved(members, labels, reps)
-    if rest.isEmpty():
-        return _labelled(docs, classes, labels)
-    more = confirmed(_within_buckets(rest, df, id_column, text_column), df, id_column, text_column)
-    return _labelled(docs, classes, components(links.union(more)))
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``df``."""
+    docs, classes, assigned, links = _linked(df, id_column, text_column)
+    several = assigned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc_id", "a")
+    same = written(assigned.join(several, "doc_id").filter("node > a").select("a", F.col("node").alias("b")).distinct(), "same")
+    rooted = _rooted(classes, links if same.isEmpty() else links.union(same))
+    named = written(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("lo", "hi", "n", "node", "component_id"), "named")
+
+    full = docs.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "lo", "hi").join(named, ["lo", "hi", "n"]).select("doc_id", "n", "component_id")
+    blank = docs.filter("doc_id IS NULL OR n = 0").select("doc_id", "n")
+    known = assigned.join(blank.select("doc_id").distinct(), "doc_id", "left_semi").join(named, "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    blank = blank.join(known, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return full.union(blank).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _unresolved(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, doc_id, label, block, n_blocks, n, signature, bands): the members of the
+    """(key, node, label, block, n_blocks, n, signature, bands): the members of the
     buckets that hold more than one component."""
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_buckets = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter("least < most")
     open_buckets = open_buckets.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
-    signed = reps.select("doc_id", "n", F.array(*SIGNATURE).alias("signature"), "bands")
-    rest = labelled.join(open_buckets, "key").join(signed, "doc_id")
-    return written(rest.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), n_blocks) as int)")), "rest")
+    signed = reps.select("node", "n", F.array(*SIGNATURE).alias("signature"), "bands")
+    rest = labelled.join(open_buckets, "key").join(signed, "node")
+    return written(rest.withColumn("block", F.expr("cast(pmod(xxhash64(node), n_blocks) as int)")), "rest")
 
 
 def _dealt(rest: DataFrame) -> DataFrame:
     """The members once for each pair of blocks that theirs is in, pairs of blocks together."""
     rows = rest.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
     rows = rows.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    rows = rows.select("key", "left", "right", "block", "doc_id", "label", "n", "signature", "bands")
-    return rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "doc_id")
+    rows = rows.select("key", "left", "right", "block", "node", "label", "n", "signature", "bands")
+    return rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
 
 
 class _Group:
     """The members of one pair of blocks of a bucket, and which of their pairs are plausible."""
 
     def __init__(self, columns: dict[str, np.ndarray], at: slice):
-        self.key, self.ids, self.bands = columns["key"][at.start], columns["doc_id"][at], columns["bands"][at]
+        self.key, self.ids, self.bands = columns["key"][at.start], columns["node"][at], columns["bands"][at]
         label, block, n, low = (columns[c][at] for c in ("label", "block", "n", "signature"))
         crossing = columns["left"][at.start] != columns["right"][at.start]
         x, y = [], []
@@ -310,40 +354,40 @@ def _columns(t: pa.Table) -> dict[str, np.ndarray]:
     return out
 
 
-def _within_buckets(rest: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _within_buckets(rest: DataFrame, reps: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(a, b): plausible pairs of different components within the same bucket."""
-    promising = written(_over_groups(rest, "with_partner", ["key", "doc_id"]).distinct(), "promising")
-    ids = written(promising.select("doc_id").distinct(), "ids")
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
+    promising = written(_over_groups(rest, "with_partner", ["key", "node"]).distinct(), "promising")
+    texts = texts_of(promising.select("node").distinct(), reps, docs, id_column, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for begin, end in blocks([len(t) for t in texts], 1 << 20):
                 sets = shingle_sets(texts[begin:end])
-                some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-                if len(some):
-                    low = packed(minima([sets[i] for i in some], LONG_HASHES)).view(np.int64)
-                    offsets = np.arange(len(some) + 1, dtype=np.int32) * low.shape[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(begin, end - begin).take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(low.ravel()))],
-                        ["doc_id", "n", "signature"],
-                    )
+                low = packed(minima(sets, LONG_HASHES)).view(np.int64)
+                offsets = np.arange(end - begin + 1, dtype=np.int32) * low.shape[1]
+                columns = [batch.column(0).slice(begin, end - begin), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(low.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "signature"])
 
     with rows_per_batch(docs.sparkSession, TEXTS):
-        signed = written(narrowed(texts, ids, "left_semi").mapInArrow(run, "doc_id long, n long, signature array<long>"), "long")
-    rest = rest.drop("n", "signature").join(promising, ["key", "doc_id"], "left_semi").join(signed, "doc_id")
+        signed = written(texts.mapInArrow(run, "node long, n long, signature array<long>"), "long")
+    rest = rest.drop("n", "signature").join(promising, ["key", "node"], "left_semi").join(signed.dropDuplicates(["node"]), "node")
     return written(_over_groups(rest, "pairs", ["a", "b"]).distinct(), "pairs")
 
 
-def _labelled(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("lo", "hi", F.col("n").alias("size"), F.coalesce("label", "rep").alias("label"))
-    out = docs.select("doc_id", "n", "lo", "hi").alias("d").join(named.alias("c"), F.expr("d.lo = c.lo AND d.hi = c.hi AND d.n = c.size AND d.doc_id IS NOT NULL"), "left")
-    component = F.coalesce("c.label", "d.doc_id")
-    return out.select("d.doc_id", F.col("d.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("d.doc_id") == component, F.lit(True)).alias("kept"))
-
-
 def without_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``df`` that are kept: one document of each component."""
-    dropped = written(near_duplicates(df, id_column, text_column).filter("NOT kept").select("doc_id").distinct(), "dropped")
-    return narrowed(df, dropped.withColumnRenamed("doc_id", id_column), "left_anti") if id_column == "doc_id" else df.join(dropped, df[id_column] == dropped["doc_id"], "left_anti")
+    """The rows of ``df`` that stay: of those whose texts link, one."""
+    _, classes, assigned, links = _linked(df, id_column, text_column)
+    rooted = _rooted(classes.select("node", "rep"), links)
+    rooted = written(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "root", "first"), "roots")
+    rows = assigned.join(rooted, "node")
+    best = rows.filter("doc_id = first").groupBy("root").agg(F.min("row_key").alias("best"))
+    judged = written(rows.join(best, "root").groupBy("row_key").agg(F.max(F.col("row_key") == F.col("best")).alias("stays"), F.count("*").alias("times")), "judged")
+    key = "_row_key"
+    while key in df.columns:
+        key += "_"
+    out = narrowed(df.withColumn(key, row_key(id_column, text_column)), judged.filter("NOT stays").select(F.col("row_key").alias(key)), key, "left_anti")
+    many = judged.filter("stays AND times > 1").select(F.col("row_key").alias(key))
+    if not many.isEmpty():
+        out = narrowed(out, many, key, "left_anti").union(narrowed(out, many, key, "left_semi").dropDuplicates([key]))
+    return out.drop(key)

@@ -74,6 +74,27 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_an_id_with_several_texts(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "z y x w v u t"
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (7, None), (9, c), (9, c), (None, c), (10, c + " s"), (11, "")]
+    assert run(spark, rows) == brute(rows)
+    assert {r[2] for r in run(spark, rows) if r[0] in "357"} == {3}
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _row_key int")
+    got = sorted(((r[0], r[1]) for r in minhash.without_duplicates(df).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (7, ""), (7, None), (9, c), (None, c), (11, "")], key=str)  # no text is lost
+
+
+def test_random_ids_with_several_texts(spark):
+    rng = random.Random(8)
+    rows = [(d if rng.random() < 0.7 else rng.randrange(30), t) for d, t in corpus(21, 8)]
+    assert run(spark, rows) == brute(rows)
+    texts = {d: t for d, t in enumerate(dict.fromkeys(t for _, t in rows if t and t.strip()))}
+    of = {t: c for d, t in texts.items() for d2, _, c, _ in brute(list(texts.items())) if d2 == str(d)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.text for r in minhash.without_duplicates(df).collect() if r.text and r.text.strip()]
+    assert sorted(of[t] for t in kept) == sorted(set(of.values()))  # one text of each component
+
+
 def test_low_bit_estimate_counts_equal_minima(spark):
     sets = shingles.shingle_sets([b"a b c d e f g h", b"a b c d e f g i", b"q"])
     low = minhash.packed(minhash.minima(sets)).view("int64")

@@ -44,6 +44,6 @@ def test_nulls_repeats_extra_columns_and_no_rows(spark, tmp_path):
     rows = rows_of([(1, "some words of text"), (1, "some words of text"), (None, "a text without id"), (3, None), (4, "")])
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], COLUMNS + ", lang_pred string, score int")
     df.write.parquet(f"{tmp_path}/a/documents.parquet")
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect()) == ["1", "1", "None"]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect()) == ["1", "None"]
     documents(spark, tmp_path / "b", [])
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []

@@ -1,10 +1,14 @@
 """Byte-level BPE encoding and decoding over padded numpy matrices.
 
-The distinct pieces of a block of texts are grouped into length buckets and laid
-out as padded matrices of symbol ids, one piece a row.  In each round every row
-merges its leftmost pair of least rank; ranks come from an open-addressing hash
-table over symbol pairs, rows are closed up after a merge, and rows without a
-merge left leave the matrix.
+The pieces that a worker hasn't met are grouped into length buckets, powers of two,
+and laid out as padded matrices of symbol ids, one piece a row.  In each round every
+row merges its leftmost pair of least rank; ranks come from an open-addressing hash
+table over symbol pairs, rows are closed up after a merge, and rows without a merge
+left leave the matrix.  In the matrices of pieces over ``NARROW`` bytes a row merges
+all its pairs of least rank in a round, as long as no pair that comes up on the way
+could go before the next of them: there merging them together and one after the other
+is the same.  So a round serves many merges, and long runs don't cost the square of
+their length.  Matrices are bounded by cells.
 
 Defined results: a null text counts as empty; an empty text has no ids and
 decodes to no bytes; equal texts get equal ids; a table without rows gives none;
@@ -14,6 +18,7 @@ columns other than the two named are not read, whatever their names.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +32,8 @@ from knotwork.llm.common import sliced
 NO_RANK = np.int64(1 << 40)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: Upper piece lengths of the matrix buckets, in bytes; longer pieces are merged one by one.
-BUCKETS = (4, 8, 16, 32, 64)
+#: Bytes of pieces whose rows merge one pair in a round; cells of a matrix; bytes of pieces that a worker remembers.
+NARROW, CELLS, REMEMBERED = 64, 1 << 20, 1 << 25
 #: Characters of text that are tokenised together.
 BLOCK_CHARS = 8_000_000
 
@@ -108,15 +113,14 @@ class Vocabulary:
         whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
         rows = np.flatnonzero(whole >= 0)
         done.append((rows, whole[rows][:, None], np.ones(len(rows), np.int64)))
-        low = 0
-        for high in BUCKETS:
-            rows = np.flatnonzero((whole < 0) & (lengths > low) & (lengths <= high))
-            low = high
-            if len(rows):
-                done.append((rows, *self._merge_rows([pieces[i] for i in rows], lengths[rows], high)))
-        for row in np.flatnonzero((whole < 0) & (lengths > low)):
-            ids = self._merge_long(self.bytes_of[np.frombuffer(pieces[row], np.uint8)])
-            done.append((np.array([row]), ids[None, :], np.array([len(ids)])))
+        width = np.left_shift(4, np.maximum(0, np.ceil(np.log2(np.maximum(lengths, 1))) - 2).astype(np.int64))
+        width[whole >= 0] = 0
+        for w in np.unique(width[width > 0]):
+            rows, most = np.flatnonzero(width == w), max(1, CELLS // int(w))
+            merge = self._merge_rows if w <= NARROW else self._merge_wide
+            for begin in range(0, len(rows), most):
+                some = rows[begin : begin + most]
+                done.append((some, *merge([pieces[i] for i in some], lengths[some], int(w))))
         for rows, _, n in done:
             counts[rows] = n
         offsets = np.concatenate([[0], np.cumsum(counts)])
@@ -159,34 +163,53 @@ class Vocabulary:
             ranks[inner, at[inner] - 1] = self.pairs.find(symbols[inner, at[inner] - 1], best[inner])
         return out, counts
 
-    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """As ``_merge_rows`` for one piece, but equal pairs merge together where
-        that can't differ from merging them one after the other."""
-        ranks = self.pairs.find(ids[:-1], ids[1:])
-        while len(ranks) and (best := ranks.min()) < NO_RANK:
-            at = np.flatnonzero(ranks == best)
-            opens = np.concatenate([[True], np.diff(at) != 1])
-            run = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
-            if len(at) > 1:
-                right = at + 2
-                right = right[right < len(ids)]
-                seen = self.pairs.find(np.full(len(right), best), ids[right])
-                merged, seam = self._merged(ids, at, best)
-                seen = np.concatenate([seen, self.pairs.find(merged[seam[seam > 0] - 1], merged[seam[seam > 0]])])
-                if len(seen) and seen.min() <= best:
-                    merged, _ = self._merged(ids, at[:1], best)
-            else:
-                merged, _ = self._merged(ids, at, best)
-            ids = merged
-            ranks = self.pairs.find(ids[:-1], ids[1:])
-        return ids
-
-    @staticmethod
-    def _merged(ids: np.ndarray, at: np.ndarray, symbol: np.int64) -> tuple[np.ndarray, np.ndarray]:
-        out, keep = ids.copy(), np.ones(len(ids), bool)
-        out[at], keep[at + 1] = symbol, False
-        return out[keep], at - np.arange(len(at))
+    def _merge_wide(self, pieces: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_merge_rows``, but a row merges all its pairs of least rank that can't get in each other's way."""
+        out = np.full((len(pieces), width), -1, np.int64)
+        symbols = np.full((len(pieces), width + 2), -1, np.int64)  # two more, so that every place has two to its right
+        symbols[:, :width][np.arange(width) < lengths[:, None]] = self.bytes_of[np.frombuffer(b"".join(pieces), np.uint8)]
+        counts, held, active = lengths.copy(), lengths.copy(), np.arange(len(pieces))
+        ranks = np.full(symbols.shape, NO_RANK, np.int64)
+        ranks[:, :-1] = self.pairs.find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(pieces), -1)
+        while True:
+            best = ranks.min(1)
+            going = best < NO_RANK
+            if not going.all():
+                rows = active[~going]
+                out[rows, : min(width, symbols.shape[1])], counts[rows] = symbols[~going][:, :width], held[~going]
+                active, symbols, ranks, best, held = active[going], symbols[going], ranks[going], best[going], held[going]
+                if not len(active):
+                    return out, counts
+            columns = np.arange(symbols.shape[1])
+            hit = ranks == best[:, None]
+            opens = hit.copy()
+            opens[:, 1:] &= ~hit[:, :-1]
+            hit &= (columns - np.maximum.accumulate(np.where(opens, columns, -1), axis=1)) % 2 == 0  # of a run every second one
+            row, at = np.nonzero(hit)
+            after = self.pairs.find(best[row], symbols[row, at + 2])
+            before = np.where(at > 0, symbols[row, at - 1], -1)
+            before[(at > 1) & hit[row, at - 2]] = best[row][(at > 1) & hit[row, at - 2]]
+            before = self.pairs.find(before, best[row])
+            risky = np.zeros(len(active), bool)
+            risky[row[np.minimum(before, after) <= best[row]]] = True
+            if risky.any():
+                first = hit[risky].argmax(1)
+                hit[risky] = columns == first[:, None]
+                row, at = np.nonzero(hit)
+            symbols[row, at] = best[row]
+            keep = columns < held[:, None]
+            keep[row, at + 1] = False
+            held -= hit.sum(1)
+            place = keep.cumsum(1) - 1
+            old_row, old = np.nonzero(keep)
+            new = place[old_row, old]
+            size = int(held.max()) + 2
+            closed, closed_ranks = np.full((len(active), size), -1, np.int64), np.full((len(active), size), NO_RANK, np.int64)
+            closed[old_row, new], closed_ranks[old_row, new] = symbols[old_row, old], ranks[old_row, old]
+            symbols, ranks, at = closed, closed_ranks, place[row, at]
+            ranks[row, at] = self.pairs.find(symbols[row, at], symbols[row, at + 1])
+            row, at = row[at > 0], at[at > 0]
+            ranks[row, at - 1] = self.pairs.find(symbols[row, at - 1], symbols[row, at])
 
     def decode_flat(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids and the offsets of each text in them."""
@@ -211,19 +234,42 @@ class _Numbers(dict):
         return number
 
 
+class Encoder:
+    """A vocabulary, and the ids of the pieces that it has met, up to a bound of their bytes."""
+
+    def __init__(self, vocabulary: Vocabulary, findall):
+        self.vocabulary, self.findall = vocabulary, findall
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.bytes = _Numbers(), 0
+        self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and the offsets of each."""
+        if self.bytes > REMEMBERED:
+            self._forget()
+        known = len(self.numbers)
+        pieces, per_text = [], np.zeros(len(texts) + 1, np.int64)
+        for i, text in enumerate(texts):
+            found = np.fromiter(map(self.numbers.__getitem__, self.findall(text)), np.int64)
+            per_text[i + 1] = len(found)
+            pieces.append(found)
+        if len(self.numbers) > known:
+            new = [w.encode() for w in itertools.islice(self.numbers, known, None)]
+            flat, offsets = self.vocabulary.encode_pieces(new)
+            self.bytes += sum(map(len, new))
+            self.offsets = np.concatenate([self.offsets, offsets[1:] + len(self.flat)])
+            self.flat = np.concatenate([self.flat, flat])
+        used = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+        starts, lengths = self.offsets[used], self.offsets[used + 1] - self.offsets[used]
+        ids = self.flat[ragged(starts, lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, ends[np.cumsum(per_text)]
+
+
 def encode_texts(texts: list[str], vocabulary: Vocabulary, findall) -> tuple[np.ndarray, np.ndarray]:
-    numbers = _Numbers()
-    pieces, per_text = [], np.zeros(len(texts) + 1, np.int64)
-    for i, text in enumerate(texts):
-        found = np.fromiter(map(numbers.__getitem__, findall(text)), np.int64)
-        per_text[i + 1] = len(found)
-        pieces.append(found)
-    flat, offsets = vocabulary.encode_pieces([w.encode() for w in numbers])
-    used = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
-    lengths = offsets[used + 1] - offsets[used]
-    ids = flat[ragged(offsets[used], lengths)]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    return ids, ends[np.cumsum(per_text)]
+    return Encoder(vocabulary, findall).encode(texts)
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -256,11 +302,12 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id
     out = f"`{id_column}` {kind}, ids array<int>" + (", decoded binary" if decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, findall = vocabulary_of(shared.value), compiled(pattern).findall
+        vocabulary = vocabulary_of(shared.value)
+        encoder = encoder_of(vocabulary, pattern)
         for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in _blocks(texts):
-                ids, offsets = encode_texts(texts[begin:end], vocabulary, findall)
+                ids, offsets = encoder.encode(texts[begin:end])
                 columns = [batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded:
                     data, ends = vocabulary.decode_flat(ids, offsets)
@@ -282,6 +329,16 @@ def vocabulary_of(rank_file: bytes) -> Vocabulary:
     return _VOCABULARIES[key]
 
 
+def encoder_of(vocabulary: Vocabulary, pattern: str) -> Encoder:
+    """Built once in a worker."""
+    held = getattr(vocabulary, "encoders", None)
+    if held is None:
+        held = vocabulary.encoders = {}
+    if pattern not in held:
+        held[pattern] = Encoder(vocabulary, compiled(pattern).findall)
+    return held[pattern]
+
+
 def decode(df: DataFrame, rank_file: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(id, decoded binary) of rows with ids; null ids count as none."""
     with open(rank_file, "rb") as f:

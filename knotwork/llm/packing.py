@@ -1,25 +1,27 @@
-"""Best-fit packing into bins of several permitted lengths.
-
-Documents longer than the largest length are cut into pieces of it and a rest.
-Pieces are dealt to cells by a hash of id and length; a cell is packed on its own,
-in decreasing order of length: a piece goes to the open bin that it fills best; where
-none has room, a bin is opened of the length whose cost per token is least, given
-what is left to fill it with.  A cell is packed once for each set of permitted
-lengths that leaves out the largest ones, and once more with all of them opened as
-large as they come; the cheapest packing is kept.  At the end every bin is cut down
-to the least permitted length that holds its contents.
+"""Best-fit packing of token sequences into bins of several permitted lengths.
+
+Documents come as token ids; each gets an end mark, and one longer than the largest
+length is cut into pieces of it and a rest.  Pieces are dealt to cells by a hash of
+the row, so that equal rows spread; a cell, of about ``CELL_TOKENS`` tokens, is packed
+on its own, in decreasing order of length: a piece goes to the open bin that it fills
+best; where none has room, a bin is opened of the length whose cost per token is least,
+given what is left to fill it with.  The lengths are chosen together: a cell is packed
+once for each set of lengths that leaves out the largest ones (a piece that needs one
+of those gets it all the same, and its room takes smaller pieces), opening the least
+cost or the largest of the set, and the cheapest packing is kept.  At the end every
+bin is cut down to the least permitted length that holds its contents.
 
 The cost of a bin is its length, plus a part that grows with the square of the
 length as attention does, plus a fixed part for each sequence.
 
-Defined results: a null text has the length of an empty one; lengths below zero and
-null lengths count as zero; a piece of length zero takes a place in a bin but no room;
-rows that repeat are packed each; a cell of more than ``CELL_MOST`` pieces, as many
-equal rows may make, is packed in runs of so many; a table without rows gives none.
+Defined results: null ids count as none, so that an end mark alone is packed; rows that
+repeat are packed each; pieces of equal length go in order of id and piece; a table
+without rows gives no bins.  Columns other than the two named are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -28,9 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.llm.bpe import ragged
+from knotwork.llm.common import written
+from knotwork.llm.shingles import blocks
+
 CAPACITIES = (2048, 4096, 8192, 16384)
-#: Pieces of a cell, about, and at most.
-CELL_PIECES, CELL_MOST = 8192, 65_536
+#: Tokens and pieces of a cell, about, and shuffle partitions at most; a partition may hold several cells.
+CELL_TOKENS, CELL_PIECES, PARTITIONS = 1 << 22, 1 << 16, 32_768
+#: Tokens of bins that leave Python together.
+OUT_TOKENS = 1 << 20
 #: Length at which the square part of the cost equals the linear one, and the fixed part.
 SQUARE, FIXED = 65_536, 32
 
@@ -44,8 +52,9 @@ def _opened(length: int, left: int, capacities: tuple[int, ...], cost: Callable[
     return min((c for c in capacities if c >= length), key=lambda c: (cost(c) / max(1, min(c, length + left)), c))
 
 
-def _fit(lengths: list[int], capacities: tuple[int, ...], cost: Callable[[int], float], greedy: bool) -> tuple[list[int], list[int]]:
-    """Bin of each piece and contents of each bin; the lengths come in decreasing order."""
+def _fit(lengths: list[int], capacities: tuple[int, ...], chosen: int, cost: Callable[[int], float], greedy: bool) -> tuple[list[int], list[int]]:
+    """Bin of each piece and contents of each bin, opened from the first ``chosen`` capacities
+    where these suffice; the lengths come in decreasing order."""
     spaces: list[int] = []  # distinct spaces of open bins, ascending
     with_space: dict[int, list[int]] = {}
     where, held, capacity = [], [], []
@@ -60,7 +69,12 @@ def _fit(lengths: list[int], capacities: tuple[int, ...], cost: Callable[[int],
                 del with_space[space], spaces[at]
         else:
             number = len(held)
-            opened = capacities[-1] if greedy else _opened(length, left, capacities, cost)
+            if length > capacities[chosen - 1]:
+                opened = capacities[bisect_left(capacities, length)]
+            elif greedy:
+                opened = capacities[chosen - 1]
+            else:
+                opened = _opened(length, left, capacities[:chosen], cost)
             capacity.append(opened)
             held.append(0)
         where.append(number)
@@ -83,10 +97,8 @@ def pack_cell(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, cost
     falling = [lengths[i] for i in order]
     best = None
     for n in range(1, len(capacities) + 1):
-        if falling and falling[0] > capacities[n - 1]:
-            continue
         for greedy in (False, True):
-            where, held = _fit(falling, capacities[:n], cost, greedy)
+            where, held = _fit(falling, capacities, n, cost, greedy)
             sizes = downsized(held, capacities)
             total = sum(map(cost, sizes))
             if best is None or total < best[0]:
@@ -99,63 +111,71 @@ def pack_cell(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, cost
     return out, best[2]
 
 
-def pieces(df: DataFrame, length: str, most: int, id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, piece, begin, length): rows cut into pieces of at most ``most``."""
-    whole = F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0))
-    rows = df.select(F.col(id_column).alias("doc_id"), whole.alias("whole"))
-    n = F.greatest(F.ceil(F.col("whole") / most), F.lit(1)).cast("int")
-    rows = rows.select("doc_id", "whole", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
-    begin = F.col("piece").cast("long") * most
-    return rows.select("doc_id", "piece", begin.alias("begin"), F.least(F.col("whole") - begin, F.lit(most)).alias("length"))
+def pieces(df: DataFrame, end: int, most: int, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
+    """(doc_id, piece, length, ids): rows with their end mark, cut into pieces of at most ``most`` tokens."""
+    tokens = F.concat(F.coalesce(F.col(ids_column), F.array().cast("array<int>")), F.array(F.lit(end)))
+    rows = df.select(F.col(id_column).alias("doc_id"), tokens.alias("tokens"))
+    rows = rows.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.ceil(F.size("tokens") / most).cast("int") - 1)).alias("piece"))
+    cut = F.when(F.size("tokens") <= most, F.col("tokens")).otherwise(F.slice("tokens", F.col("piece") * most + 1, most))
+    return rows.select("doc_id", "piece", F.least(F.size("tokens") - F.col("piece") * most, F.lit(most)).alias("length"), cut.alias("ids"))
 
 
-def packed(df: DataFrame, length: str, capacities: tuple[int, ...] = CAPACITIES, id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, piece, begin, length, cell, run, bin, capacity, place): every piece
-    with its bin, which (cell, run, bin) names, the bin's length and the place in it."""
+def packed(df: DataFrame, end: int, capacities: tuple[int, ...] = CAPACITIES, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
+    """(cell, bin, capacity, n_tokens, doc_ids, pieces, lengths, ids): a row for every bin,
+    with the pieces in it in order of place and their tokens, one after the other."""
     capacities = tuple(sorted(set(capacities)))
-    rows = pieces(df, length, capacities[-1], id_column)
-    n_cells = max(1, round(rows.count() / CELL_PIECES))
+    rows = written(pieces(df, end, capacities[-1], id_column, ids_column), "pieces")
+    n, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).collect()[0]
+    n_cells = max(1, round(max(n / CELL_PIECES, tokens / CELL_TOKENS)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(n_cells)))
-    dealt = rows.repartition(n_cells, "cell").sortWithinPartitions("cell", F.desc("length"), "doc_id", "piece")
+    # the table is on disk, so a row's number is the same whenever it is read
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(n_cells)))
+    dealt = rows.repartition(min(n_cells, PARTITIONS), "cell").sortWithinPartitions("cell", F.desc("length"), "doc_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, int] = {}
         for t in _cells(batches):
-            cell = t.column("cell")[0].as_py()
-            number = runs[cell] = runs.get(cell, -1) + 1
-            lengths = t.column("length").to_numpy()
+            lengths = t.column("length").to_numpy().astype(np.int64)
             where, sizes = pack_cell(lengths.tolist(), capacities)
-            where = np.array(where)
             order = np.argsort(where, kind="stable")
-            before = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
-            first = np.concatenate([[True], np.diff(where[order]) > 0])
-            place = np.empty(len(where), np.int64)
-            place[order] = before - before[first][np.cumsum(first) - 1]
-            columns = [*t.columns, pa.array(np.full(len(where), number, np.int32)), pa.array(where.astype(np.int32)), pa.array(np.array(sizes, np.int32)[where]), pa.array(place)]
-            yield from pa.Table.from_arrays(columns, [*t.column_names, "run", "bin", "capacity", "place"]).to_batches()
-
-    return dealt.mapInArrow(run, f"doc_id {kind}, piece int, begin long, length long, cell long, run int, bin int, capacity int, place long")
+            ids = t.column("ids").combine_chunks()
+            flat = ids.flatten().to_numpy()
+            starts = ids.offsets.to_numpy().astype(np.int64)[:-1] - ids.offsets[0].as_py()
+            starts, lengths = starts[order], lengths[order]
+            edges = np.searchsorted(np.array(where)[order], np.arange(len(sizes) + 1))
+            filled = np.add.reduceat(lengths, edges[:-1])
+            doc_ids, numbers = t.column("doc_id").take(pa.array(order)).combine_chunks(), t.column("piece").take(pa.array(order)).combine_chunks()
+            for begin, stop in blocks(filled.tolist(), OUT_TOKENS):
+                a, b = int(edges[begin]), int(edges[stop])
+                held = pa.array(edges[begin : stop + 1] - a, pa.int32())
+                at = pa.array(np.concatenate([[0], np.cumsum(filled[begin:stop])]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(stop - begin, t.column("cell")[0].as_py())),
+                        pa.array(np.arange(begin, stop, dtype=np.int32)),
+                        pa.array(sizes[begin:stop], pa.int32()),
+                        pa.array(filled[begin:stop].astype(np.int32)),
+                        *(pa.ListArray.from_arrays(held, x.slice(a, b - a)) for x in (doc_ids, numbers)),
+                        pa.ListArray.from_arrays(held, pa.array(lengths[a:b].astype(np.int32))),
+                        pa.ListArray.from_arrays(at, pa.array(flat[ragged(starts[a:b], lengths[a:b])])),
+                    ],
+                    ["cell", "bin", "capacity", "n_tokens", "doc_ids", "pieces", "lengths", "ids"],
+                )
+
+    return dealt.mapInArrow(run, f"cell long, bin int, capacity int, n_tokens int, doc_ids array<{kind}>, pieces array<int>, lengths array<int>, ids array<int>")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each cell, which come together, CELL_MOST at a time."""
-    held: pa.Table | None = None
+    """The rows of each cell, which come together."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        while held.num_rows:
-            cells = held.column("cell").to_numpy()
-            end = int(np.searchsorted(cells != cells[0], True)) if cells[-1] != cells[0] else len(cells)
-            if end == len(cells) and end < CELL_MOST:
-                break
-            end = min(end, CELL_MOST)
-            yield held.slice(0, end)
-            held = held.slice(end)
-    if held is not None and held.num_rows:
-        yield held
-
-
-def byte_tokens(df: DataFrame, text_column: str = "text", name: str = "tokens") -> DataFrame:
-    """``df`` with its number of byte-level tokens: the bytes of the text and an end mark."""
-    return df.withColumn(name, (F.octet_length(F.coalesce(F.col(text_column), F.lit(""))) + 1).cast("long"))
+        cells = batch.column(batch.schema.get_field_index("cell")).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+        for begin, end in itertools.pairwise(cuts):
+            if begin == end:
+                continue
+            if held and held[0].column("cell")[0].as_py() != cells[begin]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)

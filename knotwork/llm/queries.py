@@ -11,6 +11,8 @@ from knotwork.llm import anisotropic, bpe, histogram_sort, language, minhash, or
 from knotwork.llm.common import new_path, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The id after the last of RANK_FILE, which marks the end of a document in a packed sequence.
+END = 50_256
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.counted(table(spark, sf_dir, "documents"))
+    return secret_scan.counted(table(spark, sf_dir, "documents"), RANK_FILE)
 
 
 def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(packing.byte_tokens(table(spark, sf_dir, "documents")), "tokens")
+    return packing.packed(bpe.encode(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN), END)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

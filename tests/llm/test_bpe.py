@@ -35,6 +35,26 @@ def test_matches_tiktoken_on_random_texts(own, vocabulary):
     assert [data[ends[i] : ends[i + 1]].tobytes().decode() for i in range(len(texts))] == texts
 
 
+def test_long_pieces_in_matrices(own, vocabulary, monkeypatch):
+    rng = random.Random(12)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    pieces = [word("ACGTacgt+/0123", n) for n in (65, 100, 129, 700, 3000)] + [word("ab", n) for n in (66, 257, 5000)] + [word("etaoinshrdlu", n) for n in (80, 900, 20_000)]
+    pieces += ["a" * n for n in (65, 66, 67, 1001)] + ["ab" * 300, "aab" * 200, "aba" * 201, "é" * 333, "日本" * 200, "the" * 500, "ing" * 77 + "x", "=-" * 400, " " * 500]
+    monkeypatch.setattr(bpe, "CELLS", 4096)
+    flat, offsets = vocabulary.encode_pieces([p.encode() for p in pieces])
+    for i, piece in enumerate(pieces):
+        assert flat[offsets[i] : offsets[i + 1]].tolist() == own._encode_single_piece(piece), piece[:40]
+
+
+def test_an_encoder_that_forgets(own, vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 200)
+    rng, encoder = random.Random(2), bpe.Encoder(vocabulary, bpe.compiled(P.PATTERN).findall)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(20))) for _ in range(5)]
+        ids, offsets = encoder.encode(texts)
+        assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(5)] == [own.encode_ordinary(t) for t in texts]
+
+
 def test_query_rows_and_odd_inputs(spark, own, tmp_path):
     texts = [None, "", "hello world", "hello world", "x" * 300_000, "\n\n é"]
     rows = [(i, t, "other", 5) for i, t in enumerate(texts)] + [(None, "no id", None, 1), (2, "hello world", None, 1)]

@@ -1,12 +1,16 @@
+import base64
 import itertools
 import random
 from collections import Counter, defaultdict
 
+import public_tokenizers
+import tiktoken
+
 from knotwork.llm import packing, queries
 
 
 def run(spark, tmp_path, rows):
-    spark.createDataFrame(rows, "doc_id long, text string, length string, cell int, tokens int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, ids string, cell int, tokens int").write.parquet(f"{tmp_path}/documents.parquet")
     return queries.op8_best_fit(spark, str(tmp_path)).collect()
 
 
@@ -39,44 +43,47 @@ def test_cells_against_the_best_of_all_splits():
     assert min(ratios) >= 1 - 1e-9 and sum(ratios) / len(ratios) < 1.03 and max(ratios) < 1.25
 
 
-def test_every_token_once_and_bins_within_their_length(spark, tmp_path):
+def test_a_large_piece_does_not_decide_for_the_others():
+    """With one piece of the largest length, the others are packed as cheaply as without it."""
+    rng = random.Random(5)
+    others = [rng.choice([300, 700, 1100, 1500, 1900]) for _ in range(200)]
+    cost = lambda x: sum(map(packing.bin_cost, packing.pack_cell(x)[1]))
+    assert cost([*others, 16_384]) <= cost(others) + packing.bin_cost(16_384) + 1e-9
+    assert set(packing.pack_cell([*others, 16_384])[1]) > {16_384}
+
+
+def test_every_token_once_and_bins_as_their_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_PIECES", 100)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANK_FILE, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(4)
-    rows = [(i, "é" * rng.randrange(3000), "odd", 1, 2) for i in range(700)]
-    rows += [(1000, None, "odd", 1, 2), (1001, "", "odd", 1, 2), (1002, "x" * 100_000, "odd", 1, 2), (None, "no id", "odd", 1, 2), (5, "again", "odd", 1, 2), (5, "again", "odd", 1, 2), (1003, "y" * 16_383, "odd", 1, 2), (1004, "y" * 16_384, "odd", 1, 2)]
+    rows = [(i, " ".join(rng.choice(["é", "word", "Übung", "x1"]) for _ in range(rng.randrange(2500))), "odd", 1, 2) for i in range(700)]
+    rows += [(1000, None, "odd", 1, 2), (1001, "", "odd", 1, 2), (1002, "x y " * 30_000, "odd", 1, 2), (None, "no id", "odd", 1, 2), (5, "again", "odd", 1, 2), (5, "again", "odd", 1, 2)]
     got = run(spark, tmp_path, rows)
-    per_doc, bins = defaultdict(list), defaultdict(list)
+    assert len({r.cell for r in got}) > 1 and len({(r.cell, r.bin) for r in got}) == len(got)
+    parts = defaultdict(list)
     for r in got:
-        per_doc[r.doc_id].append((r.begin, r.length))
-        bins[r.cell, r.run, r.bin].append((r.place, r.length, r.capacity))
-    want = defaultdict(list)
-    for d, t, *_ in rows:
-        want[d].append(len((t or "").encode()) + 1)
-    for d, parts in per_doc.items():
-        assert sum(n for _, n in parts) == sum(want[d])
-        if len(want[d]) == 1:
-            at = 0
-            for begin, n in sorted(parts):
-                assert begin == at
-                at += n
-    assert per_doc.keys() == want.keys()
-    for parts in bins.values():
-        assert len({c for *_, c in parts}) == 1
+        assert len(r.ids) == r.n_tokens == sum(r.lengths) and len(r.doc_ids) == len(r.pieces) == len(r.lengths)
+        assert r.capacity == next(c for c in packing.CAPACITIES if c >= r.n_tokens)
         at = 0
-        for place, n, _ in sorted(parts):
-            assert place == at
+        for d, piece, n in zip(r.doc_ids, r.pieces, r.lengths, strict=True):
+            parts[d].append((piece, r.ids[at : at + n]))
             at += n
-        capacity = parts[0][2]
-        assert capacity == next(c for c in packing.CAPACITIES if c >= at)
-    used = sum(sum(w) for w in want.values()) / sum(p[0][2] for p in bins.values())
-    assert used > 0.9
-
+    want = defaultdict(list)
+    for d, t, *_ in rows:
+        ids = [*own.encode_ordinary(t or ""), queries.END]
+        want[d] += [(i, ids[b : b + 16_384]) for i, b in enumerate(range(0, len(ids), 16_384))]
+    assert {d: sorted(p) for d, p in parts.items()} == {d: sorted(p) for d, p in want.items()}
+    assert sum(len(i) for p in want.values() for _, i in p) / sum(r.capacity for r in got) > 0.9
 
-def test_large_cells_go_in_runs(monkeypatch):
-    import pyarrow as pa
 
-    monkeypatch.setattr(packing, "CELL_MOST", 10)
-    batches = [pa.record_batch({"cell": pa.array(c, pa.int64())}) for c in ([0] * 4, [0] * 25 + [1] * 3, [1] * 2 + [2])]
-    assert [(t.column("cell")[0].as_py(), t.num_rows) for t in packing._cells(iter(batches))] == [(0, 10), (0, 10), (0, 9), (1, 5), (2, 1)]
+def test_equal_rows_spread_over_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_PIECES", 50)
+    got = run(spark, tmp_path, [(1, "the same text", "odd", 1, 2)] * 1000)
+    per_cell = Counter()
+    for r in got:
+        per_cell[r.cell] += len(r.pieces)
+    assert sum(per_cell.values()) == 1000 and len(per_cell) == 20 and max(per_cell.values()) < 100
 
 
 def test_empty_table(spark, tmp_path):

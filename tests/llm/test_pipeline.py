@@ -1,8 +1,12 @@
+import base64
 import random
 
 import corpus_pipeline
-from knotwork.llm import secret_scan
+import public_tokenizers
+import tiktoken
+from knotwork.llm import queries, secret_scan
 from test_minhash import brute, corpus
+from test_secret_scan import guesser
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,19 +35,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert two.columns == df.columns and {r.doc_id for r in two.collect()} == firsts
     three = steps["secrets"](spark, two, str(tmp_path))
     texts = {r.doc_id: r.text for r in three.collect()}
-    assert three.columns == df.columns and texts == {d: secret_scan.masked(t) for d, t in kept if d in firsts}
-    assert any("[secret]" in t for t in texts.values()) and not any(secret_scan.spans(t) for t in texts.values())
-    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert three.columns == df.columns and texts == {d: secret_scan.masked(t, guesser()) for d, t in kept if d in firsts}
+    assert any("[secret]" in t for t in texts.values()) and not any(secret_scan.spans(t, guesser()) for t in texts.values())
     held = {}
-    for r in packed:
-        held[r.doc_id] = held.get(r.doc_id, 0) + r.length
-    assert held == {d: len(t.encode()) + 1 for d, t in texts.items()}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        at = 0
+        for d, n in zip(r.doc_ids, r.lengths, strict=True):
+            held[d] = held.get(d, []) + r.ids[at : at + n]
+            at += n
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANK_FILE, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {d: [ids[-1], own.decode(ids[:-1])] for d, ids in held.items()} == {d: [queries.END, t] for d, t in texts.items()}
 
 
 def test_nulls_repeats_extra_columns_and_no_rows(spark, tmp_path):
     rows = rows_of([(1, "some words of text"), (1, "some words of text"), (None, "a text without id"), (3, None), (4, "")])
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], COLUMNS + ", lang_pred string, score int")
     df.write.parquet(f"{tmp_path}/a/documents.parquet")
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect()) == ["1", "None"]
+    assert sorted(str(d) for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect() for d in r.doc_ids) == ["1", "None"]
     documents(spark, tmp_path / "b", [])
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import language, minhash, packing, secret_scan
+from knotwork.llm import bpe, language, minhash, packing, secret_scan
 from knotwork.llm.common import table, written
+from knotwork.llm.queries import END, RANK_FILE
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters go; the classifier learns from the documents at hand."""
+    """Documents without letters or in no learned language go, missing labels are filled; the
+    classifier learns from the documents at hand."""
     return language.accepted(docs)
 
 
@@ -22,12 +25,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
-    return secret_scan.redacted(docs)
+    return secret_scan.redacted(docs, rank_file=RANK_FILE)
 
 
 def in_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces with the bins of training sequences that they fill."""
-    return packing.packed(packing.byte_tokens(docs), "tokens")
+    """Training sequences: bins of the tokens of whole documents, or of pieces of long ones."""
+    return packing.packed(bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN), END)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -18,9 +18,9 @@ scan adds q.c and s times the sum of its table entries, two four-bit codes looke
 at once, and multiplies by that factor; of every block of rows the ``rerank`` best are scored
 exactly, in doubles, and the ``k`` best of those remain.
 
-Every row is coded and scanned; only the quantiser is fitted on a sample, rows
-whose hashed id is among the first ``sample`` in expectation.  Vectors of a
-length that the sample doesn't hold are scored exactly.
+Every row is coded, once, into a table of its own in the shared folder, and scanned;
+only the quantiser is fitted on a sample of about ``sample`` rows, those of least hash.
+Vectors of a length that the sample doesn't hold are scored exactly.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite
 components take no part, nor do rows without an id; vectors of different length
@@ -34,10 +34,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.vectors import Best, by_width, search, usable
+from knotwork.llm.common import written
+from knotwork.llm.vectors import Best, row_blocks, sampled, search, usable
 
 CENTRES, CODES, PAIR = 64, 16, 2
 #: Share of a score below which queries of a row aren't its neighbours; eta follows from it.
@@ -163,17 +166,34 @@ def _chosen(scores: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == edge)[: most - len(above)]])
 
 
-def scan(queries: list[tuple[np.ndarray, np.ndarray]], blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int, rerank: int, fitted: dict[int, Quantiser]) -> Iterator[tuple[np.ndarray, Best]]:
+def coded(rows: DataFrame, fitted: Broadcast) -> DataFrame:
+    """(vec_id, v, codes, coarse, length, factor) of rows (vec_id, v); no codes for lengths without a quantiser."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in row_blocks(batches):
+            model = fitted.value.get(x.shape[1])
+            if model is None:
+                codes, coarse, length, factor = np.zeros((len(ids), 0), np.uint8), *np.zeros((3, len(ids)))
+            else:
+                codes, coarse, length, factor = model.coded(x)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), vectors, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(coarse.astype(np.int32)), pa.array(length.astype(np.float32)), pa.array(factor.astype(np.float32))],
+                ["vec_id", "v", "codes", "coarse", "length", "factor"],
+            )
+
+    return rows.mapInArrow(run, "vec_id long, v array<double>, codes binary, coarse int, length float, factor float")
+
+
+def scan(queries: list[tuple[np.ndarray, np.ndarray]], blocks: Iterator[tuple[np.ndarray, ...]], k: int, rerank: int, fitted: dict[int, Quantiser]) -> Iterator[tuple[np.ndarray, Best]]:
     held = {rows.shape[1]: (ids, rows, Best(len(ids), k)) for ids, rows in queries}
-    for ids, x in blocks:
+    for ids, x, packed, coarse, length, factor in blocks:
         if x.shape[1] not in held:
             continue
         query_ids, q, best = held[x.shape[1]]
         model = fitted.get(x.shape[1])
         if model is not None:
-            packed, coarse, length, factor = model.coded(x)
             columns = np.ascontiguousarray(packed.T).astype(np.intp)
-            length, factor = length.astype(np.float32), factor.astype(np.float32)
             total, part = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
         for begin in range(0, len(q), TOGETHER):
             some = q[begin : begin + TOGETHER]
@@ -200,24 +220,11 @@ def scan(queries: list[tuple[np.ndarray, np.ndarray]], blocks: Iterator[tuple[np
         yield query_ids, best
 
 
-def fit(rows: DataFrame, sample: int) -> dict[int, Quantiser]:
-    """A quantiser for each vector length, on about ``sample`` rows of (vec_id, v)."""
-    n = rows.count()
-    if not n:
-        return {}
-    if n > sample:
-        rows = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    by_length: dict[int, list[np.ndarray]] = {}
-    for batch in rows.select("vec_id", "v").toArrow().to_batches():
-        for _, x in by_width(batch):
-            by_length.setdefault(x.shape[1], []).append(x)
-    return {width: Quantiser(np.concatenate(parts)) for width, parts in by_length.items()}
-
-
 def nearest(df: DataFrame, asked: DataFrame, k: int = 20, sample: int = SAMPLE, rerank: int = RERANK, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score double) of the rows ``asked`` against those of ``df``."""
     nonzero = F.exists("v", lambda c: c != 0)
     rows = usable(df, id_column, vector_column).filter(nonzero)
     asked = usable(asked, id_column, vector_column).filter(nonzero)
-    shared = df.sparkSession.sparkContext.broadcast(fit(rows, sample))
-    return search(rows, asked, k, lambda q, b: scan(q, b, k, rerank, shared.value), "double")
+    fitted = {width: Quantiser(np.concatenate(parts)) for width, parts in sampled(rows, sample).items()}
+    shared = df.sparkSession.sparkContext.broadcast(fitted)
+    return search(written(coded(rows, shared), "codes"), asked, k, lambda q, b: scan(q, b, k, rerank, shared.value), "double")

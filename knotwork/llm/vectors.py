@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import new_path
 
 #: Queries that are broadcast together, and rows that are scored together.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
 ROW_BLOCK = 8192
 
 
@@ -24,31 +24,46 @@ def usable(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return df.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~odd)
 
 
-def by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the rows of each vector length."""
+def sampled(rows: DataFrame, sample: int) -> dict[int, list[np.ndarray]]:
+    """Vectors of about ``sample`` rows of (vec_id, v) by their length: those of least hash, twice as many at most."""
+    n = rows.count()
+    if n > sample:
+        rows = rows.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int(sample / n * (1 << 30))).limit(2 * sample)
+    by_length: dict[int, list[np.ndarray]] = {}
+    for batch in rows.select("vec_id", "v").toArrow().to_batches() if n else ():
+        for _, x in by_width(batch):
+            by_length.setdefault(x.shape[1], []).append(x)
+    return by_length
+
+
+def by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, matrix, further columns) of the rows of each vector length; a further column
+    is one of numbers, or of bytes, as many for all vectors of a length."""
     ids, lists = batch.column(0).to_numpy(), batch.column(1)
     lengths = np.diff(lists.offsets.to_numpy())
     flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)])
     for width in np.unique(lengths):
         rows = np.flatnonzero(lengths == width)
-        yield ids[rows], flat[starts[rows][:, None] + np.arange(width)]
+        more = [c.take(pa.array(rows)) for c in batch.columns[2:]]
+        more = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(rows), -1) if pa.types.is_binary(c.type) else c.to_numpy() for c in more]
+        yield ids[rows], flat[starts[rows][:, None] + np.arange(width)], *more
 
 
-def row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Rows of equal vector length, ROW_BLOCK together, smaller ids first in each block."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
 
     def joined(parts):
-        ids, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(ids, kind="stable")
-        return ids[order], rows[order]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(c[order] for c in columns)
 
     for batch in batches:
-        for ids, rows in by_width(batch):
-            parts = held.setdefault(rows.shape[1], [])
-            parts.append((ids, rows))
+        for part in by_width(batch):
+            parts = held.setdefault(part[1].shape[1], [])
+            parts.append(part)
             if sum(len(p[0]) for p in parts) >= ROW_BLOCK:
-                yield joined(held.pop(rows.shape[1]))
+                yield joined(held.pop(part[1].shape[1]))
     for parts in held.values():
         yield joined(parts)
 
@@ -90,7 +105,8 @@ def search(rows: DataFrame, asked: DataFrame, k: int, scan: Callable, score: str
     """(query_id, rank, vec_id, score): for each of ``asked`` the ``k`` best of ``rows``.
 
     ``scan(queries, blocks)`` runs in a task: queries is a list of (ids, matrix),
-    one for each vector length, and blocks are those of ``row_blocks``; it gives
+    one for each vector length, and blocks are those of ``row_blocks``, with any further
+    columns of ``rows``; it gives
     (ids, Best).  An id asked for more than once is asked with its least vector.
     Queries are held and broadcast QUERY_BLOCK at a time; with several blocks
     each one's result is written before the next is read.

@@ -63,18 +63,43 @@ def test_scores_beyond_doubles(spark, tmp_path):
     assert got(queries.op2_segment_topk(spark, table(spark, tmp_path, rows))) == want
 
 
-def test_bounds_hold():
+def test_bounds_hold_and_grow():
     rng = np.random.default_rng(3)
     q, x = rng.normal(size=(20, 37)), rng.normal(size=(50, 37))
-    true = ((q[:, None] - x) ** 2).sum(2)
-    last = np.zeros_like(true)
-    for s in (1, 2, 4, 8, 37):
+    true, last = ((q[:, None] - x) ** 2).sum(2), np.zeros((20, 50))
+    for s in (0, 1, 2, 4, 8, 36, 37):
         low = segments.lower_bounds(segments.features(q, s), segments.features(x, s))
-        assert (low <= true + 1e-9).all()
+        assert (low <= true + 1e-9).all() and (low >= last - 1e-9).all()
         last = low
     assert np.allclose(last, true)
 
 
+def survived(x, asked, k=10):
+    """The share of pairs that are scored exactly after the finest resolution, block by block."""
+    x = segments.whole(x, 1024.0)
+    basis = np.ascontiguousarray(np.linalg.eigh(np.cov(x.T))[1][:, ::-1])
+    ids = np.arange(len(x))
+    q, best, n = segments.Rows(ids[asked], x[asked], basis), vectors.Best(len(ids[asked]), k), 0
+    for begin in range(0, len(x), 1000):
+        part = segments.Rows(ids[begin : begin + 1000], x[begin : begin + 1000], basis)
+        query, row = segments.survivors(q, slice(None), part, best)
+        n += len(query)
+        for i in np.unique(query):
+            own = row[query == i]
+            best.add(i, segments.exact_scores(np.repeat(q.x[i : i + 1], len(own), 0), part.x[own]), part.ids[own])
+    return n / (len(q.ids) * len(x))
+
+
+def test_few_pairs_survive_the_bounds():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 64))
+    clustered = centres[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 64))
+    sphere = rng.normal(size=(4000, 64))
+    for x, most in ((clustered, 0.08), (sphere, 0.2)):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        assert survived(x, slice(None, None, 100)) < most
+
+
 def test_empty_tables(spark, tmp_path):
     assert got(queries.op2_segment_topk(spark, table(spark, tmp_path, []))) == []
     assert got(queries.op10_anisotropic(spark, str(tmp_path))) == []

@@ -1,11 +1,13 @@
 """WARC archives with revisit records in place of repeated payloads.
 
-Writing: the headers alone (key, digest, length) are shuffled by payload digest;
-of equal payloads long enough, the row of the largest key is the response and the
-others are joined to it and become revisit records.  Every record gets fresh
-headers and is written by Spark's text writer (through its commit protocol, to
-any store that Spark reaches): gzipped WARC/1.1 files of a bounded number of
-records.  Reading: records are parsed by Content-Length, so payloads may hold
+Writing: the headers alone (key, digest, length) are made once and shuffled by payload
+digest; of equal payloads long enough, the row of the largest key is the response and
+the others are joined to it and become revisit records.  Every record gets fresh
+headers and is a gzip member of its own; members are joined to WARC/1.1 archives of
+about ``archive_bytes`` at most (a larger record stands alone), each of which begins
+with a warcinfo record.  Spark's text writer puts one archive in a file, through its
+commit protocol and to any store that Spark reaches; what it adds as the end of a line
+is a gzip member without contents.  Reading: records are parsed by Content-Length, so payloads may hold
 anything; length and digest are taken from the payload itself, and a revisit
 record takes both from the response that it refers to, joined by record id.
 
@@ -27,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.llm.common import sliced, written
+
 LEAST_BYTES = 1000
-RECORDS_PER_FILE = 16_384
+#: Compressed bytes of an archive.
+ARCHIVE_BYTES = 32 << 20
 #: Revisit records that may be joined to the payloads by broadcast; more go by shuffle.
 BROADCAST_REVISITS = 500_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BATCH_BYTES = 8_000_000
+_GZIP = 31
 
 
 def record_id(key: Column, digest: Column) -> Column:
@@ -58,37 +64,71 @@ def revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return found.dropDuplicates(["id"])
 
 
-def _line(name: str, value: Column) -> Column:
-    """A header line, or nothing for a null value."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
+def member(data: bytes, level: int = 6) -> bytes:
+    """A gzip member of its own, without a time, so that equal data gives equal bytes."""
+    squeeze = zlib.compressobj(level, zlib.DEFLATED, _GZIP)
+    return squeeze.compress(data) + squeeze.flush()
+
+
+def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
+    """A WARC record; headers of no value are left out."""
+    lines = [f"{name}: {value}\r\n" for name, value in [*headers, ("Content-Length", len(block))] if value is not None]
+    return b"".join([b"WARC/1.1\r\n", "".join(lines).encode(), b"\r\n", block, b"\r\n\r\n"])
+
+
+def _info(first: str, date: str) -> bytes:
+    """The record that begins an archive, named by its first record."""
+    named = hashlib.md5(f"warcinfo|{first}".encode()).hexdigest()
+    name = "-".join((named[:8], named[8:12], named[12:16], named[16:20], named[20:]))
+    about = b"software: knotwork\r\nformat: WARC File Format 1.1\r\n"
+    return record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], about)
 
 
-def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z", least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+def _page(key: int | None, url: str | None, payload: bytes, size: int, digest: str, name: str, refers_to: str | None, refers_url: str | None, date: str) -> bytes:
+    again = refers_to is not None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    headers = [
+        ("WARC-Type", "revisit" if again else "response"),
+        ("WARC-Record-ID", name),
+        ("WARC-Date", date),
+        ("WARC-Target-URI", url),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Profile", REVISIT_PROFILE if again else None),
+        ("WARC-Refers-To", refers_to),
+        ("WARC-Refers-To-Target-URI", refers_url if again else None),
+        ("WARC-Refers-To-Date", date if again else None),
+        ("X-Source-Key", key),
+        ("Content-Type", "application/http;msgtype=response"),
+    ]
+    return record(headers, http if again else http + payload)
+
+
+def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z", least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a record per row of ``df`` as archives below ``path``."""
     rows = described(df, key, url, payload)
-    repeated = revisits(rows.drop("payload"), least_bytes)
+    repeated = written(revisits(written(rows.drop("payload"), "headers"), least_bytes), "revisits")
     repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_REVISITS else repeated
     rows = rows.join(repeated, "id", "left")
-    again = F.col("refers_to").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), _line("Content-Length", F.col("bytes")), F.lit("\r\n"))
-    block = F.concat(http, F.when(again, "").otherwise(F.col("payload")))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        _line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", F.col("id")),
-        _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.col("url")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        _line("WARC-Profile", F.when(again, REVISIT_PROFILE)),
-        _line("WARC-Refers-To", F.col("refers_to")),
-        _line("WARC-Refers-To-Target-URI", F.when(again, F.col("refers_url"))),
-        _line("X-Source-Key", F.col("key")),
-        F.lit("Content-Type: application/http;msgtype=response\r\n"),
-        _line("Content-Length", F.octet_length(block)),
-        F.lit("\r\n"),
-    )
-    record = F.concat(head, block, F.lit("\r\n"))  # the writer's line end is the second one
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    names = ["key", "url", "payload", "bytes", "digest", "id", "refers_to", "refers_url"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in sliced(batches):
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = member(_page(*values, date))
+                if held and size + len(data) > archive_bytes:
+                    yield pa.record_batch([pa.array([b"".join(held)], pa.binary())], ["value"])
+                    held, size = [], 0
+                if not held:
+                    held, size = [member(_info(values[5], date))], 0
+                held.append(data)
+                size += len(data)
+        if held:
+            yield pa.record_batch([pa.array([b"".join(held)], pa.binary())], ["value"])
+
+    archives = rows.select(*(F.col(n).cast("binary") if n == "payload" else F.col(n) for n in names)).mapInArrow(run, "value binary")
+    nothing = member(b"").decode("latin-1")
+    archives.select(F.col("value").cast("string")).write.option("lineSep", nothing).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 class _Stream:
@@ -154,6 +194,8 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
             for i in range(batch.num_rows):
                 held, size = [], 0
                 for headers, payload in parse(batch.column(0)[i].as_py()):
+                    if headers["warc-type"] == "warcinfo":
+                        continue
                     own = headers["warc-type"] != "revisit"
                     key = headers.get("x-source-key")
                     row = [None if key is None else int(key), headers["warc-record-id"], headers.get("warc-target-uri"), headers["warc-type"], headers.get("warc-refers-to"), len(payload) if own else None, hashlib.sha1(payload).hexdigest() if own else None]

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 from knotwork.llm import queries, warc
 
@@ -37,15 +38,30 @@ def test_round_trip_against_brute_force(spark, tmp_path):
 def test_archives_hold_payloads_once_and_resolve(spark, tmp_path):
     rows = [(i, f"http://a.example/{i}", "same " * 300 if i < 5 else f"page {i} \r\n\r\n tail", "d", 1) for i in range(9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, key int")
-    warc.write(df, f"{tmp_path}/out", records_per_file=2)
+    warc.write(df.coalesce(1), f"{tmp_path}/out", archive_bytes=900)
     files = sorted((tmp_path / "out").glob("part-*"))
-    assert len(files) >= 4
+    assert len(files) >= 4 and all(f.stat().st_size < 1200 for f in files)  # by bytes, not by records
     text = b"".join(gzip.decompress(f.read_bytes()) for f in files)
-    assert text.count(b"same " * 300) == 1 and text.count(b"WARC-Type: revisit") == 4
+    assert text.count(b"same " * 300) == 1 and text.count(b"WARC-Type: revisit") == 4 == text.count(b"WARC-Refers-To-Date: ")
+    assert text.count(b"WARC-Type: warcinfo") == len(files) and all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for f in files)
     found = {r.key: bytes(r.payload).decode() for r in warc.resolved(warc.read(spark, f"{tmp_path}/out", payloads=True)).collect()}
     assert found == {r[0]: r[2] for r in rows}
 
 
+def test_every_record_is_a_member_of_its_own(spark, tmp_path):
+    df = spark.createDataFrame([(i, None, f"page {i}" * i) for i in range(7)], "page_id long, url string, html string")
+    warc.write(df.coalesce(1), f"{tmp_path}/out")
+    (file,) = (tmp_path / "out").glob("part-*")
+    left, members = file.read_bytes(), []
+    while left:
+        inflate = zlib.decompressobj(31)
+        members.append(inflate.decompress(left) + inflate.flush())
+        left = inflate.unused_data
+    assert members.pop() == b"" and len(members) == 8
+    assert [m[: m.index(b"\r\nWARC-Record")].split()[-1] for m in members] == [b"warcinfo"] + [b"response"] * 7
+    assert all(len(list(warc.parse(m))) == 1 for m in members)
+
+
 def test_members_and_plain_files_parse(spark):
     record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
     for data in (record * 3, gzip.compress(record) * 3, gzip.compress(record * 3)):

@@ -1,7 +1,9 @@
 """Shards of near-equal bytes by histogram sort.
 
 Rows are ordered by a 64-bit key, the upper half from the text and the lower from
-the id, so equal texts lie together and yet can be parted.  Probes are put between
+the id, so equal texts lie together and yet can be parted.  A shard's boundary that
+falls among equal texts goes to where they begin or end, if that is within
+``GROUP_TOLERANCE``; so only a group too large for that is parted.  Probes are put between
 the least and largest possible key; each round counts, in every partition, the
 exact bytes and rows below each probe, adds the counts up, and narrows each
 boundary to the two probes around its target, until the boundaries are within
@@ -37,6 +39,8 @@ RANGE_ROWS, LEAST_RANGES = 500_000, 4
 PROBES = 16
 #: What a boundary may miss its target by: of a shard's bytes, and of a range's for those inside a shard.
 TOLERANCE, INNER_TOLERANCE = 0.002, 0.25
+#: What a shard's boundary may miss its target by, of a shard's bytes, to keep equal texts together.
+GROUP_TOLERANCE = 0.004
 
 
 def keyed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -96,10 +100,21 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> t
                 step = max(1, (upper - lower) // (PROBES + 1))
                 probes += [lower + step * i for i in range(1, PROBES + 1) if lower + step * i < upper]
         if not probes:
-            return [(chosen[j], known[chosen[j]][1]) for j in range(1, ranges)], per_shard
+            break
         probes = sorted(set(probes))
         known.update(zip(probes, below(rows, probes), strict=False))
 
+    groups = {j: ((k >> 32) << 32, ((k >> 32) + 1) << 32) for j, k in chosen.items() if j % per_shard == 0 and k % (1 << 32)}
+    probes = sorted({k for ends in groups.values() for k in ends} - known.keys())
+    if probes:
+        known.update(zip(probes, below(rows, probes), strict=False))
+    for j, ends in groups.items():
+        target = total * j / ranges
+        nearest = min(ends, key=lambda k: abs(known[k][0] - target))
+        if abs(known[nearest][0] - target) <= GROUP_TOLERANCE * total / n_shards:
+            chosen[j] = nearest
+    return [(k, known[k][1]) for k in sorted(chosen.values())], per_shard
+
 
 def sharded(df: DataFrame, n_shards: int = 40, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row, by the law ``bytes``."""

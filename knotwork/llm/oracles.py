@@ -62,7 +62,7 @@ FROM p LEFT JOIN g ON p.digest = g.digest
 #: Quotes by their text, parents by a scan of earlier turns, threads by recursion.
 OP7 = r"""
 WITH RECURSIVE
-m AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
+m AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, string_split_regex(text, '\r\n|\n|\r') AS lines FROM conversations),
 l AS (
   SELECT conv_id, turn, unnest(string_split_regex(text, '\r\n|\n|\r')) AS line
   FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
@@ -89,7 +89,8 @@ walk AS (
   SELECT w.conv_id, w.turn, b.parent_turn, w.depth + 1 FROM walk w JOIN best b ON w.conv_id = b.conv_id AND w.thread_turn = b.turn),
 roots AS (SELECT conv_id, turn, min(thread_turn) AS thread_turn, max(depth) AS depth FROM walk GROUP BY ALL)
 SELECT m.conv_id, m.turn, m.role,
-       regexp_replace(array_to_string(list_filter(string_split_regex(m.text, '\r\n|\n|\r'), lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+[ \t]?')), chr(10)), '\A[ \t\n]+|[ \t\n]+\z', '', 'g') AS body,
+       regexp_replace(array_to_string(list_filter(m.lines, lambda x, i: NOT regexp_matches(x, '^(?:[ \t]*>)+[ \t]?')
+         AND NOT (regexp_matches(x, '^[ \t]*(?:On|Le|Am|El)[ \t].*(?:wrote|écrit|schrieb.*|escribió)[ \t\x{a0}]*:[ \t]*$') AND coalesce(regexp_matches(m.lines[i + 1], '^(?:[ \t]*>)+[ \t]?'), false))), chr(10)), '\A[ \t\n]+|[ \t\n]+\z', '', 'g') AS body,
        b.parent_turn, coalesce(r.thread_turn, m.turn) AS thread_turn, CAST(coalesce(r.depth, 0) AS BIGINT) AS depth,
        coalesce(c.n_quoted, 0) AS n_quoted, coalesce(c.n_linked, 0) AS n_linked
 FROM m

@@ -6,7 +6,8 @@ one blank, trimmed), and known by its hash.  It is joined to the latest earlier
 message of the conversation that has it as a line of its own; the message that most
 passages of the first quote level lead to, of equals the latest, is the parent.
 Passages of deeper levels count as linked where their message is found, but choose
-no parent.  Threads follow parents to the message that has none, by pointer
+no parent.  A line that says who wrote what follows (``On ... wrote:``) leaves the body
+with the quote that it stands before.  Threads follow parents to the message that has none, by pointer
 doubling, and rows come in order of conversation, thread and turn: every reply
 stands after what it replies to, in the thread that it belongs to.
 
@@ -32,6 +33,8 @@ from knotwork.llm.common import written
 
 #: Quote marks at the start of a line, with blanks between them, and one blank after.
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
+#: How mail programs introduce a quote.
+ATTRIBUTION = r"^[ \t]*(?:On|Le|Am|El)[ \t].*(?:wrote|écrit|schrieb.*|escribió)[ \t\x{a0}]*:[ \t]*$"
 #: Turns that one running maximum goes over.
 BLOCK_TURNS = 1024
 
@@ -50,8 +53,10 @@ def normalised(line: Column) -> Column:
 
 
 def body(text: Column) -> Column:
-    """The lines of the text that aren't quoted, without blank ones at the ends."""
-    own = F.filter(lines(text), lambda x: ~x.rlike(MARKS))
+    """The lines of the text that aren't quoted nor introduce a quote, without blank ones at the ends."""
+    every = lines(text)
+    quoted = lambda x: F.coalesce(x.rlike(MARKS), F.lit(False))
+    own = F.filter(every, lambda x, i: ~quoted(x) & ~(x.rlike(ATTRIBUTION) & quoted(F.get(every, i + 1))))
     return F.regexp_replace(F.array_join(own, "\n"), r"\A[ \t\n]+|[ \t\n]+\z", "")
 
 

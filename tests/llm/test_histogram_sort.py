@@ -29,6 +29,20 @@ def test_near_equal_bytes_and_gapless_slots(spark, tmp_path):
     assert max(abs(s - mean) for s in sizes.values()) <= 0.01 * mean + largest
 
 
+def test_equal_texts_stay_together_where_the_sizes_permit(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"text {i // 4} " + "x" * (i // 4 % 50), "s", 1, "p") for i in range(40_000)]  # a shard holds a thousand rows, a group four
+    rng.shuffle(rows)
+    got, text = run(spark, tmp_path, rows), {d: t for d, t, *_ in rows}
+    shards, sizes = {}, Counter()
+    for d, size, *_, shard, _, _ in got:
+        shards.setdefault(text[d], set()).add(shard)
+        sizes[shard] += size
+    mean = sum(sizes.values()) / 40
+    assert max(map(len, shards.values())) == 1 and len(shards) == 10_000
+    assert max(abs(s - mean) for s in sizes.values()) <= 0.01 * mean
+
+
 def test_counts_below_probes_match_brute_force(spark):
     rng = random.Random(4)
     keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)] + [7] * 50 + [-(1 << 63), (1 << 63) - 1]

@@ -47,7 +47,7 @@ def test_replies_are_linked_and_unquoted(spark, tmp_path):
 def test_against_sql_on_random_conversations(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(quotes, "BLOCK_TURNS", 4)
     rng = random.Random(6)
-    said = ["Yes", "no ", "maybe  SO", "Étude", "", "ok", "> x", "a > b", "\t tabbed\tline"]
+    said = ["Yes", "no ", "maybe  SO", "Étude", "", "ok", "> x", "a > b", "\t tabbed\tline", "On Monday, A wrote:", "Le 3 mai, B a écrit\u00a0:", "Am 3. schrieb C:"]
     rows = []
     for conv in range(12):
         for turn in range(rng.randrange(1, 30)):
@@ -62,6 +62,12 @@ def test_against_sql_on_random_conversations(spark, tmp_path, monkeypatch):
     assert sorted(run(spark, tmp_path, rows), key=key) == sorted(by_sql(tmp_path), key=key)
 
 
+def test_lines_that_introduce_a_quote_go_with_it(spark, tmp_path):
+    rows = [(1, 0, "user", "Shall we?\nOn Monday she wrote:\nnothing", "x", 1, 1), (1, 1, "user", "Yes.\n\nOn Tue, 3 May 2022, Ann wrote:\n> Shall we?\n\nSee you", "x", 1, 1)]
+    got = run(spark, tmp_path, rows)
+    assert [(r[3], r[4]) for r in got] == [(rows[0][3], None), ("Yes.\n\n\nSee you", 0)]
+
+
 def test_order_puts_replies_after_what_they_reply_to(spark, tmp_path):
     rows = [(5, t, "user", "root" if t == 0 else f"> {'root' if t == 1 else f'm{t - 1}'}\nm{t}", "x", 1, 1) for t in range(40)]
     got = run(spark, tmp_path, rows)

@@ -49,6 +49,17 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
+def multiset_dice(a: Column, b: Column) -> Column:
+    """Dice of the pairs of neighbouring characters of two lower-cased texts, each pair as
+    often as it is there; texts too short for a pair are equal or not."""
+    pairs = lambda t: F.when(F.char_length(t) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substr(t, i, F.lit(2))))
+    x, y = F.lower(a), F.lower(b)
+    px, py = pairs(x), pairs(y)
+    times = lambda p, of: F.size(F.filter(of, lambda q: q == p))
+    shared = F.aggregate(F.array_intersect(px, py), F.lit(0), lambda n, p: n + F.least(times(p, px), times(p, py)))
+    return F.when((F.size(px) == 0) | (F.size(py) == 0), F.when(x == y, 1.0).otherwise(0.0)).otherwise(2.0 * shared / (F.size(px) + F.size(py)))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Shorter by longer length in characters."""
     return F.least(F.char_length(a), F.char_length(b)) / F.greatest(F.char_length(a), F.char_length(b))
@@ -86,6 +97,16 @@ def tokens_estimate(text: Column) -> Column:
     return F.ceil((ascii_ + 4 * (F.char_length(text) - ascii_)) / 4)
 
 
+def json_bytes(value: Column) -> Column:
+    """Bytes of a struct as compact JSON; fields that are null are left out."""
+    return F.octet_length(F.to_json(value))
+
+
+def json_array_bytes(item_bytes: Column, items: Column) -> Column:
+    """Bytes of an array of so many items with so many bytes of their own."""
+    return item_bytes + 2 + F.greatest(items - 1, F.lit(0))
+
+
 def clamped(value: Column, fallback: float) -> Column:
     """Into [0, 1]; NaN and null become the fallback."""
     return F.when(value.isNull() | F.isnan(value), fallback).otherwise(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)))
@@ -110,15 +131,46 @@ def _normalized(text: str) -> str:
     return "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in folded)
 
 
+#: Texts of these characters alone are their own compatibility form, and no rule of case looks beyond one of them.
+PLAIN = r"^[\x00-\x7FÀ-ÖØ-öø-ÿ]*\z"
+
+
+def plain(text: Column) -> Column:
+    return text.rlike(PLAIN)
+
+
 @F.pandas_udf(T.StringType())
 def normalized_any(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else _normalized(t))
 
 
 def normalized(text: Column) -> Column:
-    """Lower case, compatibility form, katakana as hiragana.  Text of ASCII alone stays in the JVM's ``lower``
-    where all of a column is such; a column that may hold others goes to ``normalized_any``."""
-    return normalized_any(text)
+    """Lower case, compatibility form, katakana as hiragana.  Plain text is done in the JVM;
+    Python gets a null in its place and sees only the others."""
+    return F.when(plain(text), F.lower(text)).otherwise(normalized_any(F.when(~plain(text), text)))
+
+
+#: Offset and prime of the 64-bit FNV-1a hash.
+FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def fnv1a(data: bytes, state: int = FNV_OFFSET) -> int:
+    for byte in data:
+        state = (state ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+    return state
+
+
+def folded(fields: list[str]) -> int:
+    """A hash of several fields, each with its end, so that no two lists of fields run together."""
+    state = FNV_OFFSET
+    for field in fields:
+        state = fnv1a(b"\0", fnv1a(field.encode(), state))
+    return state
+
+
+@F.pandas_udf(T.StringType())
+def fnv1a_hex(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")
 
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
@@ -160,9 +212,25 @@ def terms_of(text: str) -> list[str]:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def terms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def terms_any(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for text in texts:
-        yield text.map(lambda t: [] if t is None else terms_of(t))
+        yield text.map(lambda t: None if t is None else terms_of(t))
+
+
+def plain_terms(text: Column) -> Column:
+    """The terms of plain text, as many of each as ``terms_of`` gives, in another order."""
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), 1)
+    runs = F.regexp_extract_all(low, F.lit("([ß-öø-ÿ]+)"), 1)
+    pairs = F.transform(runs, lambda r: F.when(F.char_length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))))
+    camel = F.filter(F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1), lambda r: r.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"))
+    parts = F.transform(camel, lambda r: F.split(r, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"))
+    return F.concat(words, F.flatten(pairs), F.transform(F.flatten(parts), F.lower))
+
+
+def terms(text: Column) -> Column:
+    """The terms of a text as a bag: plain texts in the JVM, others in Python; none of a null."""
+    return F.coalesce(F.when(plain(text), plain_terms(text)).otherwise(terms_any(F.when(~plain(text), text))), F.array().cast("array<string>"))
 
 
 #: Words and parts of words that turn a question around.

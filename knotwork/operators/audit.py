@@ -68,6 +68,96 @@ def merge_evidence(edge: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", "shared", (F.col("na") - F.col("shared")).alias("only_a"), (F.col("nb") - F.col("shared")).alias("only_b"), overlap.alias("overlap"))
 
 
+def contradiction_section(edge: DataFrame, shares: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(place, kind, subject, label, object, objects, tendency, affirming, denying): subjects of
+    several objects, of the steadiest labels first, then edges that sources disagree about,
+    up to ``limit`` in all."""
+    text, long = (lambda: F.lit(None).cast("string")), (lambda: F.lit(None).cast("long"))
+    groups = contradictions(edge).select(F.lit(0).alias("kind"), "subject", "label", text().alias("object"), "objects", "tendency", long().alias("affirming"), long().alias("denying"))
+    signs = sign_conflicts(shares).select(F.lit(1), "subject", "label", "object", long(), F.lit(None).cast("double"), "affirming", "denying")
+    order = ("kind", F.desc("tendency"), "label", "subject", "object")
+    best = groups.union(signs).orderBy(*order).limit(limit)
+    names = F.array(F.lit("objects"), F.lit("contested"))
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("kind", F.get(names, F.col("kind")))  # at most ``limit`` rows
+
+
+def merge_section(edge: DataFrame, pairs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Candidates (a, b, score) to be one concept with what is said of both, most shared
+    facts first, then most alike names."""
+    best = pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
+    said = merge_evidence(edge, best.select("a", "b"))
+    return said.join(best, ["a", "b"]).orderBy(F.desc("overlap"), F.desc("score"), "a", "b").limit(limit).select("a", "b", "score", "shared", "only_a", "only_b", "overlap")
+
+
+def shared_facts(edge: DataFrame, pairs: DataFrame, most: int = EVIDENCE) -> DataFrame:
+    """(a, b, side, place, fact) for pairs (a, b): the first ``most`` facts that both have, and that one has alone."""
+    said = facts(edge).distinct()
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit("a").alias("of"), F.col("a").alias("concept")), F.struct(F.lit("b"), F.col("b")))).alias("x"))
+    held = sides.select("a", "b", "x.of", F.col("x.concept").alias("concept")).join(said, "concept")
+    per = held.groupBy("a", "b", "fact").agg(F.sort_array(F.collect_set("of")).alias("by"))
+    named = per.select("a", "b", F.when(F.size("by") == 2, "both").otherwise(F.get("by", F.lit(0))).alias("side"), "fact")
+    place = F.row_number().over(Window.partitionBy("a", "b", "side").orderBy("fact"))
+    return named.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def consolidation(edge: DataFrame, shares: DataFrame, sources: DataFrame, pairs: DataFrame, checks: set[str] = frozenset({"merge", "contradiction", "staleness"}), limit: int = LIMIT, floor: int = 0) -> dict[str, DataFrame]:
+    """The sections that are asked for, each in its order and up to ``limit``."""
+    if not checks or not set(checks) <= {"merge", "contradiction", "staleness"}:
+        raise ValueError("checks are merge, contradiction and staleness, one at least")
+    out = {}
+    if "merge" in checks:
+        out["merge"] = merge_section(edge, pairs, limit)
+    if "contradiction" in checks:
+        out["contradiction"] = contradiction_section(edge, shares, limit)
+    if "staleness" in checks:
+        out["staleness"] = staleness(shares, sources, floor).orderBy(F.desc("gap"), "subject", "label", "object").limit(limit)
+    return out
+
+
+def drift(assertions: DataFrame, edge: DataFrame, aliases: DataFrame, twins: DataFrame | None, unsourced: DataFrame) -> DataFrame:
+    """(section, a, b, amount): weight that nobody attests, aliases of nothing, names that may be one."""
+    out = unsourced.select(F.lit("unsourced").alias("section"), F.concat_ws(" ", "subject", "label", "object").alias("a"), F.lit(None).cast("string").alias("b"), F.col("residual").alias("amount"))
+    out = out.union(aliases.select(F.lit("dead_alias"), "alias", "canonical", F.lit(None).cast("double")))
+    return out if twins is None else out.union(twins.select(F.lit("twins"), "a", "b", "score"))
+
+
+#: Names that a schema may have at most, how deep a type may lie, and bytes of a name.
+TYPES, RELATIONS, SIDE_TYPES, DEPTH, NAME_BYTES = 500, 500, 64, 8, 1024
+
+
+def installed(is_a: dict[str, list[str]], relations: dict[str, dict[str, list[str]]]) -> dict[str, set[str]]:
+    """The closure of a schema that may be installed; others are refused with the reason."""
+    if len(is_a) > TYPES or len(relations) > RELATIONS:
+        raise ValueError(f"a schema has at most {TYPES} types and {RELATIONS} relations")
+    if TYPE_LABEL in relations:
+        raise ValueError(f"{TYPE_LABEL} is reserved")
+    sides = {(name, side): r.get(side, []) for name, r in relations.items() for side in ("domain", "range")}
+    for (name, side), held in sides.items():
+        if len(held) > SIDE_TYPES:
+            raise ValueError(f"the {side} of {name} has more than {SIDE_TYPES} types")
+    for name in [*is_a, *relations, *(t for ts in is_a.values() for t in ts), *(t for ts in sides.values() for t in ts)]:
+        if len(name.encode()) > NAME_BYTES:
+            raise ValueError(f"the name {name[:40]}... is too long")
+    above = closure(is_a)
+
+    def depth(t: str) -> int:
+        return 1 + max(map(depth, is_a.get(t, ())), default=0)
+
+    if deep := [t for t in above if depth(t) > DEPTH]:
+        raise ValueError(f"{deep[0]} lies deeper than {DEPTH}")
+    return above
+
+
+def unknown_labels(edge: DataFrame, relations: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """(context, label): live labels that the schema doesn't declare."""
+    return edge.filter((F.col("count") > 0) & (F.col("label") != TYPE_LABEL) & ~F.col("label").isin(sorted(relations))).select("context", "label").distinct()
+
+
+def reserved_aliases(aliases: DataFrame) -> DataFrame:
+    """Aliases that stand for the reserved label or take its name."""
+    return aliases.filter((F.col("kind") == "label") & ((F.col("alias") == TYPE_LABEL) | (F.col("canonical") == TYPE_LABEL)))
+
+
 def schema_violations(edge: DataFrame, is_a: dict[str, list[str]], relations: dict[str, dict[str, list[str]]], closed_labels: bool = False) -> DataFrame:
     """(context, subject, label, object, kind): live edges that break the schema.
 

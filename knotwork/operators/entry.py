@@ -57,6 +57,72 @@ def resolve(spelled: DataFrame, cue: str, floor: float = DICE_FLOOR) -> DataFram
     return best.select("name", F.col("best.score").alias("score"), F.col("best.kind").alias("kind")).orderBy(F.desc("score"), "name")
 
 
+_ORDER = {"exact": 3, "alias": 2, "containment": 1, "fuzzy": 0}
+
+
+def resolve_all(spelled: DataFrame, cues: DataFrame, floor: float = DICE_FLOOR) -> DataFrame:
+    """(cue, name, score, kind): ``resolve`` of every one of ``cues`` (cue) at once.
+
+    A spelling that holds a cue is found by the cue's rarest pair of characters, one that
+    a cue holds by the spelling's first; so each pair of them is looked at by what they
+    share, not with all others.
+    """
+    spelled = staged(spelled.select("name", "spelling", "norm").distinct(), "spellings")
+    needles = staged(cues.select("cue").distinct().withColumn("needle", normalized(F.col("cue"))).filter("needle <> ''"), "needles")
+    grams = spelled.select("name", "spelling", "norm", F.explode(bigrams(F.col("norm"))).alias("gram"))
+    asked = needles.select("cue", "needle", F.explode(bigrams(F.col("needle"))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    letters = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("(?s)(.)"), 1)))
+    row = ("cue", "needle", "name", "spelling", "norm")
+
+    rarest = asked.join(counts, "gram", "left").groupBy("cue", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("cue", "needle", F.col("r.gram").alias("gram"))
+    holds = rarest.join(grams, "gram").filter(F.contains("norm", "needle")).select(*row)
+    held = asked.join(spelled.filter(F.char_length("norm") > 1).withColumn("gram", F.substring("norm", 1, 2)), "gram").filter(F.contains("needle", "norm")).select(*row)
+    one = needles.filter(F.char_length("needle") == 1).join(spelled.withColumn("letter", letters("norm")), F.col("needle") == F.col("letter")).select(*row)
+    other = needles.withColumn("letter", letters("needle")).join(spelled.filter(F.char_length("norm") == 1), F.col("letter") == F.col("norm")).select(*row)
+    near = staged(holds.union(held).union(one).union(other).distinct(), "direct")
+    score = F.when(F.col("norm") == F.col("needle"), 1.0).otherwise(containment(F.col("norm"), F.col("needle")))
+    kind = F.when(F.col("norm") != F.col("needle"), "containment").when(normalized(F.col("name")) == F.col("needle"), "exact").otherwise("alias")
+    direct = near.select("cue", "name", "spelling", score.alias("score"), kind.alias("kind"))
+
+    known, stops = informative(spelled)
+    open_cues = needles.join(near.filter("norm = needle").select("cue").distinct(), "cue", "left_anti")
+    wanted = asked.join(open_cues.select("cue"), "cue", "left_semi").join(stops, "gram", "left_anti").select("cue", "gram")
+    n_wanted = wanted.groupBy("cue").agg(F.count("*").alias("n_asked"))
+    sizes = known.groupBy("name", "spelling").agg(F.count("*").alias("size"))
+    shared = wanted.join(known, "gram").groupBy("cue", "name", "spelling").agg(F.count("*").alias("both"))
+    fuzzy = shared.join(near.select("cue", "name", "spelling"), ["cue", "name", "spelling"], "left_anti").join(sizes, ["name", "spelling"]).join(n_wanted, "cue")
+    fuzzy = fuzzy.withColumn("score", 2.0 * F.col("both") / (F.col("n_asked") + F.col("size"))).filter(F.col("score") >= floor)
+    rows = direct.union(fuzzy.select("cue", "name", "spelling", "score", F.lit("fuzzy")))
+    rank = F.create_map(*(x for k, v in _ORDER.items() for x in (F.lit(k), F.lit(v))))
+    best = rows.groupBy("cue", "name").agg(F.max(F.struct("score", rank[F.col("kind")].alias("rank"), "kind")).alias("best"))
+    return best.select("cue", "name", F.col("best.score").alias("score"), F.col("best.kind").alias("kind"))
+
+
+def unrelated(pairs: DataFrame, edge: DataFrame, kind: str = "concept") -> DataFrame:
+    """Twins (a, b, ..) without those that resemble each other because they are related: concepts
+    that a live edge joins, labels that some subject has both of."""
+    live = edge.filter("count > 0")
+    if kind == "concept":
+        ends = live.select(F.col("subject").alias("a"), F.col("object").alias("b"))
+        ends = ends.union(ends.select("b", "a")).distinct()
+    else:
+        held = live.select("subject", "label").distinct()
+        ends = held.select("subject", F.col("label").alias("a")).join(held.select("subject", F.col("label").alias("b")), "subject").select("a", "b").distinct()
+    return pairs.join(ends, ["a", "b"], "left_anti")
+
+
+def audited_names(lexical: DataFrame, semantic: DataFrame | None, types: DataFrame | None = None) -> DataFrame:
+    """(a, b, score, tier): twins of both tiers, a pair once and by its spelling if it can be;
+    without names (name) of types where a schema has them."""
+    rows = lexical.select("a", "b", "score", F.lit("lexical").alias("tier"))
+    if semantic is not None:
+        rows = rows.union(semantic.join(lexical.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "score", F.lit("semantic")))
+    for side in ("a", "b") if types is not None else ():
+        rows = rows.join(types.select(F.col("name").alias(side)), side, "left_anti")
+    return rows.select("a", "b", "score", "tier")
+
+
 def twins(spelled: DataFrame, floor: float = TWIN_FLOOR) -> DataFrame:
     """(a, b, score): names whose spellings share informative pairs of characters, by Dice.
 

@@ -22,10 +22,13 @@ def closure(groups: DataFrame, name: str) -> DataFrame:
 
 
 def targets(contexts: list[str], groups: DataFrame, names: list[str]) -> list[str]:
-    """Contexts in the order asked for, then those of the groups by name, each once; a group has at most 1000."""
+    """Contexts in the order asked for, then those of the groups by name, each once; a group of more than 1000 is refused."""
     out = list(dict.fromkeys(contexts))
     for name in names:
-        out += [r[0] for r in closure(groups, name).orderBy("context").limit(MOST_MEMBERS).collect() if r[0] not in out]
+        found = [r[0] for r in closure(groups, name).orderBy("context").limit(MOST_MEMBERS + 1).collect()]
+        if len(found) > MOST_MEMBERS:
+            raise ValueError(f"{name} holds more than {MOST_MEMBERS} contexts")
+        out += [c for c in found if c not in out]
     return out
 
 

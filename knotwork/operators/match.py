@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalar import average, effective_time, saturated
-from knotwork.operators.fold import TRIPLE, attributions
+from knotwork.operators.fold import TRIPLE, attributions, edges
 from knotwork.plans.tables import TYPE_LABEL, Tables
 
 #: Rows of a page by default and at most.
@@ -67,6 +67,19 @@ def source_filter(sources: DataFrame, tags: list[str] = (), since: int | None =
     return sources.filter(keep)
 
 
+def refuse_window(contexts: list[str], since: int | None, until: int | None) -> None:
+    """Several contexts can't be asked within a window: their sources' times don't compare."""
+    if len(set(contexts)) > 1 and (since is not None or until is not None):
+        raise ValueError("a window asks one context")
+
+
+def crossed(tables: Tables, contexts: list[str], since: int | None = None, until: int | None = None) -> DataFrame:
+    """Edges of the contexts asked for, of one within a window if there is any."""
+    refuse_window(contexts, since, until)
+    inside = tables.within(*contexts)
+    return windowed(inside, since, until) if since is not None or until is not None else edges(inside.assertions)
+
+
 def windowed(tables: Tables, since: int | None = None, until: int | None = None) -> DataFrame:
     """Edges as the sources in the window attest them; unsourced weight and undated
     sources aren't seen, and neither are edges that none attests."""
@@ -87,6 +100,13 @@ def describe(edge: DataFrame, concept: str) -> DataFrame:
     return sides[0].unionByName(sides[1]).orderBy(F.desc("role"), F.desc("edges"), "seen", "label").select("role", "label", "edges")
 
 
+def described(edge: DataFrame, concepts: list[str]) -> DataFrame:
+    """(concept, role, label, edges): ``describe`` of several concepts."""
+    live = edge.filter("count > 0")
+    sides = [live.filter(F.col(side).isin(list(concepts))).groupBy(F.col(side).alias("concept"), F.lit(side).alias("role"), "label").agg(F.count("*").alias("edges")) for side in ("subject", "object")]
+    return sides[0].unionByName(sides[1])
+
+
 def concept_types(edge: DataFrame) -> DataFrame:
     """(context, concept, types): asserted types, not expanded."""
     return edge.filter((F.col("count") > 0) & (F.col("label") == TYPE_LABEL)).groupBy("context", F.col("subject").alias("concept")).agg(F.sort_array(F.collect_set("object")).alias("types"))

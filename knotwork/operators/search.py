@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knotwork.functions.scalar import bm25, cosine, idf, reciprocal_rank, terms
+from knotwork.functions.scalar import bm25, idf, questions_agree, reciprocal_rank, terms, terms_of
 
 LIMIT = 5
 PLACE = ["source", "paragraph"]
@@ -33,9 +35,22 @@ def tokenized(rows: DataFrame, questions: str | None = None) -> DataFrame:
     return rows.select(*PLACE, found.alias("terms"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, source, paragraph, tf, length), carriers (term, carriers) and one row
+    of corpus (documents, mean): all that a search by terms reads."""
+
+    postings: DataFrame
+    carriers: DataFrame
+    corpus: DataFrame
+
+
+TABLES = ["postings", "lengths", "carriers", "corpus"]
+
+
 def postings(tokens: DataFrame) -> DataFrame:
-    """(term, source, paragraph, tf)."""
-    return tokens.select(*PLACE, F.explode("terms").alias("term")).groupBy("term", *PLACE).agg(F.count("*").alias("tf"))
+    """(term, source, paragraph, tf, length); a paragraph's terms are counted before their shuffle."""
+    return tokens.select(*PLACE, F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("term", *PLACE, "length").agg(F.count("*").alias("tf")).select("term", *PLACE, "tf", "length")
 
 
 def lengths(tokens: DataFrame) -> DataFrame:
@@ -47,29 +62,62 @@ def corpus(length: DataFrame) -> DataFrame:
     return length.agg(F.count("*").alias("documents"), F.greatest(F.coalesce(F.avg("length"), F.lit(1.0)), F.lit(1.0)).alias("mean"))
 
 
+def carriers(posted: DataFrame) -> DataFrame:
+    return posted.groupBy("term").agg(F.count("*").alias("carriers"))
+
+
+def indexed(tokens: DataFrame) -> Index:
+    posted = postings(tokens)
+    return Index(posted, carriers(posted), corpus(lengths(tokens)))
+
+
+def stored(posted: DataFrame, length: DataFrame) -> dict[str, DataFrame]:
+    """The tables of an index as they are best stored: postings in ranges of terms, a term of
+    many carriers in several, so that a search reads the ranges of its terms."""
+    return {"postings": posted.repartitionByRange("term", "source").sortWithinPartitions("term"), "lengths": length, "carriers": carriers(posted), "corpus": corpus(length)}
+
+
+def refreshed(posted: DataFrame, length: DataFrame, before: DataFrame, now: DataFrame, tokenize) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths brought up to date: ``before`` (source, digest) is what they were
+    made of, ``now`` (source, digest, text) what there is.  Only sources that are new or
+    changed are tokenized (``tokenize`` of (source, text)); the others' rows stay, those
+    of sources that are gone leave."""
+    same = now.select("source", "digest").join(before.select("source", "digest"), ["source", "digest"], "left_semi").select("source").distinct()
+    tokens = tokenize(now.join(same, "source", "left_anti"))
+    return posted.join(same, "source", "left_semi").select("term", *PLACE, "tf", "length").union(postings(tokens)), length.join(same, "source", "left_semi").select(*PLACE, "length").union(lengths(tokens))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query, term): distinct terms of queries (query, text)."""
     return queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
 
 
-def explained(posted: DataFrame, length: DataFrame, asked: DataFrame) -> DataFrame:
+def explained(index: Index, asked: DataFrame) -> DataFrame:
     """(query, term, source, paragraph, tf, carriers, idf, contribution) where a term occurs.
 
-    Postings are cut to the asked terms before anything else; carriers and the mean
-    are those of all paragraphs, whatever is filtered later.
+    Only the asked terms' postings are read; carriers and the mean are those of all
+    paragraphs, whatever is filtered later.
     """
-    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    carriers = wanted.groupBy("term").agg(F.count("*").alias("carriers"))
-    hits = asked.join(carriers, "term").join(wanted, "term").join(length, PLACE).crossJoin(F.broadcast(corpus(length)))  # one row
+    wanted = asked.join(index.carriers, "term").crossJoin(F.broadcast(index.corpus))  # one row
+    wanted = wanted.withColumn("idf", idf(F.col("documents"), F.col("carriers")))
+    hits = wanted.join(index.postings, "term")
+    return hits.select("query", "term", *PLACE, "tf", "carriers", "idf", bm25(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean")).alias("contribution"))
+
+
+def explained_places(index: Index, asked: DataFrame, places: DataFrame) -> DataFrame:
+    """As ``explained`` for places (query, source, paragraph), with a row of tf 0 for each asked term that a place lacks."""
+    weights = asked.join(index.carriers, "term", "left").crossJoin(F.broadcast(index.corpus))  # one row
+    weights = weights.select("query", "term", F.coalesce("carriers", F.lit(0)).alias("carriers"), "documents", "mean")
+    rows = places.select("query", *PLACE).distinct().join(weights, "query").join(index.postings, ["term", *PLACE], "left")
     weight = idf(F.col("documents"), F.col("carriers"))
-    return hits.select("query", "term", *PLACE, "tf", "carriers", weight.alias("idf"), bm25(weight, F.col("tf"), F.col("length"), F.col("mean")).alias("contribution"))
+    return rows.select("query", "term", *PLACE, F.coalesce("tf", F.lit(0)).alias("tf"), "carriers", weight.alias("idf"), F.coalesce(bm25(weight, F.col("tf"), F.col("length"), F.col("mean")), F.lit(0.0)).alias("contribution"))
 
 
-def scores(posted: DataFrame, length: DataFrame, asked: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
+def scores(index: Index, asked: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
     """(query, source, paragraph, score), of eligible sources only if given."""
-    rows = explained(posted, length, asked)
+    rows = explained(index, asked)
     if eligible is not None:
-        rows = rows.join(eligible.select("source"), "source", "left_semi")
+        rows = rows.join(eligible.select("source").distinct(), "source", "left_semi")
     return rows.groupBy("query", *PLACE).agg(F.round(F.sum("contribution"), 6).alias("score"))
 
 
@@ -78,11 +126,52 @@ def ranked(scored: DataFrame, limit: int, by: list[str] = ("query",)) -> DataFra
     return scored.withColumn("rank", place).filter(F.col("rank") <= limit)
 
 
-def vector_scores(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, source, paragraph, score): cosine of every vector with the asked ones
-    (query, vector).  The asked ones are a stated set, broadcast as such."""
-    near = vectors.crossJoin(F.broadcast(asked.select("query", F.col("vector").alias("asked"))))
-    return near.select("query", *PLACE, F.round(cosine(F.col("vector"), F.col("asked")), 6).alias("score"))
+def plan(limit: int, query: str, provider: bool, stored: tuple[str, int] | None, current: tuple[str, int] | None, failure: str | None = None) -> list[tuple[str, bool, str | None]]:
+    """(lane, ran, reason): which lanes a search runs, and why one doesn't.  ``stored`` and
+    ``current`` are name and width of the model of the vectors there are and of the query's."""
+    if limit == 0:
+        return [("bm25", False, "zero_limit"), ("vector", False, "zero_limit")]
+    if not terms_of(query):
+        return [("bm25", False, "no_query_terms"), ("vector", False, "no_query_terms")]
+    if failure is not None:
+        reason = f"query_embedding_failed: {failure}"
+    elif not provider or current is None:
+        reason = "off"
+    elif stored is None:
+        reason = "no_vectors"
+    elif stored[0] != current[0]:
+        reason = "model_changed"
+    else:
+        reason = None if stored[1] == current[1] else "width_changed"
+    return [("bm25", True, None), ("vector", reason is None, reason)]
+
+
+def lanes_run(spark: SparkSession, planned: list[tuple[str, bool, str | None]]) -> DataFrame:
+    return spark.createDataFrame(planned, "lane string, ran boolean, reason string")
+
+
+def live_only(hits: DataFrame, live: DataFrame) -> DataFrame:
+    """Hits (.., source, paragraph, hash) of an index whose paragraph hasn't changed since it was made."""
+    return hits.join(live.select(*PLACE, "hash"), [*PLACE, "hash"], "left_semi")
+
+
+def from_cache(near: DataFrame, asked: DataFrame, cached: DataFrame, floor: float) -> DataFrame:
+    """(query, entry, score): the cached question (entry, text) that stands for an asked one
+    (query, text): close enough by ``near`` (query, source, score), and alike in what it
+    denies, counts and names."""
+    close = near.filter(F.col("score") >= floor).select("query", F.col("source").alias("entry"), "score")
+    both = close.join(asked.select("query", F.col("text").alias("asked")), "query").join(cached.select("entry", F.col("text").alias("stored")), "entry")
+    return both.filter(questions_agree(F.col("asked"), F.col("stored"))).groupBy("query").agg(F.max_by(F.struct("entry", "score"), F.struct("score", "entry")).alias("best")).select("query", "best.entry", "best.score")
+
+
+def cited(paragraphs_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(source, paragraph, text, section, locator, verdict) of wanted places: the paragraph with the
+    section that governs it and its own locator, or why there is none."""
+    known = paragraphs_.select("source").distinct().withColumn("stored", F.lit(True))
+    sections = governed(paragraphs_.select(*PLACE, "section")).withColumnRenamed("section", "governing")
+    rows = wanted.select(*PLACE).distinct().join(known, "source", "left").join(paragraphs_.select(*PLACE, "text", "locator"), PLACE, "left").join(sections, PLACE, "left")
+    verdict = F.when(F.col("stored").isNull(), "unknown_source").when(F.col("text").isNull(), "index_out_of_range").otherwise("ok")
+    return rows.select(*PLACE, "text", F.col("governing").alias("section"), "locator", verdict.alias("verdict"))
 
 
 def pool(limit: int) -> int:

@@ -59,6 +59,15 @@ def explore(edge: DataFrame, origins: list[str], depth: int) -> DataFrame:
     return first.select((F.col("by.distance") + 1).alias("distance"), F.col("by.path").alias("path"), *(F.col(f"edge.{k}").alias(k) for k in KEYS), (F.col("edge.sum") / F.col("edge.count")).alias("weight"), F.col("edge.count").alias("count"))
 
 
+def explore_page(rows: DataFrame, limit: int = 100, after: tuple[int, str, str, str] | None = None) -> DataFrame:
+    """The nearest ``limit`` rows of ``explore`` by distance and name, from the cursor ``after``
+    (distance and triple of the last row seen) on; ``total`` is that of all."""
+    total = rows.agg(F.count("*").alias("total"))
+    if after is not None:
+        rows = rows.filter(F.struct("distance", *KEYS) > F.struct(*(F.lit(x) for x in after)))
+    return rows.orderBy("distance", *KEYS).limit(max(0, min(limit, 1000))).crossJoin(F.broadcast(total))  # one row
+
+
 def activation(edge: DataFrame, origins: list[str], decay: float = DECAY) -> DataFrame:
     """(concept, strength): spreading activation, the best product over all ways.
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalar import average
-from knotwork.operators import audit, community, fold, groups, match, traverse
+from knotwork.operators import audit, catalog, community, entry, fold, gloss, groups, match, retrieve, search, traverse
 from knotwork.plans import tables
 from knotwork.plans.stage import staged
+from knotwork.sources import documents
 
 CONCEPT, PART, SINCE, UNTIL = "supplier:7", "part:7", 820_454_400, 883_612_800  # 1996-01-01, 1998-01-01
 IS_A = {"Supplier": ["Organisation"], "Organisation": ["Agent"], "Part": ["Thing"], "Place": []}
@@ -235,15 +236,67 @@ def undatable(spark, sf_dir):
     return audit.undatable(fold.attributions(t.assertions), t.sources, fold.edges(t.assertions)).select(*TRIPLE)
 
 
-@query(W + """, f AS (SELECT subject AS c, 'out' AS d, label AS l, object AS o FROM edges UNION SELECT object, 'in', label, subject FROM edges),
-p AS (SELECT 'supplier:' || i AS a, 'supplier:' || (i + 1) AS b FROM range(0, 9) t(i)),
-s AS (SELECT p.a, p.b, (SELECT count(*) FROM f x JOIN f y ON x.d = y.d AND x.l = y.l AND x.o = y.o WHERE x.c = p.a AND y.c = p.b) AS shared, (SELECT count(*) FROM f WHERE c = p.a) AS na, (SELECT count(*) FROM f WHERE c = p.b) AS nb FROM p)
+FACTS = """, f AS (SELECT subject AS c, 'out' AS d, label AS l, object AS o FROM edges UNION SELECT object, 'in', label, subject FROM edges),
+said AS (SELECT c, count(*) AS n FROM f GROUP BY c)"""
+
+
+@query(W + FACTS + """, p AS (SELECT 'supplier:' || s_suppkey AS a, 'supplier:' || (s_suppkey + 1) AS b FROM supplier),
+k AS (SELECT p.a, p.b, count(*) AS k FROM p JOIN f x ON x.c = p.a JOIN f y ON y.c = p.b AND x.d = y.d AND x.l = y.l AND x.o = y.o GROUP BY ALL),
+s AS (SELECT p.a, p.b, coalesce(k, 0) AS shared, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb FROM p LEFT JOIN k ON k.a = p.a AND k.b = p.b LEFT JOIN said x ON x.c = p.a LEFT JOIN said y ON y.c = p.b)
 SELECT a, b, shared, na - shared AS only_a, nb - shared AS only_b, CASE WHEN na + nb - shared = 0 THEN 0.0 ELSE shared / (na + nb - shared) END AS overlap FROM s""")
 def merge_evidence(spark, sf_dir):
-    pairs = spark.createDataFrame([(f"supplier:{i}", f"supplier:{i + 1}") for i in range(9)], "a string, b string")
+    """Every supplier with the next."""
+    pairs = tables.read(spark, sf_dir, "supplier").select(tables.named("supplier", "s_suppkey").alias("a"), F.concat(F.lit("supplier:"), (F.col("s_suppkey") + 1).cast("string")).alias("b"))
     return audit.merge_evidence(_edges(spark, sf_dir), pairs)
 
 
+@query(W + FACTS + """, p AS (SELECT 'nation:' || x.n_nationkey AS a, 'nation:' || y.n_nationkey AS b, 1.0::DOUBLE / (1 + abs(x.n_regionkey - y.n_regionkey)) AS score FROM nation x, nation y WHERE x.n_nationkey < y.n_nationkey),
+k AS (SELECT p.a, p.b, count(*) AS k FROM p JOIN f x ON x.c = p.a JOIN f y ON y.c = p.b AND x.d = y.d AND x.l = y.l AND x.o = y.o GROUP BY ALL),
+s AS (SELECT p.a, p.b, score, coalesce(k, 0) AS shared, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb FROM p LEFT JOIN k ON k.a = p.a AND k.b = p.b LEFT JOIN said x ON x.c = p.a LEFT JOIN said y ON y.c = p.b)
+SELECT a, b, score, shared, na - shared AS only_a, nb - shared AS only_b, shared / (na + nb - shared) AS overlap FROM s ORDER BY overlap DESC, score DESC, a, b LIMIT 100""")
+def merge_section(spark, sf_dir):
+    """Pairs of nations as candidates, scored by how near their regions' numbers are."""
+    nations = tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    x, y = nations.alias("x"), F.broadcast(nations).alias("y")  # the nations of the world
+    pairs = x.join(y, F.expr("x.n_nationkey < y.n_nationkey")).select(tables.named("nation", "x.n_nationkey").alias("a"), tables.named("nation", "y.n_nationkey").alias("b"), (1.0 / (1 + F.abs(F.expr("x.n_regionkey - y.n_regionkey")))).alias("score"))
+    return audit.merge_section(_edges(spark, sf_dir), pairs)
+
+
+@query(W + """, g AS (SELECT subject, label, count(*) AS objects FROM edges GROUP BY ALL),
+t AS (SELECT label, count(*) FILTER (WHERE objects = 1) / count(*) AS tendency FROM g GROUP BY label),
+signs AS (SELECT subject, label, object, count(*) FILTER (WHERE total > 0) AS affirming, count(*) FILTER (WHERE total < 0) AS denying FROM shares GROUP BY ALL HAVING affirming > 0 AND denying > 0),
+every AS (SELECT 0 AS k, 'objects' AS kind, subject, label, NULL::VARCHAR AS object, objects, tendency, NULL::BIGINT AS affirming, NULL::BIGINT AS denying FROM g JOIN t USING (label) WHERE objects > 1
+  UNION ALL SELECT 1, 'contested', subject, label, object, NULL, NULL, affirming, denying FROM signs)
+SELECT CAST(row_number() OVER (ORDER BY k, tendency DESC, label, subject, object) AS INTEGER) AS place, kind, subject, label, object, objects, tendency, affirming, denying FROM every QUALIFY place <= 200""")
+def contradiction_section(spark, sf_dir):
+    return audit.contradiction_section(_edges(spark, sf_dir), fold.attributions(tables.supplies(spark, sf_dir)), 200)
+
+
+@query(W + """SELECT 'unsourced' AS section, concat_ws(' ', subject, label, object) AS a, NULL::VARCHAR AS b, total AS amount FROM edges WHERE label <> 'supplies'
+UNION ALL SELECT 'dead_alias', 'gone', 'nobody', NULL""")
+def drift_audit(spark, sf_dir):
+    log, aliases = tables.graph(spark, sf_dir).assertions, tables.nation_aliases(spark, sf_dir)
+    extra = spark.createDataFrame([("tpch", "concept", "gone", "nobody")], aliases.schema)
+    edge = fold.edges(log)
+    return audit.drift(log, edge, fold.dead_aliases(aliases.union(extra), edge), None, fold.unsourced_edges(log))
+
+
+@query("""SELECT 'edge_twice' AS "check", (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'negative_count', (SELECT count(*) FROM region) UNION ALL SELECT 'weight_of_dead_edge', 0 UNION ALL SELECT 'sum_not_finite', 0
+UNION ALL SELECT 'attested_above_count', (SELECT count(*) FROM region) UNION ALL SELECT 'attribution_without_edge', (SELECT count(*) FROM nation) UNION ALL SELECT 'alias_is_a_name', 1 UNION ALL SELECT 'alias_of_an_alias', 2""")
+def verify_tables(spark, sf_dir):
+    """Stored tables with faults put in: each nation's edge twice, counts below zero, shares of no edge, aliases of aliases."""
+    log = tables.graph(spark, sf_dir).assertions
+    edge, shares = fold.edges(log), fold.attributions(log)
+    twice = edge.filter("label = 'part_of'")
+    regions = tables.read(spark, sf_dir, "region").select(F.lit("tpch").alias("context"), tables.named("region", "r_regionkey").alias("subject"), F.lit("odd").alias("label"), F.lit("x").alias("object"))
+    edge = edge.union(twice).union(regions.select("*", F.lit(0.0), F.lit(-1).cast("long"), F.lit(0).cast("long")))
+    nations = tables.read(spark, sf_dir, "nation").select(F.lit("tpch").alias("context"), tables.named("nation", "n_nationkey").alias("subject"), F.lit("unheard").alias("label"), F.lit("y").alias("object"))
+    more = regions.select("*", F.lit("s"), F.lit(1.0), F.lit(1).cast("long"), F.lit(None).cast("int"), F.lit(0).cast("long")).union(nations.select("*", F.lit("s"), F.lit(1.0), F.lit(1).cast("long"), F.lit(None).cast("int"), F.lit(0).cast("long")))
+    aliases = tables.nation_aliases(spark, sf_dir)
+    odd = spark.createDataFrame([("tpch", "concept", "nation:1", "nation:2"), ("tpch", "concept", "second", "N1")], aliases.schema)
+    return catalog.verified(edge, shares.union(more), aliases.union(odd))
+
+
 @query(W + """SELECT subject, label, object, 'range' AS kind FROM edges WHERE label = 'supplies' AND object IN (SELECT concept FROM types) AND object NOT IN (SELECT concept FROM expanded WHERE type = 'Part')
 UNION ALL SELECT subject, label, object, 'range' FROM edges WHERE label = 'located_in' AND object IN (SELECT concept FROM types) AND object NOT IN (SELECT concept FROM expanded WHERE type = 'Place')
 UNION ALL SELECT subject, label, object, 'domain' FROM edges WHERE label = 'supplies' AND subject IN (SELECT concept FROM types) AND subject NOT IN (SELECT concept FROM expanded WHERE type = 'Agent')
@@ -301,7 +354,7 @@ def list_concepts_page(spark, sf_dir):
     return match.vocabulary(_edges(spark, sf_dir), "part:", "part:15", 50)
 
 
-@query(W + "SELECT DISTINCT label AS name, 3::BIGINT AS total FROM edges")
+@query(W + "SELECT DISTINCT label AS name, (SELECT count(DISTINCT label) FROM edges) AS total FROM edges")
 def list_labels(spark, sf_dir):
     return match.vocabulary(_edges(spark, sf_dir), kind="label")
 
@@ -311,9 +364,10 @@ def source_filter_tags(spark, sf_dir):
     return match.source_filter(tables.order_sources(spark, sf_dir), ["1-URGENT", "status:P"], SINCE, UNTIL).select("source", "date", "stored_at")
 
 
-@query("SELECT * FROM (VALUES ('order:1', true), ('order:2', true), ('order:none', false)) v(source, found)")
+@query("SELECT source, source IN (SELECT 'order:' || o_orderkey FROM orders) AS found FROM (SELECT 'order:' || (c_custkey * 3) AS source FROM customer WHERE c_custkey <= 200)")
 def source_lookup(spark, sf_dir):
-    return match.lookup(tables.order_sources(spark, sf_dir), ["order:1", "order:2", "order:none"])
+    wanted = [f"order:{r[0] * 3}" for r in tables.read(spark, sf_dir, "customer").filter("c_custkey <= 200").select("c_custkey").collect()]
+    return match.lookup(tables.order_sources(spark, sf_dir), wanted)
 
 
 @query(W + f"SELECT count(*) > 0 AS adjacent FROM edges WHERE (subject = '{CONCEPT}' AND object = 'nation:1') OR (subject = 'nation:1' AND object = '{CONCEPT}')")
@@ -372,27 +426,33 @@ def activate_top20(spark, sf_dir):
     return out.withColumn("strength", F.round("strength", 9))
 
 
-def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.edges(tables.places(spark, sf_dir))
+DOCS = """, docs AS (SELECT 'doc:' || doc_id AS subject, 'written_in' AS label, 'lang:' || lang AS object, 1.0::DOUBLE AS total, 1::BIGINT AS n FROM documents WHERE lang IS NOT NULL
+  UNION ALL SELECT 'doc:' || doc_id, 'comes_from', source, 1.0, 1 FROM documents WHERE source IS NOT NULL),
+every AS (SELECT subject, label, object, total, n FROM edges UNION ALL SELECT * FROM docs)"""
+
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of all facts there are: supplies, places and documents."""
+    return fold.edges(tables.graph(spark, sf_dir).assertions.union(tables.writings(spark, sf_dir)))
 
-@query(W + """, hops AS (SELECT src, dst, first_seq, abs(total) AS pull FROM either WHERE label <> 'supplies'),
+
+@query(W + DOCS + """, hops AS (SELECT src, dst, first_seq, abs(total) AS pull FROM either UNION ALL SELECT subject, object, 9000000000000, 1.0 FROM docs WHERE false),
 trail(node, concepts, edges, strength, length) AS (
   SELECT 'customer:1', ['customer:1'], []::BIGINT[], 'inf'::DOUBLE, 0
   UNION ALL SELECT dst, list_append(concepts, dst), list_append(edges, first_seq), least(strength, pull), length + 1 FROM trail JOIN hops ON node = src WHERE length < 4 AND NOT list_contains(concepts, dst))
-SELECT CAST(length AS INTEGER) AS length, strength, concepts, edges, count(*) OVER () AS total, false AS capped FROM trail WHERE length > 0 AND node IN ('customer:2', 'nation:3', 'region:1') ORDER BY length, strength DESC, concepts, edges LIMIT 10""")
+SELECT CAST(length AS INTEGER) AS length, strength, concepts, edges, count(*) OVER () AS total, false AS capped FROM trail WHERE length > 0 AND node IN ('customer:2', 'part:7', 'region:1') ORDER BY length, strength DESC, concepts, edges LIMIT 10""")
 def paths_depth4(spark, sf_dir):
     """``capped``: the budget of trails ran out, and longer paths are missing from rows and ``total``."""
-    out, capped = traverse.paths(_places(spark, sf_dir), ["customer:1"], ["customer:2", "nation:3", "region:1"], 4)
+    out, capped = traverse.paths(_whole(spark, sf_dir), ["customer:1"], ["customer:2", "part:7", "region:1"], 4)
     if capped and out.isEmpty():
         raise ValueError("the budget of trails ran out before any path was found")
     return out.withColumn("capped", F.lit(capped))
 
 
-@query(W + f""", hops AS (SELECT src, dst FROM either WHERE label <> 'supplies'), reach(c) AS (SELECT 'region:0' UNION SELECT dst FROM reach JOIN hops ON c = src)
-SELECT {ROW} FROM edges WHERE label <> 'supplies' AND subject NOT IN (SELECT c FROM reach)""")
+@query(W + DOCS + f""", hops AS (SELECT subject AS src, object AS dst FROM every UNION SELECT object, subject FROM every), reach(c) AS (SELECT 'region:0' UNION SELECT dst FROM reach JOIN hops ON c = src)
+SELECT {ROW} FROM every WHERE subject NOT IN (SELECT c FROM reach)""")
 def unreachable_from(spark, sf_dir):
-    return _rows(traverse.unreachable_from(_places(spark, sf_dir), ["region:0"]))
+    return _rows(traverse.unreachable_from(_whole(spark, sf_dir), ["region:0"]))
 
 
 @query(W + "SELECT least(subject, object) AS a, greatest(subject, object) AS b, sum(abs(total)) AS weight FROM edges WHERE subject <> object GROUP BY ALL HAVING weight > 0")
@@ -400,11 +460,33 @@ def leaf_graph(spark, sf_dir):
     return community.leaf_graph(_edges(spark, sf_dir)).drop("context")
 
 
+@query(W + REGIONAL + "SELECT context, count(DISTINCT concept) AS concepts, true AS better FROM (SELECT context, subject AS concept FROM regional WHERE total <> 0 UNION SELECT context, object FROM regional WHERE total <> 0) GROUP BY context")
+def communities_cover(spark, sf_dir):
+    """Every concept of a context is in one finest community, and these are no less dense inside than chance has it."""
+    edge = staged(fold.edges(tables.regional(spark, sf_dir).assertions), "edges")
+    found = staged(community.communities(edge), "communities").filter("level = 0")
+    once = found.groupBy("context", "concept").agg(F.count("*").alias("n")).filter("n = 1").groupBy("context").agg(F.count("*").alias("concepts"))
+    better = community.modularity(community.leaf_graph(edge), found).select("context", (F.col("modularity") > -1e-9).alias("better"))
+    return once.join(better, "context").select("context", "concepts", "better")
+
+
 @query(None)
 def communities(spark, sf_dir):
     return community.communities(fold.edges(tables.regional(spark, sf_dir).assertions))
 
 
+@query(None)
+def community_search(spark, sf_dir):
+    """Communities of the first region whose heaviest facts name a part, with their strongest members."""
+    edge = staged(fold.edges(tables.regional(spark, sf_dir).within("region:0").assertions), "edges")
+    members = staged(community.communities(edge), "communities")
+    rows = community.summaries(edge, members).select(F.concat_ws("/", "context", "community").alias("source"), F.lit(0).alias("paragraph"), "text")
+    asked = search.query_terms(spark.createDataFrame([("part", "part 7 supplier"), ("supplier", "supplier 3")], "query string, text string"))
+    hits = search.ranked(search.scores(search.indexed(staged(search.tokenized(rows), "tokens")), asked), 5)
+    where = F.split("source", "/")
+    return community.searched(hits.select("query", where[0].alias("context"), where[1].alias("community"), "score"), community.strongest_members(edge, members), 1, 1)
+
+
 @query(W + f", w AS ({WINDOW.format(f'< {SINCE}')}) SELECT subject, label, object, CAST(1 AS INTEGER) AS distance, total / n AS weight, n AS count FROM w WHERE subject = '{CONCEPT}' OR object = '{CONCEPT}'")
 def explore_window(spark, sf_dir):
     return traverse.explore(match.visible(match.windowed(tables.graph(spark, sf_dir), until=SINCE)), [CONCEPT], 1).drop("path")
@@ -415,3 +497,69 @@ def alias_canonical_fold(spark, sf_dir):
     placed = tables.places(spark, sf_dir).filter("subject LIKE 'supplier:%'")
     said = placed.withColumn("object", F.regexp_replace("object", "^nation:", "N"))
     return fold.edges(fold.canonical(placed.union(said), tables.nation_aliases(spark, sf_dir))).select(*TRIPLE, "sum", "count")
+
+
+@query(W + f""", nodes AS (SELECT concept, min(d) AS d FROM (SELECT '{CONCEPT}' AS concept, 0 AS d UNION ALL SELECT dst, 1 FROM either WHERE src = '{CONCEPT}') GROUP BY concept),
+every AS (SELECT subject, label, object, CAST(min(d) + 1 AS INTEGER) AS distance, any_value(total / n) AS weight, any_value(n) AS count FROM either JOIN nodes ON src = concept GROUP BY subject, label, object)
+SELECT *, (SELECT count(*) FROM every) AS total FROM every WHERE (distance, subject, label, object) > (1, '{CONCEPT}', 'supplies', 'part:5') ORDER BY distance, subject, label, object LIMIT 40""")
+def explore_page(spark, sf_dir):
+    rows = traverse.explore(match.visible(_edges(spark, sf_dir)), [CONCEPT], 2).drop("path")
+    return traverse.explore_page(rows, 40, (1, CONCEPT, "supplies", "part:5"))
+
+
+IN_WINDOW = f""", w AS (SELECT subject, label, object, sum(weight) AS total, count(*) AS n, min(seq) AS first_seq FROM supplies WHERE source IN (SELECT source FROM sources WHERE coalesce(date, stored_at) >= {SINCE} AND coalesce(date, stored_at) < {UNTIL}) GROUP BY ALL),
+seen AS (SELECT subject AS src, object AS dst, subject, label, object, total, n, first_seq FROM w UNION ALL SELECT object, subject, subject, label, object, total, n, first_seq FROM w WHERE subject <> object)"""
+
+
+@query(W + IN_WINDOW + ACTIVE.format(CONCEPT).replace("FROM either", "FROM seen") + "SELECT round(strength, 9) AS strength, subject, label, object, weight, count, count(*) OVER () AS total FROM reached ORDER BY reached.strength DESC, seen, subject, label, object LIMIT 20")
+def activate_window(spark, sf_dir):
+    """Activation over what sources of a window attest: other facts neither show nor lead on."""
+    out = traverse.activate(match.visible(match.windowed(tables.graph(spark, sf_dir), SINCE, UNTIL)), [CONCEPT])
+    return out.withColumn("strength", F.round("strength", 9))
+
+
+@query(W + """, around AS (SELECT subject AS concept, * FROM edges UNION ALL SELECT object, * FROM edges WHERE subject <> object),
+best AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY abs(total) DESC, first_seq, subject, label, object) AS place FROM around QUALIFY place <= 4),
+said AS (SELECT *, lag(subject) OVER (PARTITION BY concept ORDER BY place) AS last FROM best)
+SELECT concept, concept || '。' || string_agg(CASE WHEN subject <> concept AND subject IS DISTINCT FROM last THEN subject || 'の' ELSE '' END || label || 'は' || object || CASE WHEN total < 0 THEN 'ではない' ELSE '' END || '。', '' ORDER BY place) AS gloss FROM said GROUP BY concept""")
+def concept_glosses(spark, sf_dir):
+    return gloss.concept_glosses(_edges(spark, sf_dir)).drop("context")
+
+
+@query(W + """, best AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(total) DESC, first_seq, subject, label, object) AS place FROM edges QUALIFY place <= 3),
+said AS (SELECT *, lag(subject) OVER (PARTITION BY label ORDER BY place) AS last FROM best)
+SELECT label, label || '。' || string_agg(CASE WHEN subject IS DISTINCT FROM last THEN subject || 'の' ELSE '' END || label || 'は' || object || CASE WHEN total < 0 THEN 'ではない' ELSE '' END || '。', '' ORDER BY place) AS gloss FROM said GROUP BY label""")
+def label_glosses(spark, sf_dir):
+    return gloss.label_glosses(_edges(spark, sf_dir)).drop("context")
+
+
+@query(W + ACTIVE.format(CONCEPT) + f""", q AS (SELECT 0 AS lane, row_number() OVER (ORDER BY abs(total / n) DESC, subject, label, object) AS n, subject, label, object, total / n AS weight, n AS count FROM edges WHERE subject = '{CONCEPT}' AND label = 'supplies' QUALIFY row_number() OVER (ORDER BY abs(total / n) DESC, subject, label, object) <= 100),
+top AS (SELECT * FROM reached ORDER BY strength DESC, seen, subject, label, object LIMIT 20),
+a AS (SELECT 1 AS lane, row_number() OVER (ORDER BY strength DESC, subject, label, object) AS n, subject, label, object, weight, count FROM top),
+first AS (SELECT * FROM (SELECT * FROM q UNION ALL SELECT * FROM a) QUALIFY row_number() OVER (PARTITION BY subject, label, object ORDER BY lane, n) = 1)
+SELECT CAST(row_number() OVER (ORDER BY lane, n) AS INTEGER) AS place, CASE lane WHEN 0 THEN 'query' ELSE 'activate' END AS origin, subject, label, object, weight, count FROM first""")
+def retrieve_associations(spark, sf_dir):
+    """A wording in capitals, resolved to its name; what that supplies, and what activation adds."""
+    return retrieve.retrieve(tables.graph(spark, sf_dir), [CONCEPT.upper()], ["supplies"]).associations
+
+
+@query("SELECT DISTINCT 'file' || (p_partkey % 9) || '.py::' || replace(p_name, ' ', '_') AS name FROM part WHERE p_partkey % 9 = 4")
+def code_tree(spark, sf_dir):
+    """What the fifth file contains, parts as its symbols."""
+    part = tables.read(spark, sf_dir, "part")
+    file = F.concat(F.lit("file"), (F.col("p_partkey") % 9).cast("string"), F.lit(".py"))
+    facts = part.select(file.alias("subject"), F.lit("contains").alias("label"), F.concat(file, F.lit("::"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("object"))
+    return documents.code_tree(facts, "file4.py")
+
+
+@query(W + "SELECT DISTINCT label FROM edges WHERE label <> 'supplies'")
+def unknown_labels(spark, sf_dir):
+    return audit.unknown_labels(_typed(spark, sf_dir), {"supplies": {}}).select("label")
+
+
+@query(W + """, p AS (SELECT 'supplier:' || s_suppkey AS a, 'nation:' || (s_suppkey % 25) AS b FROM supplier)
+SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM edges WHERE (subject = a AND object = b) OR (subject = b AND object = a))""")
+def unrelated_pairs(spark, sf_dir):
+    """Suppliers with nations, without those that lie there."""
+    pairs = tables.read(spark, sf_dir, "supplier").select(tables.named("supplier", "s_suppkey").alias("a"), F.concat(F.lit("nation:"), (F.col("s_suppkey") % 25).cast("string")).alias("b"))
+    return entry.unrelated(pairs, _edges(spark, sf_dir))

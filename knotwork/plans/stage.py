@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the session's ``spark.checkpoint.dir``; in a temporary folder of this machine only where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -17,7 +19,12 @@ def new_path(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="knotwork-checkpoint-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = current.get()
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -25,3 +32,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """A digest of the names, lengths and times of the files of a table."""
+    where, files = _file_system(spark, path)
+    found = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where))
+    return hashlib.sha256(repr((path, found)).encode()).hexdigest()[:24]
+
+
+def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], dict[str, DataFrame]], tables: list[str]) -> dict[str, DataFrame]:
+    """Tables that are built once for as long as the files of their inputs don't change, and then read again.
+
+    A table counts once its write has been committed; what a failed build left is built anew."""
+    root = f"{shared_dir(spark)}/kept/{name}-" + "-".join(state_of(spark, i) for i in inputs)
+    paths = {t: f"{root}/{t}" for t in tables}
+
+    def there(path: str) -> bool:
+        where, files = _file_system(spark, f"{path}/_SUCCESS")
+        return files.exists(where)
+
+    if not all(map(there, paths.values())):
+        for t, df in build().items():
+            df.write.mode("overwrite").parquet(paths[t])
+    return {t: spark.read.parquet(p) for t, p in paths.items()}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Order of the log's parts: facts from line items come first.
-CUSTOMERS, SUPPLIERS, NATIONS, TYPES = 1_000_000_000_000, 2_000_000_000_000, 3_000_000_000_000, 4_000_000_000_000
+CUSTOMERS, SUPPLIERS, NATIONS, TYPES, WRITINGS = 1_000_000_000_000, 2_000_000_000_000, 3_000_000_000_000, 4_000_000_000_000, 9_000_000_000_000
 TYPE_LABEL = "schema:type"
 ASSERTION = ["context", "seq", "subject", "label", "object", "weight", "source", "paragraph"]
 
@@ -71,6 +71,14 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.union(suppliers).union(nations)
 
 
+def writings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language and origin of documents, which nothing else in the graph touches."""
+    rows = read(spark, sf_dir, "documents")
+    return rows.select(F.lit("tpch").alias("context"), F.col("doc_id"), named("doc", "doc_id").alias("subject"), F.explode(F.create_map(F.lit("written_in"), F.concat(F.lit("lang:"), "lang"), F.lit("comes_from"), F.col("source"))).alias("label", "object")).filter("object IS NOT NULL").select(
+        "context", (F.lit(WRITINGS) + F.col("doc_id") * 2 + (F.col("label") == "comes_from").cast("int")).alias("seq"), "subject", "label", "object", F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("paragraph"),
+    )
+
+
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of suppliers and of nations; parts of odd number are typed Part, some customers Supplier by mistake."""
     suppliers = _unsourced(read(spark, sf_dir, "supplier"), TYPES, "s_suppkey", named("supplier", "s_suppkey"), TYPE_LABEL, F.lit("Supplier"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import scalar
-from knotwork.operators import entry, evaluate, evidence, match, search
+from knotwork.operators import entry, evaluate, evidence, extraction, fold, match, search, vectors
 from knotwork.plans import graph_queries, tables
-from knotwork.plans.stage import new_path, staged
+from knotwork.plans.stage import kept, new_path, staged
 from knotwork.sources import documents, jsonl
 from knotwork.streaming import oplog
 
@@ -52,11 +52,25 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.paragraphs(tables.passages(spark, sf_dir), ["context", "source", "tags"])
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, lengths and the asked terms; tokens are kept once, since both come from them."""
-    tokens = staged(search.tokenized(_paragraphs(spark, sf_dir)), "tokens")
-    asked = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query"), "text")
-    return search.postings(tokens), search.lengths(tokens), search.query_terms(asked)
+def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of the documents, built once for as long as their file doesn't change."""
+
+    def build() -> dict[str, DataFrame]:
+        tokens = staged(search.tokenized(_paragraphs(spark, sf_dir)), "tokens")
+        return search.stored(staged(search.postings(tokens), "postings"), search.lengths(tokens))
+
+    found = kept(spark, "index", [f"{sf_dir}/documents.parquet"], build, search.TABLES)
+    return search.Index(found["postings"], found["carriers"], found["corpus"])
+
+
+def _asked(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """The terms of the benchmark's items, or of some of them, as queries."""
+    rows = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query"), "text")
+    return search.query_terms(rows.filter(F.col("query").isin(*only)) if only else rows)
+
+
+def _scores(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    return search.scores(_index(spark, sf_dir), _asked(spark, sf_dir, *only))
 
 
 @query(r"""WITH c AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
@@ -70,25 +84,24 @@ def paragraph_split(spark, sf_dir):
 
 @query("WITH " + BM25 + "SELECT source, paragraph, term, tf FROM posted")
 def postings_build(spark, sf_dir):
-    return _index(spark, sf_dir)[0].select("source", "paragraph", "term", "tf")
+    return _index(spark, sf_dir).postings.select("source", "paragraph", "term", "tf")
 
 
 @query("WITH " + BM25 + f"SELECT * FROM (SELECT query, source, paragraph, score, {RANK.format('query')} AS rank FROM scored) WHERE rank <= 5")
 def bm25_search(spark, sf_dir):
-    return search.ranked(search.scores(*_index(spark, sf_dir)), 5)
+    return search.ranked(_scores(spark, sf_dir), 5)
 
 
 @query("WITH " + BM25 + "SELECT query, term, source, paragraph, tf, carriers, round(idf, 6) AS idf, round(contribution, 6) AS contribution FROM explained WHERE query = '3'")
 def bm25_explain(spark, sf_dir):
-    posted, length, asked = _index(spark, sf_dir)
-    out = search.explained(posted, length, asked.filter("query = '3'"))
+    out = search.explained(_index(spark, sf_dir), _asked(spark, sf_dir, "3"))
     return out.withColumns({"idf": F.round("idf", 6), "contribution": F.round("contribution", 6)})
 
 
 @query("WITH " + BM25 + f"SELECT * FROM (SELECT query, source, paragraph, score, {RANK.format('query')} AS rank FROM scored JOIN lengths USING (source, paragraph) WHERE lang IN ('fr', 'de')) WHERE rank <= 5")
 def bm25_filtered(spark, sf_dir):
     eligible = match.source_filter(tables.passages(spark, sf_dir), ["fr", "de"])
-    return search.ranked(search.scores(*_index(spark, sf_dir), eligible), 5)
+    return search.ranked(search.scores(_index(spark, sf_dir), _asked(spark, sf_dir), eligible), 5)
 
 
 COSINE = "round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x)))), 6)"
@@ -98,15 +111,19 @@ sense AS (SELECT CAST(a.vec_id AS VARCHAR) AS query, b.source, b.paragraph, {COS
 """
 
 
-def _sense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item asks with the vector of its number."""
     asked = tables.read(spark, sf_dir, "embeddings").join(tables.read(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id"))
-    return search.vector_scores(tables.vectors(spark, sf_dir), asked.select(F.col("item_id").cast("string").alias("query"), F.col("embedding").alias("vector")))
+    return asked.select(F.col("item_id").cast("string").alias("query"), F.col("embedding").alias("vector"))
+
+
+def _sense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return vectors.nearest(tables.vectors(spark, sf_dir), _asked_vectors(spark, sf_dir), k)
 
 
 @query("WITH " + VECTORS + f"SELECT * FROM (SELECT query, source, CAST(paragraph AS INTEGER) AS paragraph, score, {RANK.format('query')} AS rank FROM sense) WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
-    return search.ranked(_sense(spark, sf_dir), 10)
+    return search.ranked(_sense(spark, sf_dir, 10), 10)
 
 
 @query("WITH " + BM25 + ", " + VECTORS + f""",
@@ -115,7 +132,7 @@ b AS (SELECT * FROM (SELECT query, source, paragraph, score, {RANK.format('query
 f AS (SELECT query, source, paragraph, round(coalesce(1.0 / (60 + a.r), 0.0) + coalesce(1.0 / (60 + b.r), 0.0), 9) AS score FROM a FULL OUTER JOIN b USING (query, source, paragraph))
 SELECT * FROM (SELECT query, source, CAST(paragraph AS INTEGER) AS paragraph, score, {RANK.format('query')} AS rank FROM f) WHERE rank <= 5""")
 def hybrid_rrf(spark, sf_dir):
-    return search.fused(search.scores(*_index(spark, sf_dir)), _sense(spark, sf_dir), 5, 0.2)
+    return search.fused(_scores(spark, sf_dir), _sense(spark, sf_dir, search.pool(5)), 5, 0.2)
 
 
 @query("WITH " + BM25 + f""",
@@ -123,18 +140,62 @@ r AS (SELECT query, context, source, paragraph, score, {RANK.format('query, cont
 SELECT * FROM (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY rank, target) AS INTEGER) AS place, context, source, paragraph, score FROM r WHERE rank <= 6) WHERE place <= 6""")
 def cross_passage_interleave(spark, sf_dir):
     where = tables.passages(spark, sf_dir).select("source", "context")
-    return search.interleaved(search.scores(*_index(spark, sf_dir)).join(where, "source"), ["src3", "src0", "src7"], 6)
+    return search.interleaved(_scores(spark, sf_dir).join(where, "source"), ["src3", "src0", "src7"], 6)
 
 
 @query("WITH " + BM25 + f""",
 r AS (SELECT query, source, paragraph, {RANK.format('query')} AS rank FROM scored),
-q(query, source, paragraph) AS (VALUES ('3', 'doc:1', 0), ('3', 'doc:2', 0), ('3', 'doc:1', 9), ('3', 'doc:none', 0))
+q AS (SELECT '3' AS query, source, paragraph FROM lengths UNION ALL SELECT '4', source, 9 FROM lengths UNION ALL SELECT '3', 'doc:none', 0)
 SELECT q.query, q.source, CAST(q.paragraph AS INTEGER) AS paragraph,
   CASE WHEN q.source NOT IN (SELECT source FROM lengths) THEN 'not_stored' WHEN q.paragraph > 0 THEN 'paragraph_out_of_range' WHEN rank IS NULL THEN 'no_term_overlap' WHEN rank > 100 THEN 'outranked' ELSE 'served' END AS verdict, rank
 FROM q LEFT JOIN r USING (query, source, paragraph)""")
 def search_verdicts(spark, sf_dir):
-    asked = spark.createDataFrame([("3", "doc:1", 0), ("3", "doc:2", 0), ("3", "doc:1", 9), ("3", "doc:none", 0)], "query string, source string, paragraph int")
-    return search.verdicts(search.scores(*_index(spark, sf_dir)), _paragraphs(spark, sf_dir), asked, 100)
+    """Of every paragraph for one query, of paragraphs that aren't there for another, and of a source that isn't stored."""
+    known = _paragraphs(spark, sf_dir)
+    places = known.select("source", "paragraph").distinct()
+    asked = places.select(F.lit("3").alias("query"), "source", "paragraph").union(places.select(F.lit("4"), "source", F.lit(9)))
+    asked = asked.union(spark.createDataFrame([("3", "doc:none", 0)], "query string, source string, paragraph int"))
+    return search.verdicts(_scores(spark, sf_dir, "3", "4"), known, asked, 100)
+
+
+@query("WITH " + BM25 + f""",
+top AS (SELECT query, source, paragraph FROM (SELECT *, {RANK.format('query')} AS r FROM scored WHERE query IN ('3', '4')) WHERE r <= 5),
+every AS (SELECT t.query, a.term, t.source, t.paragraph, coalesce(p.tf, 0) AS tf, coalesce(carriers, 0) AS carriers, length, documents, mean FROM top t JOIN asked a USING (query) LEFT JOIN carriers USING (term) LEFT JOIN posted p USING (term, source, paragraph) JOIN lengths l ON l.source = t.source AND l.paragraph = t.paragraph, corpus),
+weighted AS (SELECT *, ln(1 + (documents - carriers + 0.5) / (carriers + 0.5)) AS w FROM every)
+SELECT query, term, source, CAST(paragraph AS INTEGER) AS paragraph, tf, carriers, round(w, 6) AS idf, round(w * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean)), 6) AS contribution FROM weighted""")
+def bm25_explain_places(spark, sf_dir):
+    """Every asked term in the best five of two queries, also where it doesn't occur."""
+    index, asked = _index(spark, sf_dir), _asked(spark, sf_dir, "3", "4")
+    best = staged(search.ranked(search.scores(index, asked), 5).select("query", "source", "paragraph"), "best")
+    out = search.explained_places(index, asked, best)
+    return out.withColumns({"idf": F.round("idf", 6), "contribution": F.round("contribution", 6)})
+
+
+@query("WITH " + BM25 + "SELECT source, paragraph, term, tf FROM posted")
+def index_refresh(spark, sf_dir):
+    """An index made when a tenth of the documents weren't there and others had another text, brought up to date."""
+    now = tables.passages(spark, sf_dir).select("source", "text", F.xxhash64("text").alias("digest"))
+    number = F.substring_index("source", ":", -1).cast("long")
+    then = now.filter(number % 10 != 0).withColumn("text", F.when(number % 7 == 3, F.concat("text", F.lit(" as it was"))).otherwise(F.col("text"))).select("source", "text", F.xxhash64("text").alias("digest"))
+    gone = spark.createDataFrame([("doc:gone", "a text that went", 0)], then.schema)
+    tokenize = lambda rows: search.tokenized(search.paragraphs(rows, ["source"]))
+    old = staged(tokenize(then.union(gone)), "tokens")
+    posted, _ = search.refreshed(staged(search.postings(old), "postings"), search.lengths(old), then.union(gone), now, tokenize)
+    return posted.select("source", "paragraph", "term", "tf")
+
+
+@query(None)
+def vector_ivf(spark, sf_dir):
+    """``vector_topk`` by probing lists, whatever the number of vectors."""
+    index = vectors.inverted(tables.vectors(spark, sf_dir))
+    return search.ranked(vectors.nearest_by_lists(index, _asked_vectors(spark, sf_dir), 10), 10)
+
+
+@query("SELECT 'bm25' AS lane, true AS ran, NULL::VARCHAR AS reason UNION ALL SELECT 'vector', false, 'width_changed'")
+def search_plan(spark, sf_dir):
+    """The lanes of a search whose vectors have another width than the stored ones."""
+    width = tables.read(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0]
+    return search.lanes_run(spark, search.plan(5, "some words", True, ("model", width), ("model", width + 1)))
 
 
 SPELLED = "spelled AS (SELECT DISTINCT p_name AS name, p_name AS norm FROM part UNION SELECT n_name, lower(n_name) FROM nation UNION SELECT 'small ring', 'tiny loop')"
@@ -157,7 +218,7 @@ def lexical_twins(spark, sf_dir):
 CUES = ("blue ring", "Small Ring", "tiny loop", "smal rnig", "ring")
 
 
-@query(f"""WITH {SPELLED}, {GRAMS}, cues AS (SELECT cue, lower(cue) AS needle FROM (VALUES {', '.join(f"('{c}')" for c in CUES)}) v(cue)),
+@query(f"""WITH {SPELLED}, {GRAMS}, cues AS (SELECT cue, lower(cue) AS needle FROM (VALUES {', '.join(f"('{c}')" for c in CUES)}) v(cue) UNION SELECT name, lower(name) FROM spelled),
 direct AS (SELECT cue, name, norm, CASE WHEN norm = needle THEN 1.0::DOUBLE ELSE least(length(norm), length(needle)) / greatest(length(norm), length(needle)) END AS score,
   CASE WHEN norm <> needle THEN 'containment' WHEN lower(name) = needle THEN 'exact' ELSE 'alias' END AS kind FROM spelled, cues WHERE contains(norm, needle) OR contains(needle, norm)),
 asked AS (SELECT cue, gram FROM (SELECT cue, unnest(list_distinct(list_transform(range(1, length(needle)), lambda i: needle[i:i+1]))) AS gram FROM cues) WHERE gram NOT IN (SELECT gram FROM stops)),
@@ -166,12 +227,10 @@ fuzzy AS (SELECT cue, i.name, i.norm, 2.0 * count(*) / (any_value(n) + any_value
 every AS (SELECT cue, name, score, kind FROM direct UNION ALL SELECT cue, name, score, 'fuzzy' FROM fuzzy WHERE score >= 0.3)
 SELECT cue, name, round(score, 9) AS score, kind FROM every QUALIFY row_number() OVER (PARTITION BY cue, name ORDER BY score DESC, list_position(['exact', 'alias', 'containment', 'fuzzy'], kind)) = 1""")
 def resolve_tiers(spark, sf_dir):
+    """Some wordings, and every name there is."""
     spelled = staged(_spelled(spark, sf_dir), "spellings")
-    out = None
-    for cue in CUES:
-        found = entry.resolve(spelled, cue).select(F.lit(cue).alias("cue"), "name", F.round("score", 9).alias("score"), "kind")
-        out = found if out is None else out.union(found)
-    return out
+    cues = spelled.select(F.col("name").alias("cue")).union(spark.createDataFrame([(c,) for c in CUES], "cue string"))
+    return entry.resolve_all(spelled, cues).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {SPELLED} SELECT DISTINCT 'zzz' AS name, 'not_in_vocabulary' AS verdict, NULL::DOUBLE AS score, NULL::INTEGER AS rank FROM spelled UNION ALL SELECT 'small ring', 'served', 1.0, 1")
@@ -187,7 +246,7 @@ def semantic_resolve(spark, sf_dir):
 
 
 LANES = f"""lanes AS (SELECT query, 'bm25' AS lane, source AS item, {RANK.format('query')} AS rank FROM scored UNION ALL SELECT query, 'vector', source, {RANK.format('query')} FROM sense),
-best AS (SELECT query, item, lane, min(rank) AS rank FROM lanes WHERE rank <= 30 GROUP BY ALL)"""
+best AS (SELECT query, item, lane, min(rank) AS rank FROM lanes WHERE rank <= 50 GROUP BY ALL)"""
 
 
 @query("WITH " + BM25 + ", " + VECTORS + ", " + LANES + """,
@@ -210,15 +269,41 @@ def evidence_fuse(spark, sf_dir):
 
 
 def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lane = lambda df, name: search.ranked(df, 30).select("query", F.lit(name).alias("lane"), F.lit("passage").alias("kind"), F.col("source").alias("item"), "rank")
-    return lane(search.scores(*_index(spark, sf_dir)), "bm25").union(lane(_sense(spark, sf_dir), "vector"))
+    most = search.pool(search.LIMIT)
+    lane = lambda df, name: search.ranked(df, most).select("query", F.lit(name).alias("lane"), F.lit("passage").alias("kind"), F.col("source").alias("item"), "rank")
+    return lane(_scores(spark, sf_dir), "bm25").union(lane(_sense(spark, sf_dir, most), "vector"))
+
+
+SAID = """said AS (SELECT CAST(item_id AS VARCHAR) AS query, 'doc:' || doc_id AS subject, label, object FROM (
+  SELECT doc_id, 'written_in' AS label, 'lang:' || lang AS object FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, 'comes_from', source FROM documents WHERE source IS NOT NULL) JOIN benchmark ON doc_id IN (item_id, item_id + 1)),
+ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY subject, label, object) AS INTEGER) AS rank FROM said)"""
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, subject, label, object, rank): what the graph says of the document of each item's number and of the next."""
+    items = tables.read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.col("item_id"), F.col("item_id") + 1)).alias("doc"))
+    rows = tables.writings(spark, sf_dir).join(items.withColumn("subject", tables.named("doc", "doc")), "subject")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("subject", "label", "object"))
+    return rows.select(F.col("item_id").cast("string").alias("query"), "subject", "label", "object").withColumn("rank", place)
+
+
+@query("WITH " + BM25 + ", " + VECTORS + ", " + LANES + ", " + SAID + """,
+every AS (SELECT query, 'passage' AS kind, item, lane, rank FROM best UNION ALL SELECT query, 'association', concat_ws(' | ', subject, label, object), 'graph_query', rank FROM ranks)
+SELECT query, kind, item, round(sum(1.0 / (60 + rank)), 9) AS score, list_sort(list(lane)) AS lanes FROM every GROUP BY query, kind, item""")
+def evidence_assemble(spark, sf_dir):
+    """Passages of both lanes and facts of the graph, fused."""
+    return evidence.fuse(_lanes(spark, sf_dir).union(evidence.graph_lane(_said(spark, sf_dir), "graph_query")))
 
 
 @query(None)
 def evidence_select(spark, sf_dir):
-    texts = tables.passages(spark, sf_dir).select(F.col("source").alias("item"), F.col("context").alias("source"), "text")
-    pool = evidence.fuse(_lanes(spark, sf_dir)).join(texts, "item").select("query", "kind", "item", "source", "text", "score", F.lit(None).cast("string").alias("group"))
-    return evidence.selected(pool)
+    """Facts of a subject and label as one group, passages on their own."""
+    said = staged(_said(spark, sf_dir), "said")
+    texts = tables.passages(spark, sf_dir).select(F.col("source").alias("item"), F.col("context").alias("source"), "text", F.lit(None).cast("string").alias("group"))
+    fused = staged(evidence.fuse(_lanes(spark, sf_dir).union(evidence.graph_lane(said, "graph_query"))), "fused")
+    pool = fused.filter("kind = 'passage'").join(texts, "item").select("query", "kind", "item", "source", "text", "score", "group")
+    facts = fused.join(evidence.association_items(said), ["query", "kind", "item"]).select("query", "kind", "item", "source", "text", "score", "group")
+    return evidence.selected(pool.union(facts))
 
 
 @query("WITH " + BM25 + f""",
@@ -228,8 +313,7 @@ met AS (SELECT w.query, w.item, relevance, rank FROM want w LEFT JOIN (SELECT *
 ideal AS (SELECT query, sum(relevance / log2(p + 1)) AS ideal FROM (SELECT query, relevance, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, item) AS p FROM want) GROUP BY query)
 SELECT query, round(count(rank) / count(*), 9) AS recall, round(coalesce(1.0 / min(rank), 0.0), 9) AS reciprocal, round(least(coalesce(sum(relevance / log2(rank + 1)) / any_value(ideal), 0.0), 1.0), 9) AS ndcg FROM met JOIN ideal USING (query) GROUP BY query""")
 def eval_metrics(spark, sf_dir):
-    posted, length, asked = _index(spark, sf_dir)
-    hits = search.ranked(search.scores(posted, length, asked), 50).select("query", F.col("source").alias("item"), "rank")
+    hits = search.ranked(_scores(spark, sf_dir), 50).select("query", F.col("source").alias("item"), "rank")
     items = tables.read(spark, sf_dir, "benchmark").select("item_id")
     n = items.agg(F.count("*").alias("n"))
     graded = tables.read(spark, sf_dir, "labels").crossJoin(F.broadcast(n))  # one row
@@ -269,12 +353,17 @@ def sentence_split(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", scalar.sentences(F.col("text")).alias("sentences"))
 
 
-@query("SELECT doc_id, len(list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9\\-._/+#一-龯々ァ-ヶー]+'), lambda r: regexp_replace(r, '^[\\-._/+#]+|[\\-._/+#]+$', '', 'g'))), lambda r: length(r) >= 2 AND NOT regexp_full_match(r, '[0-9]+') AND strlen(r) <= 64)) AS terms FROM documents")
+@query("SELECT doc_id, list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9\\-._/+#一-龯々ァ-ヶー]+'), lambda r: regexp_replace(r, '^[\\-._/+#]+|[\\-._/+#]+$', '', 'g'))), lambda r: length(r) >= 2 AND NOT regexp_full_match(r, '[0-9]+') AND strlen(r) <= 64)) AS terms FROM documents")
 def candidate_terms(spark, sf_dir):
-    return tables.read(spark, sf_dir, "documents").select("doc_id", F.size(scalar.candidate_terms(F.col("text"), 1_000_000)).cast("long").alias("terms"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.sort_array(scalar.candidate_terms(F.col("text"), 1_000_000)).alias("terms"))
+
 
+PAIRS = "list_transform(range(1, length({0})), lambda i: {0}[i:i+1])"
 
-@query("SELECT a.p_name AS a, b.p_name AS b, round(2.0 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)), 9) AS dice, round(least(length(a.p_name), length(b.p_name)) / greatest(length(a.p_name), length(b.p_name)), 9) AS containment FROM (SELECT DISTINCT p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: p_name[i:i+1])) AS s FROM part) a, (SELECT DISTINCT p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: p_name[i:i+1])) AS s FROM part) b")
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name, {PAIRS.format('p_name')} AS g FROM part)
+SELECT a.p_name AS a, b.p_name AS b, round(2.0 * len(list_intersect(a.g, b.g)) / (len(list_distinct(a.g)) + len(list_distinct(b.g))), 9) AS dice, round(least(length(a.p_name), length(b.p_name)) / greatest(length(a.p_name), length(b.p_name)), 9) AS containment,
+  round(2.0 * coalesce(list_sum(list_transform(list_intersect(a.g, b.g), lambda p: least(len(list_filter(a.g, lambda q: q = p)), len(list_filter(b.g, lambda q: q = p))))), 0) / (len(a.g) + len(b.g)), 9) AS multiset FROM n a, n b""")
 def name_similarity(spark, sf_dir):
     """All pairs of at most ``NAMES`` distinct names; more are refused."""
     names = tables.read(spark, sf_dir, "part")
@@ -282,7 +371,59 @@ def name_similarity(spark, sf_dir):
     if a.limit(NAMES + 1).count() > NAMES:
         raise ValueError(f"more than {NAMES} names: all pairs are compared")
     both = a.crossJoin(a.select(F.col("a").alias("b")))
-    return both.select("a", "b", F.round(scalar.dice(scalar.bigrams(F.col("a")), scalar.bigrams(F.col("b"))), 9).alias("dice"), F.round(scalar.containment(F.col("a"), F.col("b")), 9).alias("containment"))
+    return both.select("a", "b", F.round(scalar.dice(scalar.bigrams(F.col("a")), scalar.bigrams(F.col("b"))), 9).alias("dice"), F.round(scalar.containment(F.col("a"), F.col("b")), 9).alias("containment"), F.round(scalar.multiset_dice(F.col("a"), F.col("b")), 9).alias("multiset"))
+
+
+@query("""SELECT p_name AS name, lower(lpad(hex(CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, length(p_name) + 1), lambda i: CAST(ascii(p_name[i]) AS UHUGEINT))),
+  lambda h, b: (CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS UHUGEINT) * 1099511628211) % 18446744073709551616) AS UBIGINT)), 16, '0')) AS hash FROM (SELECT DISTINCT p_name FROM part)""")
+def fnv_hash(spark, sf_dir):
+    return tables.read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().select("name", scalar.fnv1a_hex(F.col("name")).alias("hash"))
+
+
+@query("""WITH i AS (SELECT p_partkey % 10 AS shelf, strlen('{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}') AS bytes FROM part) SELECT shelf, CAST(sum(bytes) + 2 + greatest(count(*) - 1, 0) AS BIGINT) AS bytes FROM i GROUP BY shelf""")
+def json_size(spark, sf_dir):
+    """Bytes of arrays of parts as JSON."""
+    rows = tables.read(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("shelf"), scalar.json_bytes(F.struct("p_partkey", "p_name")).cast("long").alias("bytes"))
+    return rows.groupBy("shelf").agg(F.sum("bytes").alias("sum"), F.count("*").alias("n")).select("shelf", scalar.json_array_bytes(F.col("sum"), F.col("n")).alias("bytes"))
+
+
+@query(r"""WITH b AS (SELECT item_id, text, (SELECT count(*) FROM benchmark) AS n FROM benchmark), p AS (SELECT d.doc_id, '  ' || substr(CASE WHEN doc_id % 2 = 0 THEN b.text ELSE d.text END, 4, 25) AS quote, d.text FROM documents d JOIN b ON d.doc_id % b.n = b.item_id)
+SELECT doc_id, contains(lower(regexp_replace(text, '\A\s+|\s+\z', '', 'g')), lower(regexp_replace(quote, '\A\s+|\s+\z', '', 'g'))) AS found FROM p""")
+def quote_match(spark, sf_dir):
+    """Whether a document holds a quote, its own or one of a benchmark's item."""
+    items = tables.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    docs = tables.read(spark, sf_dir, "documents").crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))  # one row
+    rows = docs.join(items, F.col("doc_id") % F.col("n") == F.col("item_id"))
+    quote = F.concat(F.lit("  "), F.substring(F.when(F.col("doc_id") % 2 == 0, F.col("item")).otherwise(F.col("text")), 4, 25))
+    return rows.select("doc_id", extraction.quote_matches(quote, F.col("text")).alias("found"))
+
+
+@query(None)
+def coverage_gaps(spark, sf_dir):
+    """Sentences that hold candidate terms but neither language nor origin of their document."""
+    triples = tables.writings(spark, sf_dir).select("source", "subject", "label", "object").withColumn("source", F.col("subject"))
+    return extraction.coverage_gaps(tables.passages(spark, sf_dir), triples)
+
+
+@query(None)
+def semantic_cache(spark, sf_dir):
+    """Items of the benchmark as questions that others of them may answer."""
+    asked = _asked_vectors(spark, sf_dir).join(tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query"), "text"), "query")
+    cached = asked.filter(F.col("query").cast("long") % 2 == 0)
+    near = vectors.nearest(cached.select(F.col("query").alias("source"), F.lit(0).alias("paragraph"), "vector"), asked.select("query", "vector"), 3)
+    return search.from_cache(near, asked, cached.select(F.col("query").alias("entry"), "text"), 0.1)
+
+
+@query("""WITH m AS (SELECT 'conv:' || conv_id AS source, CAST(turn AS INTEGER) AS paragraph, text, CASE WHEN turn % 3 = 0 THEN role || turn END AS section, 'turn ' || turn AS locator FROM conversations),
+g AS (SELECT *, last_value(section IGNORE NULLS) OVER (PARTITION BY source ORDER BY paragraph) AS governing FROM m)
+SELECT source, paragraph, text, governing AS section, locator, 'ok' AS verdict FROM g UNION ALL SELECT source, paragraph + 1000, NULL, NULL, NULL, 'index_out_of_range' FROM m UNION ALL SELECT 'none', 0, NULL, NULL, NULL, 'unknown_source'""")
+def citations(spark, sf_dir):
+    """Every turn of the conversations, as many that aren't there, and one of no source."""
+    turns = tables.read(spark, sf_dir, "conversations").select(
+        tables.named("conv", "conv_id").alias("source"), F.col("turn").cast("int").alias("paragraph"), "text", F.when(F.col("turn") % 3 == 0, F.concat("role", F.col("turn").cast("string"))).alias("section"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("locator")
+    )
+    wanted = turns.select("source", "paragraph").union(turns.select("source", F.col("paragraph") + 1000)).union(spark.createDataFrame([("none", 0)], "source string, paragraph int"))
+    return search.cited(turns, wanted)
 
 
 @query("SELECT 'events' AS context, event_id AS seq, CASE event_type WHEN 'error' THEN 'retract_association' WHEN 'signup' THEN 'retract_source' ELSE 'associate' END AS kind, (SELECT count(*) >= 1024 AND max(event_id) - 1023 > 11 FROM events) AS stale FROM events WHERE event_id > 10 AND event_id > (SELECT max(event_id) FROM events) - 1024 ORDER BY event_id LIMIT 100")
@@ -312,10 +453,11 @@ def stream_fold(spark, sf_dir):
     return oplog.edges(state.version(last)).select("subject", "label", "object", "sum", "count")
 
 
-@query("SELECT case_id, count(*) FILTER (WHERE found) / count(*) AS covered, count(*) AS n FROM (SELECT CAST(doc_id % 7 AS VARCHAR) AS case_id, doc_id % 3 = 0 AS found FROM documents) GROUP BY case_id")
+@query("SELECT source AS case_id, count(l.doc_id) / count(*) AS covered, count(*) AS n FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source")
 def eval_coverage(spark, sf_dir):
-    rows = tables.read(spark, sf_dir, "documents").select((F.col("doc_id") % 7).cast("string").alias("case_id"), "doc_id")
-    return evaluate.coverage(rows, rows.filter("doc_id % 3 = 0"), ["doc_id"])
+    """The share of each origin's documents that are labelled."""
+    rows = tables.read(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), "doc_id")
+    return evaluate.coverage(rows, rows.join(tables.read(spark, sf_dir, "labels"), "doc_id", "left_semi"), ["doc_id"])
 
 
 @query("SELECT 'conv:' || conv_id AS source, CAST(turn AS INTEGER) AS paragraph, last_value(CASE WHEN turn % 3 = 0 THEN role || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations")
@@ -324,11 +466,14 @@ def section_fill(spark, sf_dir):
     return search.governed(marks)
 
 
-@query("SELECT round(min(hit), 6) AS upper, round(max(miss), 6) AS lower, NULL::DOUBLE AS floor FROM (SELECT label AS probe, max(vec_id / 1000.0) FILTER (WHERE vec_id % 2 = 0) AS hit, max(vec_id / 1000.0) FILTER (WHERE vec_id % 2 = 1) AS miss FROM embeddings GROUP BY label)")
+@query("""WITH p AS (SELECT label AS probe, max(vec_id / 1000.0) FILTER (WHERE vec_id % 2 = 0) + 0.9 AS hit, max(vec_id / 1000.0) FILTER (WHERE vec_id % 2 = 1) AS miss FROM embeddings GROUP BY label),
+b AS (SELECT min(hit) AS upper, max(miss) AS lower, (min(hit) + max(miss)) / 2 AS middle FROM p)
+SELECT round(upper, 6) AS upper, round(lower, 6) AS lower, round(CASE WHEN upper > lower THEN CASE WHEN round(middle, 2) > lower AND round(middle, 2) < upper THEN round(middle, 2) ELSE middle END END, 6) AS floor FROM b""")
 def semantic_floor(spark, sf_dir):
-    probes = tables.read(spark, sf_dir, "embeddings").select(F.col("label").alias("probe"), (F.col("vec_id") % 2 == 0).alias("expected"), (F.col("vec_id") / 1000.0).alias("score"))
-    out = entry.calibrated_floor(probes)
-    return out.select(F.round("upper", 6).alias("upper"), F.round("lower", 6).alias("lower"), F.lit(None).cast("double").alias("floor"))
+    """Numbers of vectors as scores, those of expected names raised above the others."""
+    expected = F.col("vec_id") % 2 == 0
+    probes = tables.read(spark, sf_dir, "embeddings").select(F.col("label").alias("probe"), expected.alias("expected"), (F.col("vec_id") / 1000.0 + F.when(expected, 0.9).otherwise(0.0)).alias("score"))
+    return entry.calibrated_floor(probes).select(*(F.round(c, 6).alias(c) for c in ("upper", "lower", "floor")))
 
 
 @query(None)
@@ -343,11 +488,28 @@ def html_paragraphs(spark, sf_dir):
     return documents.html_paragraphs(tables.read(spark, sf_dir, "pages"))
 
 
-@query("SELECT 'file' || (p_partkey % 9) || '.py::' || replace(p_name, ' ', '_') AS name, CASE WHEN p_name = 'blue ring' THEN 'tail' WHEN starts_with(p_name, 'blue ring') THEN 'prefix' END AS tier, 1.0::DOUBLE AS score FROM part WHERE p_name = 'blue ring' GROUP BY ALL")
+SYMBOLS = """names AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 3 THEN 'src/tests/' ELSE 'src/' END || 'file' || (p_partkey % 9) || '.py' AS path, CASE WHEN p_partkey % 5 = 0 THEN 'test_' ELSE '' END || replace(p_name, ' ', '_') AS tail FROM part),
+every AS (SELECT path || '::' || tail AS name, tail, path LIKE '%/tests/%' OR tail LIKE 'test\\_%' ESCAPE '\\' AS test FROM names UNION SELECT path, path, path LIKE '%/tests/%' FROM names)"""
+FOUND_CUES = ("blue_ring", "ring", "blue", "src/file3.py", "file3.py", "file3.py::blue_ring", "bleu_rnig", "test_blue")
+
+
+@query("WITH " + SYMBOLS + f""", cues AS (SELECT unnest([{', '.join(f"'{c}'" for c in FOUND_CUES)}]) AS cue),
+direct AS (SELECT cue, name, test, CASE WHEN NOT contains(name, '::') THEN CASE WHEN name = cue OR string_split(name, '/')[-1] = cue THEN 4 END WHEN tail = cue THEN 0 WHEN contains(cue, '::') AND (ends_with(name, '::' || cue) OR ends_with(name, '/' || cue) OR name = cue) THEN 1 WHEN starts_with(tail, cue) THEN 2 WHEN contains(tail, cue) THEN 3 END AS t, 1.0::DOUBLE AS score FROM every, cues),
+pairs AS (SELECT cue, name, test, {PAIRS.format('cue')} AS x, {PAIRS.format('tail')} AS y FROM every, cues WHERE contains(name, '::') AND cue NOT IN (SELECT cue FROM direct WHERE t IS NOT NULL)),
+alike AS (SELECT cue, name, test, 5 AS t, 2.0 * coalesce(list_sum(list_transform(list_intersect(x, y), lambda p: least(len(list_filter(x, lambda q: q = p)), len(list_filter(y, lambda q: q = p))))), 0) / (len(x) + len(y)) AS score FROM pairs)
+SELECT cue, name, ['exact', 'qualified', 'prefix', 'contains', 'path', 'fuzzy'][t + 1] AS tier, round(score, 9) AS score FROM (SELECT * FROM direct WHERE t IS NOT NULL UNION ALL SELECT * FROM alike WHERE score >= 0.65)
+QUALIFY row_number() OVER (PARTITION BY cue ORDER BY t, CASE WHEN t = 5 THEN -score END, test, name) <= 20""")
 def code_find_tiers(spark, sf_dir):
+    """Parts as symbols of files; cues for each tier."""
     part = tables.read(spark, sf_dir, "part")
-    names = part.select(F.concat(F.lit("file"), (F.col("p_partkey") % 9).cast("string"), F.lit(".py::"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name")).distinct()
-    return documents.code_find(names, "blue_ring")
+    path = F.concat(F.when(F.col("p_partkey") % 4 == 3, "src/tests/").otherwise("src/"), F.lit("file"), (F.col("p_partkey") % 9).cast("string"), F.lit(".py"))
+    tail = F.concat(F.when(F.col("p_partkey") % 5 == 0, "test_").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")))
+    names = staged(part.select(F.concat(path, F.lit("::"), tail).alias("name")).union(part.select(path)).distinct(), "names")
+    out = None
+    for cue in FOUND_CUES:
+        found = documents.code_find(names, cue).select(F.lit(cue).alias("cue"), "name", "tier", F.round("score", 9).alias("score"))
+        out = found if out is None else out.union(found)
+    return out
 
 
 @query("SELECT 'order:' || l_orderkey AS source, 'supplier:' || l_suppkey AS subject, 'supplies' AS label, 'part:' || l_partkey AS object, sum(CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) / count(*) AS weight FROM lineitem GROUP BY ALL")
@@ -359,11 +521,11 @@ def export_import(spark, sf_dir):
 
 
 @query("WITH " + BM25 + """, text AS (SELECT source AS item, row_number() OVER (ORDER BY score DESC, source) - 1 AS rank FROM scored WHERE query = '3' QUALIFY rank < 20),
-graph AS (SELECT 'doc:' || i AS item, i AS rank FROM range(0, 20) t(i))
+graph AS (SELECT 'doc:' || doc_id AS item, row_number() OVER (ORDER BY 'doc:' || doc_id) - 1 AS rank FROM documents WHERE source = 'src3' QUALIFY rank < 20)
 SELECT item, round(sum(1.0 / (60 + rank)), 9) AS score, array_to_string(list_sort(list(lane)), '+') AS origin FROM (SELECT item, rank, 'graph' AS lane FROM graph UNION ALL SELECT item, rank, 'text' FROM text) GROUP BY item""")
 def dual_lane_rrf(spark, sf_dir):
-    posted, length, asked = _index(spark, sf_dir)
-    text = search.ranked(search.scores(posted, length, asked.filter("query = '3'")), 20).select(F.col("source").alias("item"), (F.col("rank") - 1).alias("rank"))
-    graph = spark.range(20).select(F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("item"), F.col("id").alias("rank"))
-    return evidence.dual_lane(graph, text)
+    text = search.ranked(_scores(spark, sf_dir, "3"), 20).select(F.col("source").alias("item"), (F.col("rank") - 1).alias("rank"))
+    page = match.page(match.query_any(fold.edges(tables.writings(spark, sf_dir)), objects=["src3"]), 20)
+    order = F.row_number().over(Window.orderBy(F.abs("weight").desc(), "subject")) - 1  # a page of rows
+    return evidence.dual_lane(page.select(F.col("subject").alias("item"), order.alias("rank")), text)
 

@@ -10,14 +10,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from knotwork.functions.scalar import multiset_dice
+
 CHUNK_CHARS = 6000
 
 
 def discover(spark: SparkSession, folder: str, most_bytes: int = 16 << 20) -> DataFrame:
-    """(source, text) of the .md and .txt files of a folder, in UTF-8 and without byte-order mark."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{md,txt}").load(folder).filter(F.col("length") <= most_bytes)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), text.alias("text"))
+    """(source, text, refused) of the .md and .txt files of a folder, in UTF-8 and without
+    byte-order mark; a file beyond ``most_bytes`` is refused with its size instead of its text,
+    and isn't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{md,txt}").load(folder)
+    name = F.element_at(F.split("path", "/"), -1).alias("source")
+    read = files.filter(F.col("length") <= most_bytes).select(name, F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("text"), F.lit(None).cast("string").alias("refused"))
+    large = files.filter(F.col("length") > most_bytes).select(name, F.lit(None).cast("string"), F.concat(F.col("length").cast("string"), F.lit(f" bytes, {most_bytes} at most")))
+    return read.union(large)
 
 
 def chunks(paragraphs: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
@@ -132,19 +138,39 @@ def code_facts(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, "path string, subject string, label string, object string, line int, signature string")
 
 
+#: Dice of a cue and a symbol's last part from which a misspelt cue is taken for it.
+FUZZY = 0.65
+TIERS = ("exact", "qualified", "prefix", "contains", "path", "fuzzy")
+
+
 def code_find(names: DataFrame, cue: str, limit: int = 20) -> DataFrame:
-    """(name, tier, score) of qualified names (name): last part equal, then qualified ending, prefix, part of it, path."""
-    tail = F.lower(F.element_at(F.split("name", "::"), -1))
-    low = cue.lower()
+    """(name, tier, score) of qualified names (name): last part equal, then qualified ending,
+    prefix, part of it, path; where none of these finds any, last parts alike by their pairs
+    of characters.  Within a tier code comes before tests, then names in order."""
+    tail, base = F.element_at(F.split("name", "::"), -1), F.element_at(F.split("name", "/"), -1)
     path = ~F.contains("name", F.lit("::"))
-    tier = (
-        F.when(~path & (tail == low), 0).when(~path & F.endswith(F.lower("name"), F.lit(f"::{low}")), 1).when(~path & F.startswith(tail, F.lit(low)), 2).when(~path & F.contains(tail, F.lit(low)), 3).when(path & F.contains(F.lower("name"), F.lit(low)), 4)
-    )
-    labels = F.array(*map(F.lit, ("tail", "qualified", "prefix", "contains", "path")))
-    rows = names.withColumn("t", tier).filter("t IS NOT NULL")
-    score = F.when(F.col("t") < 2, 1.0).otherwise(F.lit(len(cue)) / F.char_length(F.when(F.col("t") == 4, F.col("name")).otherwise(tail)))
-    test = F.when(F.contains("name", F.lit("/tests/")) | F.contains("name", F.lit("::tests::")) | F.startswith(tail, F.lit("test_")), 1).otherwise(0)
-    return rows.select("name", F.get(labels, F.col("t")).alias("tier"), score.alias("score"), "t", test.alias("test")).orderBy("t", F.desc("score"), "test", "name").limit(limit).select("name", "tier", "score")
+    ending = F.endswith("name", F.lit(f"::{cue}")) | F.endswith("name", F.lit(f"/{cue}")) | (F.col("name") == cue) if "::" in cue else F.lit(False)
+    tier = F.when(path, F.when((base == cue) | (F.col("name") == cue), 4)).when(tail == cue, 0).when(ending, 1).when(F.startswith(tail, F.lit(cue)), 2).when(F.contains(tail, F.lit(cue)), 3)
+    alike = F.when(~path, multiset_dice(F.lit(cue), tail))
+    rows = names.select("name").distinct().withColumn("t", tier)
+    rows = rows.withColumn("score", F.when(F.col("t").isNotNull(), 1.0).otherwise(alike)).withColumn("t", F.coalesce("t", F.when(F.col("score") >= FUZZY, 5))).filter("t IS NOT NULL")
+    marks = ("::tests::", "/tests/", "/tests.", "_test.", "_tests.")
+    test = F.lit(False)
+    for mark in marks:
+        test |= F.contains("name", F.lit(mark))
+    test |= F.endswith("name", F.lit("::tests")) | F.startswith(tail, F.lit("test_"))
+    direct = rows.agg(F.coalesce(F.min("t") < 5, F.lit(False)).alias("direct"))
+    rows = rows.crossJoin(F.broadcast(direct)).filter("t < 5 OR NOT direct")  # one row
+    rows = rows.withColumn("test", test.cast("int")).orderBy("t", F.when(F.col("t") == 5, -F.col("score")), "test", "name").limit(limit)
+    return rows.select("name", F.get(F.array(*map(F.lit, TIERS)), F.col("t")).alias("tier"), "score")
+
+
+def code_tree(facts: DataFrame, name: str | None = None) -> DataFrame:
+    """(name): what a symbol or file contains, one level; without a name, what nothing contains."""
+    held = facts.filter("label = 'contains'").select("subject", "object").distinct()
+    if name is not None:
+        return held.filter(F.col("subject") == name).select(F.col("object").alias("name")).distinct().orderBy("name")
+    return held.select(F.col("subject").alias("name")).distinct().join(held.select(F.col("object").alias("name")).distinct(), "name", "left_anti").orderBy("name")
 
 
 def planned(references: DataFrame) -> DataFrame:

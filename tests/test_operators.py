@@ -163,6 +163,15 @@ def test_terms_and_paragraphs(spark):
     assert sorted((r.source, r.paragraph, r.text) for r in search.paragraphs(df).collect()) == [("s", 0, "a\nb"), ("s", 1, "c  ")]
 
 
+def test_plain_terms_are_the_same_bag(spark):
+    texts = ["HTTPServer v2 iPhone4S aB", "Größe ön été À l'Œuvre", "", "x_y-z 10%", "ABCdef GHi", "ÿÀ ßa éé", "camelCase and XMLHttpRequest2 Übung", "a\u00a0b", "日本 word", "½ ²", "ÀéÎõ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: sorted(r.x) for r in df.select("i", scalar.terms(F.col("t")).alias("x")).collect()}
+    assert got == {i: sorted(scalar.terms_of(t)) if t is not None else [] for i, t in enumerate(texts)}
+    low = {r.i: r.x for r in df.select("i", scalar.normalized(F.col("t")).alias("x")).collect()}
+    assert low == {i: None if t is None else scalar._normalized(t) for i, t in enumerate(texts)}
+
+
 def test_selection_is_greedy_and_keeps_groups_together():
     rows = [dict(kind="passage", item=str(i), source=s, text=t, score=1 - i / 10, group=g) for i, (s, t, g) in enumerate([("a", "same text here", None), ("b", "same text here", None), ("a", "y" * 50, None), ("c", "z" * 400, "g"), ("c", "w" * 10, "g"), ("d", "q" * 20, None)])]
     assert [r["item"] for r in evidence.select_pool(rows, items=8, most_bytes=100)] == ["0", "2", "5"]

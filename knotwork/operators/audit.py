@@ -92,7 +92,7 @@ def merge_section(edge: DataFrame, pairs: DataFrame, limit: int = LIMIT) -> Data
 def shared_facts(edge: DataFrame, pairs: DataFrame, most: int = EVIDENCE) -> DataFrame:
     """(a, b, side, place, fact) for pairs (a, b): the first ``most`` facts that both have, and that one has alone."""
     said = facts(edge).distinct()
-    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit("a").alias("of"), F.col("a").alias("concept")), F.struct(F.lit("b"), F.col("b")))).alias("x"))
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit("a").alias("of"), F.col("a").alias("concept")), F.struct(F.lit("b").alias("of"), F.col("b").alias("concept")))).alias("x"))
     held = sides.select("a", "b", "x.of", F.col("x.concept").alias("concept")).join(said, "concept")
     per = held.groupBy("a", "b", "fact").agg(F.sort_array(F.collect_set("of")).alias("by"))
     named = per.select("a", "b", F.when(F.size("by") == 2, "both").otherwise(F.get("by", F.lit(0))).alias("side"), "fact")

@@ -175,10 +175,15 @@ def calibrated_floor(probes: DataFrame) -> DataFrame:
     return bands.select("upper", "lower", F.when(F.col("upper") > F.col("lower"), F.when(inside, rounded).otherwise(middle)).alias("floor"))
 
 
-def explained(spelled: DataFrame, cue: str, name: str, limit: int, floor: float = DICE_FLOOR) -> DataFrame:
-    """(name, verdict, score, rank): why a name is or isn't among the first ``limit``."""
+def explained(spelled: DataFrame, cue: str, name: str, limit: int, floor: float = DICE_FLOOR, semantic: DataFrame | None = None, skipped: str | None = None) -> DataFrame:
+    """(name, verdict, score, rank): why a name is or isn't among the first ``limit``; rank is
+    the limit that would reach it.  Where its spelling has nothing of the cue, its cosine of
+    ``semantic`` (name, score) tells how far below the floor it is, or ``skipped`` why that
+    tier didn't run."""
     scored = resolve(spelled, cue, 0.0).withColumn("served", (F.col("score") >= floor) | (F.col("kind") != "fuzzy"))
     ranked = scored.withColumn("rank", F.rank().over(Window.partitionBy("served").orderBy(F.desc("score"), "name")))
     asked = spelled.sparkSession.createDataFrame([(name,)], "name string").join(spelled.select("name").distinct().withColumn("known", F.lit(True)), "name", "left").join(ranked, "name", "left")
-    verdict = F.when(F.col("known").isNull(), "not_in_vocabulary").when(F.col("score").isNull(), "no_overlap").when(~F.col("served"), "below_floor").when(F.col("rank") > limit, "outranked").otherwise("served")
-    return asked.select("name", verdict.alias("verdict"), "score", F.when(F.col("served"), F.col("rank")).alias("rank"))
+    near = asked.withColumn("cosine", F.lit(None).cast("double")) if semantic is None else asked.join(semantic.select("name", F.col("score").alias("cosine")), "name", "left")
+    without = F.when(F.col("cosine").isNotNull(), F.when(F.col("cosine") >= SEMANTIC_FLOOR, "served_by_meaning").otherwise("below_floor")).otherwise("no_overlap" if skipped is None else f"tier_skipped: {skipped}")
+    verdict = F.when(F.col("known").isNull(), "not_in_vocabulary").when(F.col("score").isNull(), without).when(~F.col("served"), "below_floor").when(F.col("rank") > limit, "outranked").otherwise("served")
+    return near.select("name", verdict.alias("verdict"), F.coalesce("score", "cosine").alias("score"), F.when(F.col("served"), F.col("rank")).alias("rank"))

@@ -141,12 +141,18 @@ def type_filter(rows: DataFrame, typed: DataFrame, subjects: list[str] = (), obj
     return rows
 
 
-def vocabulary(edge: DataFrame, prefix: str = "", after: str | None = None, limit: int = 100, kind: str = "concept") -> DataFrame:
-    """(name, total): names in order, from the cursor on; the total is of all with the prefix."""
+def vocabulary(edge: DataFrame, prefix: str = "", after: str | None = None, limit: int = 100, kind: str = "concept", excluded: list[str] = ()) -> DataFrame:
+    """(name, total): names in order but for the excluded ones, from the cursor on; the total is of all with the prefix."""
     names = edge.select(F.col("label").alias("name")) if kind == "label" else edge.select(F.col("subject").alias("name")).union(edge.select("object"))
+    names = names.filter(~F.col("name").isin(list(excluded))) if excluded else names
     return listing(names.distinct(), "name", prefix, after, limit)
 
 
+def label_sample(edge: DataFrame, limit: int) -> DataFrame:
+    """(label): the labels that were seen first."""
+    return edge.groupBy("label").agg(F.min("first_seq").alias("seen")).orderBy("seen", "label").limit(limit).select("label")
+
+
 def listing(rows: DataFrame, key: str, prefix: str = "", after: str | None = None, limit: int = 100) -> DataFrame:
     """A page of ``rows`` by ``key`` with the total before the cursor."""
     kept = rows.filter(F.col(key).startswith(prefix)) if prefix else rows

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knotwork.functions.scalar import bm25, idf, questions_agree, reciprocal_rank, terms, terms_of
+from knotwork.functions.scalar import bm25, fnv1a, idf, questions_agree, reciprocal_rank, terms, terms_of
 
 LIMIT = 5
 PLACE = ["source", "paragraph"]
@@ -178,9 +180,12 @@ def pool(limit: int) -> int:
     return max(4 * limit, 50)
 
 
-def fused(lexical: DataFrame, semantic: DataFrame | None, limit: int = LIMIT, floor: float = 0.0) -> DataFrame:
+def fused(lexical: DataFrame, semantic: DataFrame | None, limit: int = LIMIT, floor: float = 0.0, live: DataFrame | None = None) -> DataFrame:
     """(query, source, paragraph, score, rank): both lanes by reciprocal rank; the lexical
-    score itself where no vector lane ran.  The floor cuts a lane's pool after it is filled."""
+    score itself where no vector lane ran.  The floor cuts a lane's pool after it is filled.
+    With ``live`` (source, paragraph, hash) only vectors made of a paragraph as it is now count."""
+    if semantic is not None and live is not None:
+        semantic = live_only(semantic, live)
     if semantic is None:
         return ranked(lexical, limit)
     words = ranked(lexical, pool(limit)).select("query", *PLACE, F.col("rank").alias("word_rank"))
@@ -204,6 +209,40 @@ def stale_vectors(vectors: DataFrame, live: DataFrame) -> DataFrame:
     return vectors.join(live.select(*PLACE, "hash"), [*PLACE, "hash"], "left_anti")
 
 
+#: Paragraphs that are embedded together, and in one refresh at most.
+EMBED_CHUNK, EMBED_MOST = 128, 20_000
+
+
+def refreshed_vectors(stored_: DataFrame, live: DataFrame, embed: Callable[[list[str]], list[list[float]]], most: int = EMBED_MOST) -> DataFrame:
+    """(source, paragraph, hash, vector) of all live paragraphs (source, paragraph, hash, text):
+    those whose hash is the stored one keep their vector, the others are embedded anew."""
+    kept = stored_.select(*PLACE, "hash", "vector").join(live.select(*PLACE, "hash"), [*PLACE, "hash"], "left_semi")
+    due = live.join(stored_.select(*PLACE, "hash"), [*PLACE, "hash"], "left_anti").select(*PLACE, "hash", "text")
+    if due.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} paragraphs to embed in one refresh")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for begin in range(0, len(frame), EMBED_CHUNK):
+                part = frame.iloc[begin : begin + EMBED_CHUNK]
+                yield part[[*PLACE, "hash"]].assign(vector=[list(map(float, v)) for v in embed(part["text"].tolist())])
+
+    hash_kind, kind = due.schema["hash"].dataType.simpleString(), due.schema["paragraph"].dataType.simpleString()
+    return kept.withColumn("vector", F.col("vector").cast("array<double>")).union(due.mapInPandas(run, f"source string, paragraph {kind}, hash {hash_kind}, vector array<double>"))
+
+
+def hashed_embedding(texts: list[str], width: int = 64) -> list[list[float]]:
+    """Counts of hashed terms: a stand-in for a model, the same everywhere."""
+    out = []
+    for text in texts:
+        vector = [0.0] * width
+        for term in terms_of(text):
+            h = fnv1a(term.encode())
+            vector[h % width] += 1.0 if h >> 63 else -1.0
+        out.append(vector)
+    return out
+
+
 def verdicts(scored: DataFrame, known: DataFrame, asked: DataFrame, limit: int, eligible: DataFrame | None = None) -> DataFrame:
     """(query, source, paragraph, verdict, rank) of asked places: why each is or isn't served."""
     places = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), *PLACE))

@@ -563,3 +563,8 @@ def unrelated_pairs(spark, sf_dir):
     """Suppliers with nations, without those that lie there."""
     pairs = tables.read(spark, sf_dir, "supplier").select(tables.named("supplier", "s_suppkey").alias("a"), F.concat(F.lit("nation:"), (F.col("s_suppkey") % 25).cast("string")).alias("b"))
     return entry.unrelated(pairs, _edges(spark, sf_dir))
+
+
+@query(W + "SELECT DISTINCT label AS name, (SELECT count(DISTINCT label) FROM edges WHERE label <> 'part_of') AS total FROM edges WHERE label <> 'part_of' AND label > 'a' ORDER BY name LIMIT 10")
+def label_page_excluding(spark, sf_dir):
+    return match.vocabulary(_edges(spark, sf_dir), after="a", limit=10, kind="label", excluded=["part_of"])

@@ -61,3 +61,9 @@ def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
         for t, df in build().items():
             df.write.mode("overwrite").parquet(paths[t])
     return {t: spark.read.parquet(p) for t, p in paths.items()}
+
+
+def cached(spark: SparkSession, op: str, inputs: list[str], params: object, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of an operation on tables, kept for as long as neither they nor its parameters change."""
+    name = f"{op}-{hashlib.sha256(repr(params).encode()).hexdigest()[:16]}"
+    return kept(spark, name, inputs, lambda: {"result": build()}, ["result"])["result"]

@@ -322,6 +322,29 @@ def eval_metrics(spark, sf_dir):
     return out.select("query", *(F.round(c, 9).alias(c) for c in ("recall", "reciprocal", "ndcg")))
 
 
+@query("WITH " + BM25 + f""",
+hits AS (SELECT query, source AS item, {RANK.format('query')} AS rank FROM scored),
+want AS (SELECT CAST(item_id AS VARCHAR) AS query, 'doc:' || doc_id AS item, quality + 1 AS relevance FROM benchmark JOIN labels ON doc_id % (SELECT count(*) FROM benchmark) = item_id),
+met AS (SELECT w.query, w.item, rank FROM want w LEFT JOIN (SELECT * FROM hits WHERE rank <= 50) h USING (query, item)),
+cases AS (SELECT query, count(rank) / count(*) AS recall, coalesce(1.0::DOUBLE / min(rank), 0.0) AS reciprocal FROM met GROUP BY query),
+long AS (SELECT 'recall' AS metric, recall AS v FROM cases UNION ALL SELECT 'reciprocal', reciprocal FROM cases),
+r AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v) AS i, count(*) OVER (PARTITION BY metric) AS n FROM long)
+SELECT metric, max(n) AS n, round(min(v), 9) AS min, round(min(v) FILTER (WHERE i >= ceil(50 * n / 100)), 9) AS p50, round(min(v) FILTER (WHERE i >= ceil(90 * n / 100)), 9) AS p90, round(max(v), 9) AS max, round(avg(v), 6) AS mean FROM r GROUP BY metric""")
+def eval_summary(spark, sf_dir):
+    out = evaluate.summary(staged(eval_metrics(spark, sf_dir), "cases"), ["recall", "reciprocal"])
+    return out.select("metric", "n", *(F.round(c, 9).alias(c) for c in ("min", "p50", "p90", "max")), F.round("mean", 6).alias("mean"))
+
+
+@query("""WITH s AS (SELECT event_type AS what, event_id AS rows, value * 2 + event_id * 3.0 AS amount FROM events),
+l AS (SELECT what, regr_slope(amount, rows) AS slope, regr_intercept(amount, rows) AS base FROM s GROUP BY what)
+SELECT what, 1000000::BIGINT AS rows, round(base + slope * 1000000, 3) AS amount FROM l""")
+def capacity_fit(spark, sf_dir):
+    """What a million rows need, by samples that grow with their number."""
+    samples = tables.read(spark, sf_dir, "events").select(F.col("event_type").alias("what"), F.col("event_id").alias("rows"), (F.col("value") * 2 + F.col("event_id") * 3.0).alias("amount"))
+    wanted = samples.select("what").distinct().withColumn("rows", F.lit(1_000_000).cast("long"))
+    return evaluate.capacity(samples, wanted).withColumn("amount", F.round("amount", 3))
+
+
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE isfinite(value))
 SELECT event_type, max(n) AS n, min(value) AS min, min(value) FILTER (WHERE i >= ceil(50 * n / 100)) AS p50, min(value) FILTER (WHERE i >= ceil(90 * n / 100)) AS p90, min(value) FILTER (WHERE i >= ceil(99 * n / 100)) AS p99, max(value) AS max, round(avg(value), 6) AS mean, round(sum(value), 4) AS total FROM r GROUP BY event_type""")
 def distribution_nearest_rank(spark, sf_dir):

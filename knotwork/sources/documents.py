@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -106,11 +107,57 @@ def html_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html")
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, title string, canonical string, paragraph int, section string, text string")
 
 
+#: How definitions open in languages whose bodies stand in braces, by ending of the file's name.
+OPENERS = {
+    ("rs",): r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+|default\s+)*(?:fn|struct|enum|trait|mod|union)\s+(\w+)|impl(?:<[^>]*>)?\s+(?:[\w:<>,\s']+\s+for\s+)?(\w+)",
+    ("go",): r"func\s+(?:\([^)]*\)\s*)?(\w+)|type\s+(\w+)\s+(?:struct|interface)",
+    ("js", "ts", "jsx", "tsx"): r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)|(?:export\s+)?(?:abstract\s+)?class\s+(\w+)",
+    ("java", "kt", "cs"): r"(?:(?:public|private|protected|static|final|abstract|sealed|open|data)\s+)*(?:class|interface|enum|record|object)\s+(\w+)",
+}
+
+
+def braced_symbols(text: str, opener: str) -> list[tuple[list[str], int, str]]:
+    """(names from the outermost in, line, signature) of the definitions of a text, by the braces around them."""
+    found, open_names, depth = [], [], 0
+    pattern = re.compile(rf"^\s*(?:{opener})")
+    waiting: tuple[str, int] | None = None
+    for number, line in enumerate(text.splitlines(), 1):
+        bare = re.sub(r'"(?:[^"\\]|\\.)*"|//.*', "", line)
+        if m := pattern.match(bare):
+            name = next(g for g in m.groups() if g)
+            found.append(([n for n, _ in open_names] + [name], number, line.strip()))
+            waiting = (name, depth)
+        for c in bare:
+            if c == "{":
+                if waiting is not None:
+                    open_names.append(waiting)
+                    waiting = None
+                depth += 1
+            elif c == "}":
+                depth = max(0, depth - 1)
+                while open_names and open_names[-1][1] >= depth:
+                    open_names.pop()
+            elif c == ";":
+                waiting = None
+    return found
+
+
 def code_facts(files: DataFrame) -> DataFrame:
-    """(path, subject, label, object, line, signature) of Python files (path, text): what
-    defines and contains what.  Files that don't parse give nothing."""
+    """(path, subject, label, object, line, signature) of code files (path, text): what defines
+    and contains what.  Python is parsed, languages of ``OPENERS`` are read by lines and
+    braces; other files, and Python that doesn't parse, give nothing."""
 
     def of(path: str, text: str) -> list[tuple]:
+        ending = path.rsplit(".", 1)[-1]
+        for endings, opener in OPENERS.items():
+            if ending in endings:
+                rows = []
+                for names, line, signature in braced_symbols(text, opener):
+                    own, owner = "::".join([path, *names]), "::".join([path, *names[:-1]])
+                    rows += [(path, own, "defined_in", path, line, signature), (path, owner, "contains", own, line, signature)]
+                return rows
+        if ending != "py":
+            return []
         try:
             tree = ast.parse(text)
         except (SyntaxError, ValueError):

@@ -84,3 +84,66 @@ def feed(events: DataFrame, since: int | None, limit: int, ring: int = RING) ->
     stale = (F.col("kept") == ring) & (F.col("oldest") > since + 1)
     place = F.row_number().over(Window.partitionBy("context").orderBy("seq"))
     return rows.select("context", "seq", "kind", stale.alias("stale"), place.alias("place")).filter(F.col("place") <= limit).drop("place")
+
+
+def cursor(epoch: int, seq: int) -> str:
+    """A position in a feed, opaque to who holds it."""
+    return f"cf1-{epoch:016x}-{seq}"
+
+
+def position(text: str) -> tuple[int, int] | None:
+    """Epoch and place of a cursor, or None where it isn't one."""
+    mark, _, rest = text.partition("-")
+    epoch, _, seq = rest.partition("-")
+    try:
+        return (int(epoch, 16), int(seq)) if mark == "cf1" else None
+    except ValueError:
+        return None
+
+
+def feed_page(events: DataFrame, context: str, epoch: int, since: str | None, limit: int, ring: int = RING) -> tuple[DataFrame | None, str | None, bool]:
+    """The events of one context after a cursor, the next cursor, and whether there are more.
+    Without a cursor nothing but where the feed stands; (None, None, False) where the cursor
+    is of another epoch, lies ahead, or events after it are no longer kept."""
+    own = events.filter(F.col("context") == context)
+    head = own.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("head"), F.count("*").alias("n")).collect()[0]
+    if since is None:
+        return own.limit(0), cursor(epoch, head["head"]), False
+    at = position(since)
+    if at is None or at[0] != epoch or at[1] > head["head"]:
+        return None, None, False
+    kept = own.orderBy(F.desc("seq")).limit(ring)
+    if head["n"] > ring and kept.agg(F.min("seq")).collect()[0][0] > at[1] + 1:
+        return None, None, False
+    rows = kept.filter(F.col("seq") > at[1]).orderBy("seq").limit(limit)
+    last = rows.agg(F.max("seq")).collect()[0][0]
+    served = at[1] if last is None else last
+    return rows, cursor(epoch, served), served < head["head"]
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions below a ``Fold``'s path, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(where):
+        return []
+    found = [f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith("state-")]
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName().removeprefix("state-")) for p in found if files.exists(made(p, "_SUCCESS")))
+
+
+def tail(spark: SparkSession, source: str, target: str) -> int | None:
+    """Lands the newest complete version of ``source`` in ``target``, unless it is there, and
+    drops what it takes the place of; readers of ``target`` take its newest complete version,
+    so they see a whole one at any time.  The number of the version, or None without one."""
+    newest = versions(spark, source)
+    if not newest:
+        return None
+    there = versions(spark, target)
+    if newest[-1] not in there:
+        spark.read.parquet(f"{source}/state-{newest[-1]}").write.mode("overwrite").parquet(f"{target}/state-{newest[-1]}")
+    for old in there:
+        if old < newest[-1]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/state-{old}")
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return newest[-1]

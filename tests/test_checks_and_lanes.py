@@ -214,9 +214,9 @@ def test_retrieval_in_one_go(spark):
 def test_resolving_all_cues_is_resolving_each(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcд ") for _ in range(rng.randrange(1, 9)))
-    edge = fold.edges(log(spark, [(word() or "x", "l", word() or "y", 1.0) for _ in range(40)] + [("a", "l", "脅威", 1.0)]))
-    spelled = entry.spellings(edge, spark.createDataFrame([("c", "concept", "other name", "脅威")], "context string, kind string, alias string, canonical string"))
-    cues = [word() for _ in range(12)] + ["a", "OTHER", "脅", "", "zzzz"]
+    edge = fold.edges(log(spark, [(word() or "x", "l", word() or "y", 1.0) for _ in range(40)] + [("a", "l", "歯車", 1.0)]))
+    spelled = entry.spellings(edge, spark.createDataFrame([("c", "concept", "other name", "歯車")], "context string, kind string, alias string, canonical string"))
+    cues = [word() for _ in range(12)] + ["a", "OTHER", "歯", "", "zzzz"]
     got = {(r.cue, r.name): (round(r.score, 9), r.kind) for r in entry.resolve_all(spelled, spark.createDataFrame([(c,) for c in cues], "cue string")).collect()}
     assert got == {(c, r.name): (round(r.score, 9), r.kind) for c in set(cues) for r in entry.resolve(spelled, c).collect()}
 

@@ -20,12 +20,12 @@ def log(spark, rows):
     return spark.createDataFrame([("c", i, *r[:4], *(r[4:] + (None,) * (6 - len(r)))) for i, r in enumerate(rows)], LOG)
 
 
-def brewery(spark):
+def millers(spark):
     return log(
         spark,
         [
-            ("kura", "chief", "Takase", 1.0, "old", 1), ("kura", "chief", "Aoyama", 1.0, "new", 2), ("kura", "brand", "Seirei", 2.0, "old", 3), ("kura", "brand", "Seirei", 4.0, "new", 1),
-            ("Takase", "knows", "Aoyama", -1.0, "old", 4), ("Aoyama", "born_in", "Mino", 1.0), ("far", "near", "away", 1.0, "old", 5), ("loop", "is", "loop", 3.0, "new", 1),
+            ("mill", "keeper", "Oda", 1.0, "old", 1), ("mill", "keeper", "Rin", 1.0, "new", 2), ("mill", "makes", "Flour", 2.0, "old", 3), ("mill", "makes", "Flour", 4.0, "new", 1),
+            ("Oda", "knows", "Rin", -1.0, "old", 4), ("Rin", "born_in", "Ise", 1.0), ("far", "near", "away", 1.0, "old", 5), ("loop", "is", "loop", 3.0, "new", 1),
         ],
     )
 
@@ -35,10 +35,10 @@ def dates(spark):
 
 
 def test_fold_accumulates_and_keeps_the_first_paragraph(spark):
-    edge = {r.object: r for r in fold.edges(brewery(spark)).collect()}
-    assert (edge["Seirei"].sum, edge["Seirei"]["count"]) == (6.0, 2)
-    shares = {(r.object, r.source): r.paragraph for r in fold.attributions(brewery(spark)).collect()}
-    assert shares["Seirei", "old"] == 3 and shares["Seirei", "new"] == 1
+    edge = {r.object: r for r in fold.edges(millers(spark)).collect()}
+    assert (edge["Flour"].sum, edge["Flour"]["count"]) == (6.0, 2)
+    shares = {(r.object, r.source): r.paragraph for r in fold.attributions(millers(spark)).collect()}
+    assert shares["Flour", "old"] == 3 and shares["Flour", "new"] == 1
 
 
 def test_shares_and_unsourced_weight_add_up(spark):
@@ -55,11 +55,11 @@ def test_shares_and_unsourced_weight_add_up(spark):
 
 
 def test_retraction_leaves_dead_edges_that_only_plain_reads_show(spark):
-    edge = fold.retract_source(brewery(spark), "old")
-    assert {r.object: r["count"] for r in edge.collect()}["Takase"] == 0
-    assert match.recall(edge, "Takase").filter("count = 0").count() == 2
-    assert match.describe(edge, "kura").filter("label = 'chief'").collect()[0].edges == 1
-    assert "Takase" not in {r.object for r in fold.compacted(edge).collect()}
+    edge = fold.retract_source(millers(spark), "old")
+    assert {r.object: r["count"] for r in edge.collect()}["Oda"] == 0
+    assert match.recall(edge, "Oda").filter("count = 0").count() == 2
+    assert match.describe(edge, "mill").filter("label = 'keeper'").collect()[0].edges == 1
+    assert "Oda" not in {r.object for r in fold.compacted(edge).collect()}
 
 
 def test_barriers_of_the_op_log(spark):
@@ -73,19 +73,19 @@ def test_barriers_of_the_op_log(spark):
 
 
 def test_windows_see_only_what_dated_sources_attest(spark):
-    t = Tables(brewery(spark), dates(spark))
+    t = Tables(millers(spark), dates(spark))
     past = match.windowed(t, until=150)
-    assert {r.object for r in past.collect()} == {"Takase", "Seirei", "Aoyama", "away"} and "kura Aoyama" not in {f"{r.subject} {r.object}" for r in past.collect()}
-    assert [(r.sum, r["count"]) for r in past.filter("object = 'Seirei'").collect()] == [(2.0, 1)]
+    assert {r.object for r in past.collect()} == {"Oda", "Flour", "Rin", "away"} and "mill Rin" not in {f"{r.subject} {r.object}" for r in past.collect()}
+    assert [(r.sum, r["count"]) for r in past.filter("object = 'Flour'").collect()] == [(2.0, 1)]
     with pytest.raises(ValueError):
         match.source_filter(dates(spark), since=2, until=2)
 
 
 def test_types_and_schema(spark):
-    rows = [("k", "schema:type", "Brewery", 1.0), ("p", "schema:type", "Person", 1.0), ("k", "chief", "p", 1.0), ("p", "chief", "k", 1.0), ("u", "chief", "v", 1.0), ("k", "odd", "p", 1.0)]
-    edge, is_a = fold.edges(log(spark, rows)), {"Brewery": ["Organisation"], "Person": []}
-    found = {(r.subject, r.label, r.kind) for r in audit.schema_violations(edge, is_a, {"chief": {"domain": ["Organisation"], "range": ["Person"]}}, True).collect()}
-    assert found == {("p", "chief", "domain"), ("p", "chief", "range"), ("k", "odd", "label")}
+    rows = [("k", "schema:type", "Mill", 1.0), ("p", "schema:type", "Person", 1.0), ("k", "keeper", "p", 1.0), ("p", "keeper", "k", 1.0), ("u", "keeper", "v", 1.0), ("k", "odd", "p", 1.0)]
+    edge, is_a = fold.edges(log(spark, rows)), {"Mill": ["Organisation"], "Person": []}
+    found = {(r.subject, r.label, r.kind) for r in audit.schema_violations(edge, is_a, {"keeper": {"domain": ["Organisation"], "range": ["Person"]}}, True).collect()}
+    assert found == {("p", "keeper", "domain"), ("p", "keeper", "range"), ("k", "odd", "label")}
     assert match.type_filter(match.visible(edge), match.expanded_types(edge, {}), ["Nothing"]).count() == 0
     with pytest.raises(ValueError):
         match.closure({"a": ["b"], "b": ["a"]})
@@ -147,11 +147,11 @@ def test_walks_against_plain_ones(spark):
 
 
 def test_resolve_tiers(spark):
-    edge = fold.edges(log(spark, [("脅威", "is", "脅威候補", 1.0), ("10大脅威選考会", "is", "Apple", 1.0), ("リンゴ", "is", "x", 1.0)]))
+    edge = fold.edges(log(spark, [("歯車", "is", "歯車工房", 1.0), ("12番歯車展示会", "is", "Apple", 1.0), ("リンゴ", "is", "x", 1.0)]))
     spelled = entry.spellings(edge, spark.createDataFrame([("c", "concept", "pomme", "Apple")], "context string, kind string, alias string, canonical string"))
     ask = lambda cue: [(r.name, round(r.score, 6), r.kind) for r in entry.resolve(spelled, cue).collect()]
-    assert ask("脅威")[:2] == [("脅威", 1.0, "exact"), ("脅威候補", 0.5, "containment")]
-    assert ask("選考会") == [("10大脅威選考会", 0.375, "containment")]
+    assert ask("歯車")[:2] == [("歯車", 1.0, "exact"), ("歯車工房", 0.5, "containment")]
+    assert ask("展示会") == [("12番歯車展示会", 0.375, "containment")]
     assert ask("ＡＰＰＬＥ") == [("Apple", 1.0, "exact")] and ask("POMME") == [("Apple", 1.0, "alias")] and ask("りんご") == [("リンゴ", 1.0, "exact")]
     assert ask("aple")[0][0] == "Apple" and ask("aple")[0][2] == "fuzzy" and ask("") == [] and ask("zzz") == []
 

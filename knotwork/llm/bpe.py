@@ -1,5 +1,10 @@
 """Byte-level BPE encoding and decoding over padded numpy matrices.
 
+Texts are cut into pieces by numpy where the pattern is the byte-level one (``CUT``):
+code points have classes, pieces are runs of one, and a few rules about blanks and
+apostrophes move their edges; any other pattern goes through ``regex``.  Pieces are
+known by two 64-bit hashes of their bytes.
+
 The pieces that a worker hasn't met are grouped into length buckets, powers of two,
 and laid out as padded matrices of symbol ids, one piece a row.  In each round every
 row merges its leftmost pair of least rank; ranks come from an open-addressing hash
@@ -18,24 +23,25 @@ columns other than the two named are not read, whatever their names.
 from __future__ import annotations
 
 import base64
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm.common import sliced
+from knotwork.llm.shingles import blocks
 
 NO_RANK = np.int64(1 << 40)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of pieces whose rows merge one pair in a round; cells of a matrix; bytes of pieces that a worker remembers.
-NARROW, CELLS, REMEMBERED = 64, 1 << 20, 1 << 25
-#: Characters of text that are tokenised together.
-BLOCK_CHARS = 8_000_000
+#: Bytes of pieces whose rows merge one pair in a round; cells of a matrix; pieces that a worker remembers, and their ids.
+NARROW, CELLS, REMEMBERED, REMEMBERED_IDS = 64, 1 << 20, 1 << 19, 1 << 22
+#: Bytes of text that are tokenised together.
+BLOCK_BYTES = 1 << 20
 
 
 class PairTable:
@@ -86,7 +92,7 @@ class Vocabulary:
     def __init__(self, rank_file: bytes):
         rows = [line.split() for line in rank_file.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
-        size = max(self.ranks.values(), default=-1) + 1
+        size = self.size = max(self.ranks.values(), default=-1) + 1
         lengths = np.zeros(size, np.int64)
         for token, rank in self.ranks.items():
             lengths[rank] = len(token)
@@ -104,6 +110,7 @@ class Vocabulary:
                     keys.append(a << 32 | b)
                     values.append(rank)
         self.pairs = PairTable(np.array(keys, np.uint64), np.array(values, np.int64))
+        self.encoders: dict[str, Encoder] = {}
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all pieces and the offsets of each."""
@@ -226,6 +233,89 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+#: The pattern whose pieces are cut by ``cut``.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
+_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_classes: list[np.ndarray] = []
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def classes() -> np.ndarray:
+    """The class of every code point, built once in a worker."""
+    if not _classes:
+        import regex
+
+        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        table = np.full(0x110000, OTHER, np.uint8)
+        for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+            for m in regex.finditer(name, every):
+                begin, end = ord(every[m.start()]), ord(every[m.end() - 1]) + 1
+                table[begin:end] = kind
+                if begin < 0xD800 and end > 0xE000:
+                    table[0xD800:0xE000] = OTHER
+        _classes.append(table)
+    return _classes[0]
+
+
+def cut(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the code points of several texts, which end at ``ends``."""
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = classes()[points]
+    first = np.zeros(n + 1, bool)  # whether a text begins here
+    first[0] = True
+    first[ends] = True
+    run = first[:n].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    starts = np.flatnonzero(run)
+    stops = np.append(starts[1:], n)
+    begins = run.copy()
+    # of blanks before something else the last stands alone, or goes with what follows if it is a plain one
+    blanks = (kind[starts] == SPACE) & ~first[stops]
+    last = stops[blanks] - 1
+    begins[last] = True
+    plain = points[last] == 32
+    begins[stops[blanks][plain]] = False
+    # an apostrophe alone, not after a plain blank, takes what it shortens
+    mark = np.flatnonzero((points[starts] == 39) & (stops - starts == 1) & begins[starts] & ~first[stops])
+    mark = mark[kind[stops[mark]] == LETTER]
+    at, end = starts[mark], stops[mark + 1]
+    one = points[at + 1]
+    two = np.where(at + 2 < end, points[np.minimum(at + 2, n - 1)], 0)
+    single = (one == 115) | (one == 116) | (one == 109) | (one == 100)
+    double = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+    begins[at[single | double] + 1] = False
+    for which, size in ((single, 2), (double & ~single, 3)):
+        after = at[which] + size
+        begins[after[after < end[which]]] = True
+    return np.flatnonzero(begins)
+
+
+def _powers_to(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    if not _powers or len(_powers[0][0]) < n:
+        _powers.clear()
+        for base in _BASES:
+            both = []
+            for step in (base, pow(base, -1, 1 << 64)):
+                steps = np.full(max(n, 1 << 20), step, np.uint64)
+                steps[0] = 1
+                both.append(np.multiply.accumulate(steps))
+            _powers.append((both[0], both[1]))
+    return _powers
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each stretch of bytes."""
+    out = []
+    for (power, inverse), salt in zip(_powers_to(len(data) + 1), (SPREAD, SPREAD + np.uint64(2)), strict=True):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
+        mixed = ((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64)) * salt
+        out.append(mixed ^ (mixed >> np.uint64(29)))
+    return out
+
+
 class _Numbers(dict):
     """Numbers its keys in order of first sight."""
 
@@ -235,52 +325,92 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """A vocabulary, and the ids of the pieces that it has met, up to a bound of their bytes."""
+    """A vocabulary, and the ids of the pieces that it has met, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, findall):
-        self.vocabulary, self.findall = vocabulary, findall
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.vocabulary = vocabulary
+        self.findall = None if pattern == CUT else compiled(pattern).findall
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.bytes = _Numbers(), 0
-        self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and the offsets of each."""
-        if self.bytes > REMEMBERED:
-            self._forget()
-        known = len(self.numbers)
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # by key: the hashes of the pieces known
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)  # and where their ids are
+        self.flat = np.zeros(0, np.int32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and the offsets of each; a null counts as empty."""
+        texts = pa.compute.fill_null(texts, "")
+        if self.findall is not None:
+            return self._by_pattern(texts.to_pylist())
+        texts = texts.cast(pa.large_string())
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        heads = np.flatnonzero((data & 0xC0) != 0x80)  # where code points begin among the bytes
+        begins = cut(points, np.searchsorted(heads, offsets[1:]))
+        starts = heads[begins]
+        ids, counts = self._looked_up(data, starts, np.append(starts[1:], len(data)))
+        pieces = np.searchsorted(starts, offsets)
+        return ids, np.concatenate([[0], np.cumsum(counts)])[pieces]
+
+    def _looked_up(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of pieces of the data, and how many each has."""
+        key, check = hashes(data, starts, stops)
+        found, one, which = np.unique(key, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, found)
+        known = np.zeros(len(found), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == found
+        if not (np.array_equal(check, check[one][which]) and np.array_equal(self.checks[place[known]], check[one][known])):
+            # two pieces of one hash: this block's are merged without being remembered
+            flat, ends = self.vocabulary.encode_pieces([data[a:b].tobytes() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+            return flat, np.diff(ends)
+        new = np.flatnonzero(~known)
+        if len(new):
+            a, b = starts[one[new]], stops[one[new]]
+            flat, ends = self.vocabulary.encode_pieces([data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            if len(self.keys) + len(new) > REMEMBERED or len(self.flat) + len(flat) > REMEMBERED_IDS:
+                keep = np.flatnonzero(known)  # what this block has in common with those before it, and its own
+                kept_starts, kept_lengths = self.starts[place[keep]], self.lengths[place[keep]]
+                old = self.flat[ragged(kept_starts, kept_lengths)]
+                self.keys, self.checks = found[keep], check[one[keep]]
+                self.lengths, self.flat = kept_lengths, old
+                self.starts = np.concatenate([[0], np.cumsum(kept_lengths)[:-1]]).astype(np.int64) if len(keep) else np.zeros(0, np.int64)
+            at = np.searchsorted(self.keys, found[new])
+            self.keys, self.checks = np.insert(self.keys, at, found[new]), np.insert(self.checks, at, check[one[new]])
+            self.starts, self.lengths = np.insert(self.starts, at, ends[:-1] + len(self.flat)), np.insert(self.lengths, at, np.diff(ends))
+            self.flat = np.concatenate([self.flat, flat])
+            place = np.searchsorted(self.keys, found)
+        begins, counts = self.starts[place][which], self.lengths[place][which]
+        return self.flat[ragged(begins, counts)], counts
+
+    def _by_pattern(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        numbers = _Numbers()
         pieces, per_text = [], np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
-            found = np.fromiter(map(self.numbers.__getitem__, self.findall(text)), np.int64)
+            found = np.fromiter(map(numbers.__getitem__, self.findall(text)), np.int64)
             per_text[i + 1] = len(found)
             pieces.append(found)
-        if len(self.numbers) > known:
-            new = [w.encode() for w in itertools.islice(self.numbers, known, None)]
-            flat, offsets = self.vocabulary.encode_pieces(new)
-            self.bytes += sum(map(len, new))
-            self.offsets = np.concatenate([self.offsets, offsets[1:] + len(self.flat)])
-            self.flat = np.concatenate([self.flat, flat])
+        flat, offsets = self.vocabulary.encode_pieces([w.encode() for w in numbers])
         used = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
-        starts, lengths = self.offsets[used], self.offsets[used + 1] - self.offsets[used]
-        ids = self.flat[ragged(starts, lengths)]
+        lengths = offsets[used + 1] - offsets[used]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, ends[np.cumsum(per_text)]
+        return flat[ragged(offsets[used], lengths)], ends[np.cumsum(per_text)]
 
 
-def encode_texts(texts: list[str], vocabulary: Vocabulary, findall) -> tuple[np.ndarray, np.ndarray]:
-    return Encoder(vocabulary, findall).encode(texts)
+def encode_texts(texts: list[str], vocabulary: Vocabulary, pattern: str = CUT) -> tuple[np.ndarray, np.ndarray]:
+    return Encoder(vocabulary, pattern).encode(pa.array(texts, pa.string()))
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= BLOCK_CHARS:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def text_blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``BLOCK_BYTES`` of text; a longer text stands alone."""
+    for batch in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for begin, end in blocks(sizes.tolist(), BLOCK_BYTES):
+            yield batch.slice(begin, end - begin)
 
 
 def compiled(pattern: str):
@@ -290,29 +420,31 @@ def compiled(pattern: str):
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+def vocabulary_file(spark: SparkSession, rank_file: str) -> Broadcast:
+    """The bytes of a rank file, for all workers."""
+    with open(rank_file, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids array<int>), and ``decoded`` binary, the bytes that these ids stand for, if asked for.
 
     The rank file is read on the driver, its size is that of a vocabulary, and
     it is broadcast once; each Python worker builds its tables once.
     """
-    with open(rank_file, "rb") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+    shared = vocabulary_file(df.sparkSession, rank_file)
     kind = df.schema[id_column].dataType.simpleString()
     out = f"`{id_column}` {kind}, ids array<int>" + (", decoded binary" if decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = vocabulary_of(shared.value)
-        encoder = encoder_of(vocabulary, pattern)
-        for batch in sliced(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in _blocks(texts):
-                ids, offsets = encoder.encode(texts[begin:end])
-                columns = [batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
-                if decoded:
-                    data, ends = vocabulary.decode_flat(ids, offsets)
-                    columns.append(pa.Array.from_buffers(pa.binary(), end - begin, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]))
-                yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", "decoded"][: len(columns)])
+        encoder = encoder_of(shared.value, pattern)
+        for batch in text_blocks(batches, 1):
+            ids, offsets = encoder.encode(batch.column(1))
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+            if decoded:
+                data, ends = encoder.vocabulary.decode_flat(ids, offsets)
+                columns.append(pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]))
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", "decoded"][: len(columns)])
 
     return df.select(id_column, text_column).mapInArrow(run, out)
 
@@ -329,20 +461,18 @@ def vocabulary_of(rank_file: bytes) -> Vocabulary:
     return _VOCABULARIES[key]
 
 
-def encoder_of(vocabulary: Vocabulary, pattern: str) -> Encoder:
+def encoder_of(rank_file: bytes, pattern: str) -> Encoder:
     """Built once in a worker."""
-    held = getattr(vocabulary, "encoders", None)
-    if held is None:
-        held = vocabulary.encoders = {}
+    vocabulary = vocabulary_of(rank_file)
+    held = vocabulary.encoders
     if pattern not in held:
-        held[pattern] = Encoder(vocabulary, compiled(pattern).findall)
+        held[pattern] = Encoder(vocabulary, pattern)
     return held[pattern]
 
 
 def decode(df: DataFrame, rank_file: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(id, decoded binary) of rows with ids; null ids count as none."""
-    with open(rank_file, "rb") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+    shared = vocabulary_file(df.sparkSession, rank_file)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.bpe import ragged
+from knotwork.llm.bpe import encoder_of, ragged, text_blocks, vocabulary_file
 from knotwork.llm.common import written
 from knotwork.llm.shingles import blocks
 
 CAPACITIES = (2048, 4096, 8192, 16384)
 #: Tokens and pieces of a cell, about, and shuffle partitions at most; a partition may hold several cells.
 CELL_TOKENS, CELL_PIECES, PARTITIONS = 1 << 22, 1 << 16, 32_768
-#: Tokens of bins that leave Python together.
-OUT_TOKENS = 1 << 20
+#: Tokens of bins that leave Python together, and bytes of a token, about.
+OUT_TOKENS, TOKEN_BYTES = 1 << 19, 3
 #: Length at which the square part of the cost equals the linear one, and the fixed part.
 SQUARE, FIXED = 65_536, 32
 
@@ -111,35 +111,85 @@ def pack_cell(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, cost
     return out, best[2]
 
 
-def pieces(df: DataFrame, end: int, most: int, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
-    """(doc_id, piece, length, ids): rows with their end mark, cut into pieces of at most ``most`` tokens."""
-    tokens = F.concat(F.coalesce(F.col(ids_column), F.array().cast("array<int>")), F.array(F.lit(end)))
-    rows = df.select(F.col(id_column).alias("doc_id"), tokens.alias("tokens"))
-    rows = rows.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.ceil(F.size("tokens") / most).cast("int") - 1)).alias("piece"))
-    cut = F.when(F.size("tokens") <= most, F.col("tokens")).otherwise(F.slice("tokens", F.col("piece") * most + 1, most))
-    return rows.select("doc_id", "piece", F.least(F.size("tokens") - F.col("piece") * most, F.lit(most)).alias("length"), cut.alias("ids"))
+def cut_up(flat: np.ndarray, offsets: np.ndarray, end: int, most: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and length of each piece of documents with their end marks, and all their tokens."""
+    n = np.diff(offsets) + 1
+    ends = np.cumsum(n)
+    tokens = np.full(int(ends[-1]) if len(n) else 0, end, kind)
+    inside = np.ones(len(tokens), bool)
+    inside[ends - 1] = False
+    tokens[inside] = flat
+    counts = -(-n // most)
+    row = np.repeat(np.arange(len(n)), counts)
+    number = ragged(np.zeros(len(n), np.int64), counts)
+    return row, number, np.minimum(n[row] - number * most, most), tokens
+
+
+def _pieces(doc_ids: pa.Array, rows: pa.Array, flat: np.ndarray, offsets: np.ndarray, end: int, most: int, kind: np.dtype) -> pa.RecordBatch:
+    row, number, lengths, tokens = cut_up(flat, offsets, end, most, kind)
+    at = pa.array(row)
+    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * np.int32(tokens.itemsize)
+    held = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(tokens))])
+    return pa.RecordBatch.from_arrays([doc_ids.take(at), rows.take(at), pa.array(number.astype(np.int32)), pa.array(lengths.astype(np.int32)), held], ["doc_id", "row", "piece", "length", "tokens"])
+
+
+def _schema(doc_kind: str) -> str:
+    return f"doc_id {doc_kind}, row long, piece int, length int, tokens binary"
 
 
 def packed(df: DataFrame, end: int, capacities: tuple[int, ...] = CAPACITIES, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(cell, bin, capacity, n_tokens, doc_ids, pieces, lengths, ids): a row for every bin,
     with the pieces in it in order of place and their tokens, one after the other."""
     capacities = tuple(sorted(set(capacities)))
-    rows = written(pieces(df, end, capacities[-1], id_column, ids_column), "pieces")
-    n, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).collect()[0]
-    n_cells = max(1, round(max(n / CELL_PIECES, tokens / CELL_TOKENS)))
+    ids = F.coalesce(F.col(ids_column).cast("array<int>"), F.array().cast("array<int>"))
+    rows = written(df.select(F.col(id_column).alias("doc_id"), ids.alias("ids")), "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            yield _pieces(batch.column(0), batch.column(1), lists.flatten().to_numpy(), offsets - offsets[0], end, capacities[-1], np.dtype(np.int32))
+
+    n, tokens = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("ids") + 1), F.lit(0))).collect()[0]
     kind = rows.schema["doc_id"].dataType.simpleString()
-    # the table is on disk, so a row's number is the same whenever it is read
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(n_cells)))
-    dealt = rows.repartition(min(n_cells, PARTITIONS), "cell").sortWithinPartitions("cell", F.desc("length"), "doc_id", "piece")
+    cut = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "ids").mapInArrow(run, _schema(kind))
+    return _binned(cut, n, tokens, capacities, np.dtype(np.int32))
+
+
+def packed_texts(df: DataFrame, rank_file: str, pattern: str, end: int, capacities: tuple[int, ...] = CAPACITIES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``packed`` of the tokens of texts, which go from the tokeniser to their cells and are
+    not stored between.  ``df`` is a stored table, so that a row's number is the same
+    whenever it is read."""
+    capacities = tuple(sorted(set(capacities)))
+    shared = vocabulary_file(df.sparkSession, rank_file)
+    kind = np.dtype(np.uint16 if end <= 0xFFFF else np.int32)  # ``end`` is above all ids of the rank file
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(shared.value, pattern)
+        if encoder.vocabulary.size > end:
+            raise ValueError("the end mark is an id of the vocabulary")
+        for batch in text_blocks(batches, 2):
+            yield _pieces(batch.column(0), batch.column(1), *encoder.encode(batch.column(2)), end, capacities[-1], kind)
+
+    text = F.col(text_column)
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).collect()[0]
+    rows = df.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.cast("string").alias("text"))
+    return _binned(rows.mapInArrow(run, _schema(rows.schema["doc_id"].dataType.simpleString())), n, n + size // TOKEN_BYTES, capacities, kind)
+
+
+def _binned(cut: DataFrame, n: int, tokens: int, capacities: tuple[int, ...], token_kind: np.dtype) -> DataFrame:
+    n_cells = max(1, round(max(n / CELL_PIECES, tokens / CELL_TOKENS)))
+    kind = cut.schema["doc_id"].dataType.simpleString()
+    cut = cut.select("doc_id", "piece", "length", "tokens", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(n_cells)).alias("cell"))
+    dealt = cut.repartition(min(n_cells, PARTITIONS), "cell").sortWithinPartitions("cell", F.desc("length"), "doc_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _cells(batches):
             lengths = t.column("length").to_numpy().astype(np.int64)
             where, sizes = pack_cell(lengths.tolist(), capacities)
             order = np.argsort(where, kind="stable")
-            ids = t.column("ids").combine_chunks()
-            flat = ids.flatten().to_numpy()
-            starts = ids.offsets.to_numpy().astype(np.int64)[:-1] - ids.offsets[0].as_py()
+            starts = np.cumsum(lengths) - lengths
+            flat = np.concatenate([_bytes(c) for c in t.column("tokens").chunks]).view(token_kind)
             starts, lengths = starts[order], lengths[order]
             edges = np.searchsorted(np.array(where)[order], np.arange(len(sizes) + 1))
             filled = np.add.reduceat(lengths, edges[:-1])
@@ -156,7 +206,7 @@ def packed(df: DataFrame, end: int, capacities: tuple[int, ...] = CAPACITIES, id
                         pa.array(filled[begin:stop].astype(np.int32)),
                         *(pa.ListArray.from_arrays(held, x.slice(a, b - a)) for x in (doc_ids, numbers)),
                         pa.ListArray.from_arrays(held, pa.array(lengths[a:b].astype(np.int32))),
-                        pa.ListArray.from_arrays(at, pa.array(flat[ragged(starts[a:b], lengths[a:b])])),
+                        pa.ListArray.from_arrays(at, pa.array(flat[ragged(starts[a:b], lengths[a:b])].astype(np.int32))),
                     ],
                     ["cell", "bin", "capacity", "n_tokens", "doc_ids", "pieces", "lengths", "ids"],
                 )
@@ -164,6 +214,12 @@ def packed(df: DataFrame, end: int, capacities: tuple[int, ...] = CAPACITIES, id
     return dealt.mapInArrow(run, f"cell long, bin int, capacity int, n_tokens int, doc_ids array<{kind}>, pieces array<int>, lengths array<int>, ids array<int>")
 
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column, one value after the other."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each cell, which come together."""
     held: list[pa.RecordBatch] = []

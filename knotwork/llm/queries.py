@@ -47,7 +47,7 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(bpe.encode(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN), END)
+    return packing.packed_texts(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN, END)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -28,7 +30,7 @@ def test_matches_tiktoken_on_random_texts(own, vocabulary):
     texts = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(0, 300))) for _ in range(300)]
     texts += ["", "a" * 5000, "ab" * 3000, "=" * 997, "".join(rng.choice("abc") for _ in range(4000)), "é" * 700, "don't  stop\n\n now "]
     texts += ["".join(rng.choice("etaoinsh") for _ in range(rng.randrange(1, 400))) for _ in range(60)]
-    ids, offsets = bpe.encode_texts(texts, vocabulary, bpe.compiled(P.PATTERN).findall)
+    ids, offsets = bpe.encode_texts(texts, vocabulary)
     for i, text in enumerate(texts):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == own.encode_ordinary(text), repr(text[:80])
     data, ends = vocabulary.decode_flat(ids, offsets)
@@ -47,14 +49,45 @@ def test_long_pieces_in_matrices(own, vocabulary, monkeypatch):
 
 
 def test_an_encoder_that_forgets(own, vocabulary, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 200)
-    rng, encoder = random.Random(2), bpe.Encoder(vocabulary, bpe.compiled(P.PATTERN).findall)
-    for _ in range(20):
-        texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(20))) for _ in range(5)]
-        ids, offsets = encoder.encode(texts)
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    rng, encoder = random.Random(2), bpe.Encoder(vocabulary, P.PATTERN)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(20))) for _ in range(5)]
+        ids, offsets = encoder.encode(pa.array(texts))
         assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(5)] == [own.encode_ordinary(t) for t in texts]
 
 
+def test_pieces_as_the_pattern_cuts_them():
+    assert bpe.CUT == P.PATTERN
+    rng = random.Random(5)
+    bits = ["'", "'s", "'ll", "'re", "'t", "'S", "'l", "'v", "’s", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u1680", "\x85", "\x1c", "\u200b", "a", "Zz", "é", "日", "ª", "ß", "1", "²", "Ⅷ", "٣", "½", "_", "-", "!?", "🙂", "\u0301", "\U00020000", "\U0010ffff", "\0", "\ufeff", "\ud7ff", "\ue000"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(6000)] + ["", " ", "\n", "'", "''", "'s", " 's", "\n's", "'s's", "x'", "'ll've"]
+    findall = bpe.compiled(P.PATTERN).findall
+    for begin in range(0, len(texts), 500):
+        some = texts[begin : begin + 500]
+        points = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) for t in some])
+        at, whole = bpe.cut(points, ends), "".join(some)
+        want = [p for t in some for p in findall(t)]
+        assert [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)], strict=True)] == want
+
+
+def test_equal_hashes_do_not_mix_pieces_up(own, vocabulary, monkeypatch):
+    plain = bpe.hashes
+    monkeypatch.setattr(bpe, "hashes", lambda *a: [plain(*a)[0] % np.uint64(50), plain(*a)[1]])
+    encoder = bpe.Encoder(vocabulary, P.PATTERN)
+    rng = random.Random(3)
+    for _ in range(10):
+        texts = [" ".join(rng.choice(["a", "bb", "word", "other", "x", "yy", "zz"]) + str(rng.randrange(5)) for _ in range(6)) for _ in range(3)]
+        ids, offsets = encoder.encode(pa.array(texts))
+        assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(3)] == [own.encode_ordinary(t) for t in texts]
+
+
+def test_other_patterns_go_through_regex(vocabulary):
+    ids, offsets = bpe.encode_texts(["ab  cd", None, ""], vocabulary, r"\S+|\s+")
+    assert [vocabulary.decode_flat(ids, offsets)[0].tobytes(), offsets[1:].tolist()] == [b"ab  cd", [len(ids)] * 3]
+
+
 def test_query_rows_and_odd_inputs(spark, own, tmp_path):
     texts = [None, "", "hello world", "hello world", "x" * 300_000, "\n\n é"]
     rows = [(i, t, "other", 5) for i, t in enumerate(texts)] + [(None, "no id", None, 1), (2, "hello world", None, 1)]

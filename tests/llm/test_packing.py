@@ -77,6 +77,22 @@ def test_every_token_once_and_bins_as_their_pieces(spark, tmp_path, monkeypatch)
     assert sum(len(i) for p in want.values() for _, i in p) / sum(r.capacity for r in got) > 0.9
 
 
+def test_given_tokens_are_packed_as_texts_are(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_PIECES", 30)
+    rng = random.Random(6)
+    rows = [(f"d{i}", [rng.randrange(100_000) for _ in range(rng.choice([0, 1, 50, 3000, 40_000]))], 1) for i in range(60)] + [(None, [7], 1), ("none", None, 1)]
+    df = spark.createDataFrame(rows, "name string, ids array<int>, tokens int")
+    got = packing.packed(df, 100_000, (512, 4096), "name").collect()
+    parts = defaultdict(list)
+    for r in got:
+        at = 0
+        for d, piece, n in zip(r.doc_ids, r.pieces, r.lengths, strict=True):
+            parts[d].append((piece, r.ids[at : at + n]))
+            at += n
+        assert r.n_tokens == at <= r.capacity in (512, 4096)
+    assert {d: [t for _, ids in sorted(p) for t in ids] for d, p in parts.items()} == {d: [*(ids or []), 100_000] for d, ids, _ in rows}
+
+
 def test_equal_rows_spread_over_cells(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(packing, "CELL_PIECES", 50)
     got = run(spark, tmp_path, [(1, "the same text", "odd", 1, 2)] * 1000)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import bpe, language, minhash, packing, secret_scan
+from knotwork.llm import language, minhash, packing, secret_scan
 from knotwork.llm.common import table, written
 from knotwork.llm.queries import END, RANK_FILE
 
@@ -30,7 +30,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def in_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: bins of the tokens of whole documents, or of pieces of long ones."""
-    return packing.packed(bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN), END)
+    return packing.packed_texts(docs, RANK_FILE, public_tokenizers.PATTERN, END)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.functions.scalar import bigrams, containment, cosine, normalized
+from knotwork.functions.scalar import bigrams, containment, cosine, dice, normalized
 from knotwork.plans.stage import staged
 
 DICE_FLOOR, TWIN_FLOOR, CONFIDENT = 0.3, 0.6, 0.5
@@ -126,15 +126,22 @@ def audited_names(lexical: DataFrame, semantic: DataFrame | None, types: DataFra
 def twins(spelled: DataFrame, floor: float = TWIN_FLOOR) -> DataFrame:
     """(a, b, score): names whose spellings share informative pairs of characters, by Dice.
 
-    Candidates come from shared pairs; those of many spellings are stop-grams, which
-    bounds what any pair of characters makes.
+    Two spellings of that likeness share one of their rarest pairs of characters: of as many
+    as can be without coming below the floor.  So only those are joined, and only between
+    spellings of sizes that permit it; both sets are then compared as a whole.
     """
     grams = staged(informative(spelled)[0], "grams")
-    sizes = grams.groupBy("name", "spelling").agg(F.count("*").alias("size"))
-    x, y = grams.alias("x"), grams.alias("y")
-    both = x.join(y, F.expr("x.gram = y.gram AND x.name < y.name")).groupBy(F.col("x.name").alias("a"), F.col("x.spelling").alias("sa"), F.col("y.name").alias("b"), F.col("y.spelling").alias("sb")).agg(F.count("*").alias("both"))
-    out = both.join(sizes.select(F.col("name").alias("a"), F.col("spelling").alias("sa"), F.col("size").alias("na")), ["a", "sa"]).join(sizes.select(F.col("name").alias("b"), F.col("spelling").alias("sb"), F.col("size").alias("nb")), ["b", "sb"])
-    scored = out.groupBy("a", "b").agg(F.max(2.0 * F.col("both") / (F.col("na") + F.col("nb"))).alias("score"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    sets = staged(grams.join(often, "gram").groupBy("name", "spelling").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams")).withColumn("size", F.size("grams")), "sets")
+    least = floor / (2 - floor)  # of a set's pairs that a partner must share
+    first = F.slice("grams", 1, F.greatest(F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1, F.lit(1)))
+    probes = sets.select("name", "spelling", "size", F.explode(first).alias("g")).select("name", "spelling", "size", F.col("g.gram").alias("gram"))
+    x, y = probes.alias("x"), probes.alias("y")
+    sizes = F.expr(f"2 * least(x.size, y.size) >= {floor!r} * (x.size + y.size)")
+    near = x.join(y, F.expr("x.gram = y.gram AND x.name < y.name") & sizes).select(F.col("x.name").alias("a"), F.col("x.spelling").alias("sa"), F.col("y.name").alias("b"), F.col("y.spelling").alias("sb")).distinct()
+    for side in "ab":
+        near = near.join(sets.select(F.col("name").alias(side), F.col("spelling").alias(f"s{side}"), F.transform("grams", lambda g: g["gram"]).alias(f"g{side}")), [side, f"s{side}"])
+    scored = near.groupBy("a", "b").agg(F.max(dice(F.col("ga"), F.col("gb"))).alias("score"))
     return scored.filter(F.col("score") >= floor)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.operators import entry, fold, match, search, traverse
-from knotwork.plans.stage import staged
+from knotwork.plans.stage import settled, staged
 from knotwork.plans.tables import Tables
 
 MOST_CUES = 1000
@@ -38,7 +38,7 @@ def anchors(resolved: DataFrame, cues: list[str], auto_pick: bool = True) -> lis
 def gathered(edge: DataFrame, names: list[str], labels: list[str] = (), decay: float = traverse.DECAY, limit: int = traverse.STRONGEST) -> DataFrame:
     """(place, origin, triple, weight, count): what the anchors say under the labels, if any are
     given, then what activation reaches; a triple once, where it comes first."""
-    live = staged(match.visible(edge), "live")
+    live = settled(match.visible(edge), "live")
     parts = []
     if labels:
         page = match.page(match.query_any(live, names, list(labels)))
@@ -62,14 +62,15 @@ def cited(associations: DataFrame, tables: Tables) -> DataFrame:
 
 def retrieve(
     tables: Tables, cues: list[str], labels: list[str] = (), auto_pick: bool = True, describe_first: bool = True, fetch_citations: bool = True,
-    fallback: tuple[search.Index, DataFrame] | None = None, only_if_empty: bool = True, limit: int = search.LIMIT, decay: float = traverse.DECAY, activate_limit: int = traverse.STRONGEST,
+    fallback: tuple[search.Index, DataFrame] | None = None, only_if_empty: bool = True, edge: DataFrame | None = None, limit: int = search.LIMIT, decay: float = traverse.DECAY, activate_limit: int = traverse.STRONGEST,
 ) -> Retrieved:
     """Resolve, describe, query, activate, cite; a search of passages (an index, and terms
-    (query, term)) where asked for, by default only where the graph gave nothing."""
+    (query, term)) where asked for, by default only where the graph gave nothing.  ``edge`` is
+    the fold of the tables' assertions where it is stored."""
     cues = list(dict.fromkeys(cues))
     if len(cues) > MOST_CUES:
         raise ValueError(f"{len(cues)} cues, {MOST_CUES} at most")
-    edge = staged(fold.edges(tables.assertions), "edges")
+    edge = settled(fold.edges(tables.assertions) if edge is None else edge, "edges")
     spark = edge.sparkSession
     spelled = entry.spellings(edge, tables.aliases)
     resolved = staged(entry.resolve_all(spelled, spark.createDataFrame([(c,) for c in cues], "cue string")), "resolved")

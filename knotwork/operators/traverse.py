@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.plans.stage import staged
+from knotwork.plans.stage import settled, staged
 
 DEEPEST = 10
 DECAY, STRONGEST, FLOOR = 0.5, 20, 1e-6
@@ -30,12 +30,25 @@ def _names(edge: DataFrame, names: list[str]) -> DataFrame:
     return edge.sparkSession.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], "concept string, place long")
 
 
+def _present(edge: DataFrame, names: list[str]) -> DataFrame:
+    """(concept, place) of the names that an edge has: the edges are read for these alone."""
+    ends = [edge.filter(F.col(side).isin(list(names))).select(F.col(side).alias("concept")) for side in ("subject", "object")]
+    return _names(edge, names).join(ends[0].union(ends[1]).distinct(), "concept", "left_semi")
+
+
+def _either(edge: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Edges of which an end is a node (concept, ``column``), with its column as ``of_subject`` and ``of_object``."""
+    out = edge
+    for side in ("subject", "object"):
+        out = out.join(nodes.select(F.col("concept").alias(side), F.col(column).alias(f"of_{side}")), side, "left")
+    return out.filter("of_subject IS NOT NULL OR of_object IS NOT NULL")
+
+
 def distances(edge: DataFrame, origins: list[str], depth: int) -> DataFrame:
     """(concept, distance, path): concepts within ``depth`` hops of the origins, with
     the chain by which each was found first."""
     near = adjacency(edge)
-    present = near.select(F.col("src").alias("concept")).distinct()
-    start = _names(edge, origins).join(present, "concept", "left_semi")
+    start = _present(edge, origins)
     seen = frontier = staged(start.select("concept", F.lit(0).alias("distance"), F.array("concept").alias("path"), F.array(F.struct(F.col("place").alias("p"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("s"))).alias("order")), "frontier")
     for distance in range(1, min(depth, DEEPEST) + 1):
         found = frontier.join(near, F.col("concept") == F.col("src")).select(
@@ -52,11 +65,10 @@ def distances(edge: DataFrame, origins: list[str], depth: int) -> DataFrame:
 def explore(edge: DataFrame, origins: list[str], depth: int) -> DataFrame:
     """(distance, path, subject, label, object, weight, count): every edge within reach
     at the hop that touches it first, with the chain to the concept that does."""
-    depth, edge = min(depth, DEEPEST), staged(edge, "edges")
-    nodes = distances(edge, origins, depth - 1).select("concept", "distance", "path", "order")
-    touched = adjacency(edge).join(nodes, F.col("src") == F.col("concept"))
-    first = touched.groupBy("edge").agg(F.min(F.struct("distance", "order", "path")).alias("by"))
-    return first.select((F.col("by.distance") + 1).alias("distance"), F.col("by.path").alias("path"), *(F.col(f"edge.{k}").alias(k) for k in KEYS), (F.col("edge.sum") / F.col("edge.count")).alias("weight"), F.col("edge.count").alias("count"))
+    depth, edge = min(depth, DEEPEST), settled(edge, "edges")
+    nodes = distances(edge, origins, depth - 1).select("concept", F.struct("distance", "order", "path").alias("by"))
+    first = _either(edge, nodes, "by").withColumn("by", F.least("of_subject", "of_object"))
+    return first.select((F.col("by.distance") + 1).alias("distance"), F.col("by.path").alias("path"), *KEYS, (F.col("sum") / F.col("count")).alias("weight"), "count")
 
 
 def explore_page(rows: DataFrame, limit: int = 100, after: tuple[int, str, str, str] | None = None) -> DataFrame:
@@ -72,15 +84,17 @@ def activation(edge: DataFrame, origins: list[str], decay: float = DECAY) -> Dat
     """(concept, strength): spreading activation, the best product over all ways.
 
     A concept passes its strength times ``decay`` to a neighbour in proportion to the
-    edge's magnitude among all of its own; less than ``FLOOR`` isn't passed.
+    edge's magnitude among all of its own; less than ``FLOOR`` isn't passed.  Each round
+    reads the edges of the concepts that the last one made stronger, and no others.
     """
-    near = adjacency(edge.filter("sum <> 0")).select("src", "dst", F.abs("edge.sum").alias("pull"))
-    totals = near.groupBy("src").agg(F.sum("pull").alias("total"))
-    ways = staged(near.groupBy("src", "dst").agg(F.max("pull").alias("pull")).join(totals, "src").select("src", "dst", (F.col("pull") * decay / F.col("total")).alias("share")), "ways")
-    present = ways.select(F.col("src").alias("concept")).distinct()
-    best = frontier = staged(_names(edge, origins).join(present, "concept", "left_semi").select("concept", F.lit(1.0).alias("strength")), "active")
+    live = edge.filter("sum <> 0")
+    near = adjacency(live).select("src", "dst", F.abs("edge.sum").alias("pull"))
+    best = frontier = staged(_present(live, origins).select("concept", F.lit(1.0).alias("strength")), "active")
     while True:
-        flow = frontier.join(ways, F.col("concept") == F.col("src")).select(F.col("dst").alias("concept"), (F.col("strength") * F.col("share")).alias("flow"))
+        out = staged(near.join(frontier, F.col("concept") == F.col("src")).select("src", "dst", "pull", "strength"), "out")
+        total = out.groupBy("src").agg(F.sum("pull").alias("total"))
+        ways = out.groupBy("src", "dst").agg(F.max("pull").alias("pull"), F.max("strength").alias("strength")).join(total, "src")
+        flow = ways.select(F.col("dst").alias("concept"), (F.col("strength") * (F.col("pull") * decay / F.col("total"))).alias("flow"))
         flow = flow.filter(F.col("flow") >= FLOOR).groupBy("concept").agg(F.max("flow").alias("flow"))
         frontier = staged(flow.join(best, "concept", "left").filter("strength IS NULL OR flow > strength").select("concept", F.col("flow").alias("strength")), "active")
         if frontier.isEmpty():
@@ -91,13 +105,12 @@ def activation(edge: DataFrame, origins: list[str], decay: float = DECAY) -> Dat
 def activate(edge: DataFrame, origins: list[str], decay: float = DECAY, limit: int = STRONGEST) -> DataFrame:
     """(strength, subject, label, object, weight, count, total): the edges that activation
     reaches, strongest first; ties to the one asserted first."""
-    edge = staged(edge, "edges")
+    edge = settled(edge, "edges")
     active = activation(edge, origins, decay)
-    near = adjacency(edge.filter("sum <> 0"))
-    reached = near.join(active, F.col("src") == F.col("concept")).groupBy("edge").agg(F.max(F.col("strength") * decay * F.abs("edge.sum")).alias("strength"))
+    reached = _either(edge.filter("sum <> 0"), active, "strength").withColumn("strength", F.greatest("of_subject", "of_object") * decay * F.abs("sum"))
     total = reached.agg(F.count("*").alias("total"))
-    best = reached.orderBy(F.desc("strength"), "edge.first_seq", "edge.subject", "edge.label", "edge.object").limit(limit)
-    return best.crossJoin(F.broadcast(total)).select("strength", *(F.col(f"edge.{k}").alias(k) for k in KEYS), (F.col("edge.sum") / F.col("edge.count")).alias("weight"), F.col("edge.count").alias("count"), "total")  # one row
+    best = reached.orderBy(F.desc("strength"), "first_seq", *KEYS).limit(limit)
+    return best.crossJoin(F.broadcast(total)).select("strength", *KEYS, (F.col("sum") / F.col("count")).alias("weight"), "count", "total")  # one row
 
 
 def paths(edge: DataFrame, origins: list[str], targets: list[str], depth: int, limit: int = TRAILS) -> tuple[DataFrame, bool]:
@@ -106,11 +119,11 @@ def paths(edge: DataFrame, origins: list[str], targets: list[str], depth: int, l
 
     A trail goes on only to concepts that can still reach a target within ``depth``.
     """
-    depth, edge = min(depth, DEEPEST), staged(edge, "edges")
+    depth, edge = min(depth, DEEPEST), settled(edge, "edges")
     remaining = distances(edge, targets, depth).select(F.col("concept").alias("dst"), F.col("distance").alias("left"))
     near = adjacency(edge).join(remaining, "dst")
     goal = _names(edge, targets).select(F.col("concept").alias("at"))
-    start = _names(edge, origins).join(adjacency(edge).select(F.col("src").alias("concept")).distinct(), "concept", "left_semi")
+    start = _present(edge, origins)
     trail = staged(start.select(F.col("concept").alias("at"), F.array("concept").alias("concepts"), F.array().cast("array<bigint>").alias("edges"), F.lit(float("inf")).alias("strength")), "trails")
     found, spent, capped = None, 0, False
     for length in range(1, depth + 1):
@@ -142,5 +155,5 @@ def component(edge: DataFrame, origins: list[str]) -> DataFrame:
 
 def unreachable_from(edge: DataFrame, origins: list[str]) -> DataFrame:
     """Edges whose subject the origins don't reach; every edge where no origin is known."""
-    edge = staged(edge, "edges")
+    edge = settled(edge, "edges")
     return edge.join(component(edge, origins).select(F.col("concept").alias("subject")), "subject", "left_anti").select(*edge.columns)

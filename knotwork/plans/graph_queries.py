@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from knotwork.functions.scalar import average
 from knotwork.operators import audit, catalog, community, entry, fold, gloss, groups, match, retrieve, search, traverse
 from knotwork.plans import tables
-from knotwork.plans.stage import staged
+from knotwork.plans.stage import kept, staged
 from knotwork.sources import documents
 
 CONCEPT, PART, SINCE, UNTIL = "supplier:7", "part:7", 820_454_400, 883_612_800  # 1996-01-01, 1998-01-01
@@ -59,6 +59,12 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.edges(tables.graph(spark, sf_dir).assertions)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as a table, folded once for as long as what they come from doesn't change."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "customer", "supplier", "nation")]
+    return kept(spark, "edges", inputs, lambda: {"edges": _edges(spark, sf_dir)}, ["edges"])["edges"]
+
+
 def _rows(edge: DataFrame) -> DataFrame:
     return edge.select(*TRIPLE, average(F.col("sum"), F.col("count")).alias("weight"), "count")
 
@@ -407,7 +413,7 @@ def import_replace(spark, sf_dir):
 @query(W + f""", nodes AS (SELECT concept, min(d) AS d FROM (SELECT '{CONCEPT}' AS concept, 0 AS d UNION ALL SELECT dst, 1 FROM either WHERE src = '{CONCEPT}') GROUP BY concept)
 SELECT subject, label, object, CAST(min(d) + 1 AS INTEGER) AS distance, any_value(total / n) AS weight, any_value(n) AS count FROM either JOIN nodes ON src = concept GROUP BY subject, label, object""")
 def explore_depth2(spark, sf_dir):
-    return traverse.explore(match.visible(_edges(spark, sf_dir)), [CONCEPT], 2).drop("path")
+    return traverse.explore(match.visible(_stored(spark, sf_dir)), [CONCEPT], 2).drop("path")
 
 
 ACTIVE = """, pull AS (SELECT src, dst, max(abs(total)) AS p FROM either WHERE total <> 0 GROUP BY ALL),
@@ -422,7 +428,7 @@ reached AS (SELECT subject, label, object, any_value(total / n) AS weight, any_v
 
 @query(W + ACTIVE.format(CONCEPT) + "SELECT round(strength, 9) AS strength, subject, label, object, weight, count, count(*) OVER () AS total FROM reached ORDER BY reached.strength DESC, seen, subject, label, object LIMIT 20")
 def activate_top20(spark, sf_dir):
-    out = traverse.activate(match.visible(_edges(spark, sf_dir)), [CONCEPT])
+    out = traverse.activate(match.visible(_stored(spark, sf_dir)), [CONCEPT])
     return out.withColumn("strength", F.round("strength", 9))
 
 
@@ -433,7 +439,9 @@ every AS (SELECT subject, label, object, total, n FROM edges UNION ALL SELECT *
 
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of all facts there are: supplies, places and documents."""
-    return fold.edges(tables.graph(spark, sf_dir).assertions.union(tables.writings(spark, sf_dir)))
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "customer", "supplier", "nation", "documents")]
+    whole = lambda: {"edges": _stored(spark, sf_dir).union(fold.edges(tables.writings(spark, sf_dir)))}  # noqa: E731  no triple is in both
+    return kept(spark, "whole", inputs, whole, ["edges"])["edges"]
 
 
 @query(W + DOCS + """, hops AS (SELECT src, dst, first_seq, abs(total) AS pull FROM either UNION ALL SELECT subject, object, 9000000000000, 1.0 FROM docs WHERE false),
@@ -503,7 +511,7 @@ def alias_canonical_fold(spark, sf_dir):
 every AS (SELECT subject, label, object, CAST(min(d) + 1 AS INTEGER) AS distance, any_value(total / n) AS weight, any_value(n) AS count FROM either JOIN nodes ON src = concept GROUP BY subject, label, object)
 SELECT *, (SELECT count(*) FROM every) AS total FROM every WHERE (distance, subject, label, object) > (1, '{CONCEPT}', 'supplies', 'part:5') ORDER BY distance, subject, label, object LIMIT 40""")
 def explore_page(spark, sf_dir):
-    rows = traverse.explore(match.visible(_edges(spark, sf_dir)), [CONCEPT], 2).drop("path")
+    rows = traverse.explore(match.visible(_stored(spark, sf_dir)), [CONCEPT], 2).drop("path")
     return traverse.explore_page(rows, 40, (1, CONCEPT, "supplies", "part:5"))
 
 
@@ -540,7 +548,7 @@ first AS (SELECT * FROM (SELECT * FROM q UNION ALL SELECT * FROM a) QUALIFY row_
 SELECT CAST(row_number() OVER (ORDER BY lane, n) AS INTEGER) AS place, CASE lane WHEN 0 THEN 'query' ELSE 'activate' END AS origin, subject, label, object, weight, count FROM first""")
 def retrieve_associations(spark, sf_dir):
     """A wording in capitals, resolved to its name; what that supplies, and what activation adds."""
-    return retrieve.retrieve(tables.graph(spark, sf_dir), [CONCEPT.upper()], ["supplies"]).associations
+    return retrieve.retrieve(tables.graph(spark, sf_dir), [CONCEPT.upper()], ["supplies"], edge=_stored(spark, sf_dir)).associations
 
 
 @query("SELECT DISTINCT 'file' || (p_partkey % 9) || '.py::' || replace(p_name, ' ', '_') AS name FROM part WHERE p_partkey % 9 = 4")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions import scalar
 from knotwork.functions.scalar import average
-from knotwork.operators import audit, catalog, community, entry, fold, gloss, groups, match, retrieve, search, traverse
+from knotwork.operators import audit, catalog, community, entry, evidence, fold, gloss, groups, match, retrieve, search, traverse
 from knotwork.plans import tables
 from knotwork.plans.stage import kept, staged
 from knotwork.sources import documents
@@ -576,3 +577,47 @@ def unrelated_pairs(spark, sf_dir):
 @query(W + "SELECT DISTINCT label AS name, (SELECT count(DISTINCT label) FROM edges WHERE label <> 'part_of') AS total FROM edges WHERE label <> 'part_of' AND label > 'a' ORDER BY name LIMIT 10")
 def label_page_excluding(spark, sf_dir):
     return match.vocabulary(_edges(spark, sf_dir), after="a", limit=10, kind="label", excluded=["part_of"])
+
+
+@query(W + ", types_too AS (SELECT subject, label, object, total, n FROM edges UNION ALL SELECT concept, 'schema:type', type, 1.0, 1 FROM types) SELECT subject, label, object, total / n AS weight, n AS count FROM types_too WHERE label NOT IN ('schema:type', 'part_of')")
+def hidden_labels(spark, sf_dir):
+    """What walks and pages show where two labels are hidden."""
+    return _rows(match.visible(_typed(spark, sf_dir), (tables.TYPE_LABEL, "part_of")))
+
+
+@query(W + "SELECT subject, label, object, total / n AS weight, CAST((SELECT count(DISTINCT source) FROM shares s WHERE s.subject = e.subject AND s.object = e.object AND s.label = e.label) AS INTEGER) AS sources FROM edges e WHERE label = 'supplies'")
+def corroboration(spark, sf_dir):
+    """How many sources attest each edge."""
+    said = tables.supplies(spark, sf_dir)
+    edge = fold.with_attributions(fold.edges(said), fold.attributions(said))
+    return evidence.corroboration(edge).select(*TRIPLE, average(F.col("sum"), F.col("count")).alias("weight"), "sources")
+
+
+@query(W + FACTS + """, p AS (SELECT 'nation:' || n_nationkey AS a, 'nation:' || (n_nationkey + 1) AS b FROM nation),
+held AS (SELECT a, b, d, l, o, max(CASE WHEN c = a THEN 1 ELSE 0 END) AS of_a, max(CASE WHEN c = b THEN 1 ELSE 0 END) AS of_b FROM p JOIN f ON c IN (a, b) GROUP BY ALL)
+SELECT * FROM (SELECT a, b, CASE WHEN of_a + of_b = 2 THEN 'both' WHEN of_a = 1 THEN 'a' ELSE 'b' END AS side, d AS direction, l AS label, o AS other,
+  CAST(row_number() OVER (PARTITION BY a, b, CASE WHEN of_a + of_b = 2 THEN 'both' WHEN of_a = 1 THEN 'a' ELSE 'b' END ORDER BY d, l, o) AS INTEGER) AS place FROM held) WHERE place <= 20""")
+def merge_facts(spark, sf_dir):
+    """For each nation and the next, what is said of both and of each alone."""
+    pairs = tables.read(spark, sf_dir, "nation").select(tables.named("nation", "n_nationkey").alias("a"), F.concat(F.lit("nation:"), (F.col("n_nationkey") + 1).cast("string")).alias("b"))
+    return audit.shared_facts(_edges(spark, sf_dir), pairs).select("a", "b", "side", "fact.direction", "fact.label", "fact.other", "place")
+
+
+@query(W + """, around AS (SELECT subject AS concept, * FROM edges WHERE label <> 'supplies' UNION ALL SELECT object, * FROM edges WHERE label <> 'supplies' AND subject <> object),
+best AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY abs(total) DESC, first_seq, subject, label, object) AS place FROM around QUALIFY place <= 4),
+told AS (SELECT *, lag(subject) OVER (PARTITION BY concept ORDER BY place) AS last FROM best),
+glosses AS (SELECT concept, concept || '。' || string_agg(CASE WHEN subject <> concept AND subject IS DISTINCT FROM last THEN subject || 'の' ELSE '' END || label || 'は' || object || CASE WHEN total < 0 THEN 'ではない' ELSE '' END || '。', '' ORDER BY place) AS gloss FROM told GROUP BY concept),
+found AS (SELECT 'nation:1' AS cue, concept AS name, least(length(concept), 8) / greatest(length(concept), 8) AS score FROM glosses WHERE contains(concept, 'nation:1'))
+SELECT cue, name, round(score, 9) AS score, CASE WHEN row_number() OVER (ORDER BY score DESC, name) <= 8 THEN gloss END AS gloss FROM found JOIN glosses ON name = concept""")
+def glossed_candidates(spark, sf_dir):
+    """The names that ``nation:1`` may mean by being part of them, the first eight with their glosses."""
+    edge = staged(fold.edges(tables.places(spark, sf_dir)), "places")
+    found = entry.resolve_all(entry.spellings(edge), spark.createDataFrame([("nation:1",)], "cue string")).filter("kind <> 'fuzzy'").drop("kind")
+    return gloss.glossed(found, gloss.concept_glosses(edge).drop("context"), ["cue"]).withColumn("score", F.round("score", 9))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 0.5 ELSE greatest(least(value / 50, 1.0), 0.0) END AS share FROM events")
+def clamped_shares(spark, sf_dir):
+    """Values as shares, into [0, 1]; those of errors aren't numbers and take the fallback."""
+    value = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value") / 50)
+    return tables.read(spark, sf_dir, "events").select("event_id", scalar.clamped(value, 0.5).alias("share"))

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,10 +48,19 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+#: Files of a table that the driver looks at one by one; more are looked at by a job.
+LISTED = 1000
+
+
 def state_of(spark: SparkSession, path: str) -> str:
     """A digest of the names, lengths and times of the files of a table."""
     where, files = _file_system(spark, path)
-    found = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where))
+    statuses = files.listStatus(where)
+    if len(statuses) <= LISTED:
+        found: object = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in statuses)
+    else:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        found = tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).collect()[0])
     return hashlib.sha256(repr((path, found)).encode()).hexdigest()[:24]
 
 

@@ -552,3 +552,37 @@ def dual_lane_rrf(spark, sf_dir):
     order = F.row_number().over(Window.orderBy(F.abs("weight").desc(), "subject")) - 1  # a page of rows
     return evidence.dual_lane(page.select(F.col("subject").alias("item"), order.alias("rank")), text)
 
+
+@query(f"""WITH v AS (SELECT 'vec:' || vec_id AS name, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT a.name AS a, b.name AS b, {COSINE} AS score FROM v a JOIN v b ON a.name < b.name WHERE {COSINE} >= 0.3 ORDER BY score DESC, a, b LIMIT 100""")
+def semantic_twins(spark, sf_dir):
+    """The closest pairs of vectors; more than 2000 are refused."""
+    rows = tables.read(spark, sf_dir, "embeddings").select(tables.named("vec", "vec_id").alias("name"), F.col("embedding").alias("vector"))
+    return entry.semantic_twins(rows, 0.3)
+
+
+@query("""SELECT 'doc:' || doc_id AS source, CAST(0 AS INTEGER) AS paragraph, sha256(text) AS hash FROM documents WHERE doc_id % 9 = 4 AND text IS NOT NULL""")
+def stale_vectors(spark, sf_dir):
+    """Vectors made of texts of which every ninth had another end."""
+    rows = tables.read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(tables.named("doc", "doc_id").alias("source"), F.lit(0).alias("paragraph"), F.sha2("text", 256).alias("hash"), "doc_id")
+    live = rows.withColumn("hash", F.when(F.col("doc_id") % 9 == 4, "changed").otherwise(F.col("hash")))
+    return search.stale_vectors(rows.drop("doc_id"), live).select("source", "paragraph", "hash")
+
+
+@query("""WITH p AS (SELECT 'conv:' || conv_id AS source, CAST(turn AS INTEGER) AS paragraph, text FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT *, CAST(floor(coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 300) AS BIGINT) AS chunk FROM p),
+t AS (SELECT source, chunk, string_agg('[' || paragraph || '] ' || text, chr(10) || chr(10) ORDER BY paragraph) AS text FROM c GROUP BY ALL) SELECT source, chunk, text, sha256(text) AS digest FROM t""")
+def chunked(spark, sf_dir):
+    """Conversations in chunks of about 300 characters."""
+    rows = tables.read(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(tables.named("conv", "conv_id").alias("source"), F.col("turn").cast("int").alias("paragraph"), "text")
+    return documents.chunks(rows, 300).select("source", F.col("chunk").cast("long").alias("chunk"), "text", "digest")
+
+
+@query("""WITH lexical AS (SELECT 'doc:' || doc_id AS name, 0.3::DOUBLE AS score FROM documents WHERE doc_id % 3 = 0), semantic AS (SELECT 'doc:' || doc_id AS name, 0.7::DOUBLE AS score FROM documents WHERE doc_id % 2 = 0)
+SELECT name, score, 'lexical' AS tier FROM lexical UNION ALL SELECT name, score, 'semantic' FROM semantic WHERE name NOT IN (SELECT name FROM lexical)""")
+def tier_merge(spark, sf_dir):
+    """Names of both tiers where the spelling alone isn't sure."""
+    names = tables.read(spark, sf_dir, "documents").select(tables.named("doc", "doc_id").alias("name"), "doc_id")
+    lexical, semantic = names.filter("doc_id % 3 = 0").select("name", F.lit(0.3).alias("score")), names.filter("doc_id % 2 = 0").select("name", F.lit(0.7).alias("score"))
+    return entry.merged_tiers(lexical, semantic)
+

@@ -178,7 +178,7 @@ def test_an_index_is_brought_up_to_date(spark):
     assert key(posted) == key(search.postings(whole)) and key(length) == key(search.lengths(whole))
 
 
-def test_kept_tables_are_built_anew_when_their_input_changes(spark, tmp_path):
+def test_kept_tables_are_built_anew_when_their_input_changes(spark, tmp_path, monkeypatch):
     source, built = f"{tmp_path}/in.parquet", []
     spark.range(3).write.parquet(source)
 
@@ -190,6 +190,11 @@ def test_kept_tables_are_built_anew_when_their_input_changes(spark, tmp_path):
     assert (ask(), ask(), len(built)) == (3, 3, 1)
     spark.range(5).write.mode("overwrite").parquet(source)
     assert (ask(), len(built)) == (5, 2)
+    monkeypatch.setattr(stage, "LISTED", 0)
+    before = stage.state_of(spark, source)
+    assert before == stage.state_of(spark, source)
+    spark.range(5).write.mode("append").parquet(source)
+    assert before != stage.state_of(spark, source)
 
 
 def test_retrieval_in_one_go(spark):

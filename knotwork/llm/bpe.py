@@ -39,9 +39,9 @@ NO_RANK = np.int64(1 << 40)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of pieces whose rows merge one pair in a round; cells of a matrix; pieces that a worker remembers, and their ids.
-NARROW, CELLS, REMEMBERED, REMEMBERED_IDS = 64, 1 << 20, 1 << 19, 1 << 22
+NARROW, CELLS, REMEMBERED, REMEMBERED_IDS = 64, 1 << 18, 1 << 18, 1 << 21
 #: Bytes of text that are tokenised together.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 class PairTable:
@@ -299,7 +299,7 @@ def _powers_to(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         for base in _BASES:
             both = []
             for step in (base, pow(base, -1, 1 << 64)):
-                steps = np.full(max(n, 1 << 20), step, np.uint64)
+                steps = np.full(max(n, BLOCK_BYTES + 1), step, np.uint64)
                 steps[0] = 1
                 both.append(np.multiply.accumulate(steps))
             _powers.append((both[0], both[1]))

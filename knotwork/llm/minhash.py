@@ -57,6 +57,8 @@ PERCENT = 75
 BLOCK = 512
 #: Keys that a scan of the texts may be joined to by broadcast; more go by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Bytes of text whose shingles are made together.
+BLOCK_BYTES = 1 << 18
 #: Texts, and pairs of texts, that a worker gets at once.
 TEXTS, TEXT_PAIRS = 500, 64
 _RNG = np.random.Generator(np.random.PCG64(4_096))
@@ -118,7 +120,7 @@ def signatures(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).to_pylist()]
-            for begin, end in blocks([len(t) for t in texts], 1 << 20):
+            for begin, end in blocks([len(t) for t in texts], BLOCK_BYTES):
                 sets = shingle_sets(texts[begin:end])
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
@@ -187,7 +189,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_column: str
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             sizes = [len(x or b"") + len(y or b"") for x, y in zip(left, right, strict=True)]
-            for begin, end in blocks(sizes, 1 << 20):
+            for begin, end in blocks(sizes, BLOCK_BYTES):
                 sets = shingle_sets([t or b"" for pair in zip(left[begin:end], right[begin:end], strict=True) for t in pair])
                 keep = []
                 for i in range(end - begin):
@@ -362,7 +364,7 @@ def _within_buckets(rest: DataFrame, reps: DataFrame, docs: DataFrame, id_column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for begin, end in blocks([len(t) for t in texts], 1 << 20):
+            for begin, end in blocks([len(t) for t in texts], BLOCK_BYTES):
                 sets = shingle_sets(texts[begin:end])
                 low = packed(minima(sets, LONG_HASHES)).view(np.int64)
                 offsets = np.arange(end - begin + 1, dtype=np.int32) * low.shape[1]

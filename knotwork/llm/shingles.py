@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
+            steps = np.full(max(n, 1 << 19), base, np.uint64)
             steps[0] = 1
             _powers[i] = np.multiply.accumulate(steps)
     return _powers[0][:n], _powers[1][:n]

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.llm import language, minhash, packing, secret_scan
-from knotwork.llm.common import table, written
+from knotwork.llm.common import rows_per_batch, table, written
+from knotwork.llm.minhash import TEXTS
 from knotwork.llm.queries import END, RANK_FILE
 
 
@@ -47,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with rows_per_batch(spark, TEXTS):
+            docs = written(stage(spark, docs, sf_dir), name)
     return docs

@@ -11,7 +11,7 @@ from knotwork.llm.common import written
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star round over edges with a > b."""
     both = edges.union(edges.select(F.col("b"), F.col("a")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # a plain table, so that a hot node's join is split
     large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
     floor = large.groupBy("a").agg(F.min("b").alias("m"))
     small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -219,7 +219,9 @@ def _linked(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame,
     mask = F.xxhash64(F.pmod(F.col("key"), F.lit(LEADERS)))
     members = reps.select(F.explode("bands").alias("key"), "node")
     buckets = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("first"), F.max(F.col("node").bitwiseXOR(mask)).alias("last")).filter("first < last")
-    members = written(members.join(buckets.select("key", F.col("first").bitwiseXOR(mask).alias("leader")), "key"), "members")
+    # sums that hot keys are joined with are tables of their own: a join of two plain shuffles is split where it is skewed
+    buckets = written(buckets.select("key", F.col("first").bitwiseXOR(mask).alias("leader")), "buckets")
+    members = written(members.join(buckets, "key"), "members")
 
     signed = reps.select("node", "n", *SIGNATURE)
     stars = members.filter("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
@@ -245,8 +247,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     docs, classes, assigned, links = _linked(df, id_column, text_column)
     several = assigned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc_id", "a")
     same = written(assigned.join(several, "doc_id").filter("node > a").select("a", F.col("node").alias("b")).distinct(), "same")
-    rooted = _rooted(classes, links if same.isEmpty() else links.union(same))
-    named = written(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("lo", "hi", "n", "node", "component_id"), "named")
+    rooted = written(_rooted(classes, links if same.isEmpty() else links.union(same)), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    named = written(rooted.join(least, "root").select("lo", "hi", "n", "node", "component_id"), "named")
 
     full = docs.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "lo", "hi").join(named, ["lo", "hi", "n"]).select("doc_id", "n", "component_id")
     blank = docs.filter("doc_id IS NULL OR n = 0").select("doc_id", "n")
@@ -260,7 +263,7 @@ def _unresolved(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataF
     buckets that hold more than one component."""
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_buckets = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter("least < most")
-    open_buckets = open_buckets.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
+    open_buckets = written(open_buckets.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks")), "open")
     signed = reps.select("node", "n", F.array(*SIGNATURE).alias("signature"), "bands")
     rest = labelled.join(open_buckets, "key").join(signed, "node")
     return written(rest.withColumn("block", F.expr("cast(pmod(xxhash64(node), n_blocks) as int)")), "rest")
@@ -380,10 +383,10 @@ def _within_buckets(rest: DataFrame, reps: DataFrame, docs: DataFrame, id_column
 def without_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of those whose texts link, one."""
     _, classes, assigned, links = _linked(df, id_column, text_column)
-    rooted = _rooted(classes.select("node", "rep"), links)
-    rooted = written(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "root", "first"), "roots")
-    rows = assigned.join(rooted, "node")
-    best = rows.filter("doc_id = first").groupBy("root").agg(F.min("row_key").alias("best"))
+    rooted = written(_rooted(classes.select("node", "rep"), links), "rooted")
+    first = written(rooted.groupBy("root").agg(F.min("rep").alias("first")), "least")
+    rows = written(assigned.join(rooted.join(first, "root").select("node", "root", "first"), "node"), "rows")
+    best = written(rows.filter("doc_id = first").groupBy("root").agg(F.min("row_key").alias("best")), "best")
     judged = written(rows.join(best, "root").groupBy("row_key").agg(F.max(F.col("row_key") == F.col("best")).alias("stays"), F.count("*").alias("times")), "judged")
     key = "_row_key"
     while key in df.columns:

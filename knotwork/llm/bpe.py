@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import sliced
+from knotwork.llm.common import released, sliced
 from knotwork.llm.shingles import blocks
 
 NO_RANK = np.int64(1 << 40)
@@ -407,7 +407,7 @@ def encode_texts(texts: list[str], vocabulary: Vocabulary, pattern: str = CUT) -
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``BLOCK_BYTES`` of text; a longer text stands alone."""
-    for batch in batches:
+    for batch in released(batches):
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for begin, end in blocks(sizes.tolist(), BLOCK_BYTES):
             yield batch.slice(begin, end - begin)

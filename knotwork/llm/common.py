@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,9 +60,17 @@ def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker, which lives on, gives back the memory that they left free."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches, at most ``rows`` rows each.  Spark bounds a batch by bytes; what Python
     makes of the texts of one is bounded by this too, whatever the session's settings."""
-    for batch in batches:
+    for batch in released(batches):
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)

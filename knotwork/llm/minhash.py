@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import rows_per_batch, written
+from knotwork.llm.common import released, rows_per_batch, written
 from knotwork.llm.components import components
 from knotwork.llm.shingles import blocks, mix, shingle_sets
 
@@ -118,7 +118,7 @@ def signatures(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     schema = "doc_id long, row_key long, n long, lo long, hi long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             for begin, end in blocks([len(t) for t in texts], BLOCK_BYTES):
                 sets = shingle_sets(texts[begin:end])
@@ -185,7 +185,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_column: str
     sides = [texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             sizes = [len(x or b"") + len(y or b"") for x, y in zip(left, right, strict=True)]
@@ -365,7 +365,7 @@ def _within_buckets(rest: DataFrame, reps: DataFrame, docs: DataFrame, id_column
     texts = texts_of(promising.select("node").distinct(), reps, docs, id_column, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for begin, end in blocks([len(t) for t in texts], BLOCK_BYTES):
                 sets = shingle_sets(texts[begin:end])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.bpe import encoder_of, ragged, text_blocks, vocabulary_file
-from knotwork.llm.common import written
+from knotwork.llm.common import released, written
 from knotwork.llm.shingles import blocks
 
 CAPACITIES = (2048, 4096, 8192, 16384)
@@ -223,7 +223,7 @@ def _bytes(column: pa.Array) -> np.ndarray:
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each cell, which come together."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in released(batches):
         cells = batch.column(batch.schema.get_field_index("cell")).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
         for begin, end in itertools.pairwise(cuts):

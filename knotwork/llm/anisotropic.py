@@ -12,6 +12,12 @@ answers, so eta > 1 penalises it.  Codes are found by coordinate descent over th
 pairs, centres by least squares with the same weights.  Because u has unit length
 a tight cluster of near copies is coded as finely as any other.
 
+The rows of a coarse centre are its list.  Each query first scans the list of the centre of
+largest inner product; its ``k``-th best there is a bound, and of the other lists it
+scans those that may hold better: q.c plus the length of q times the longest residual
+of the list, in the block at hand, is the most that a row can reach.  So where vectors
+lie in clusters most lists are left out, and nothing is lost by it.
+
 A row also carries the factor that makes the coded vector's inner product with x
 itself right, so no parallel error is left for the queries closest to x.  A query's
 scan adds q.c and s times the sum of its table entries, two four-bit codes looked up
@@ -36,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.llm.common import written
@@ -49,8 +55,8 @@ THRESHOLD = 0.2
 SAMPLE = 20_000
 #: Rows of a block that are scored exactly for each query.
 RERANK = 100
-#: Queries whose tables are built together.
-TOGETHER = 128
+#: Queries whose tables are built together, and partitions that a list is dealt to.
+TOGETHER, PARTS = 128, 8
 
 
 def eta(width: int, threshold: float = THRESHOLD) -> float:
@@ -185,38 +191,46 @@ def coded(rows: DataFrame, fitted: Broadcast) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, v array<double>, codes binary, coarse int, length float, factor float")
 
 
-def scan(queries: list[tuple[np.ndarray, np.ndarray]], blocks: Iterator[tuple[np.ndarray, ...]], k: int, rerank: int, fitted: dict[int, Quantiser]) -> Iterator[tuple[np.ndarray, Best]]:
-    held = {rows.shape[1]: (ids, rows, Best(len(ids), k)) for ids, rows in queries}
+def scan(queries: list[tuple[np.ndarray, ...]], blocks: Iterator[tuple[np.ndarray, ...]], k: int, rerank: int, fitted: dict[int, Quantiser], others: bool) -> Iterator[tuple[np.ndarray, Best]]:
+    """The best rows of a task: of each query's own list or, with ``others``, of the lists that may beat its bound."""
+    held = {}
+    for ids, q, *bound in queries:
+        model = fitted.get(q.shape[1])
+        near = q @ model.centres.T if model is not None else np.zeros((len(q), 1))
+        held[q.shape[1]] = ids, q, near, near.argmax(1), np.sqrt((q**2).sum(1)), Best(len(ids), k, *bound)
     for ids, x, packed, coarse, length, factor in blocks:
         if x.shape[1] not in held:
             continue
-        query_ids, q, best = held[x.shape[1]]
+        query_ids, q, near, own, norms, best = held[x.shape[1]]
         model = fitted.get(x.shape[1])
-        if model is not None:
-            columns = np.ascontiguousarray(packed.T).astype(np.intp)
-            total, part = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
-        for begin in range(0, len(q), TOGETHER):
-            some = q[begin : begin + TOGETHER]
-            if model is not None:
-                tables, near = model.tables(some), (some @ model.centres.T).astype(np.float32)
-            for i in range(len(some)):
-                if model is None:
-                    places = np.arange(len(x))
-                else:
-                    total[:] = 0
+        lists, row_list = np.unique(coarse, return_inverse=True)
+        if others:
+            reach = np.zeros(len(lists))
+            np.maximum.at(reach, row_list, length)
+            most = near[:, lists] + norms[:, None] * reach
+            open_lists = (most * (1 + 1e-6) + 1e-6 * norms[:, None] >= best.least[:, None]) & (own[:, None] != lists)
+        else:
+            open_lists = own[:, None] == lists
+        columns = np.ascontiguousarray(packed.T).astype(np.intp)
+        asking = np.flatnonzero(open_lists.any(1))
+        for begin in range(0, len(asking), TOGETHER):
+            some = asking[begin : begin + TOGETHER]
+            tables = model.tables(q[some]) if model is not None else None
+            for i, query in enumerate(some):
+                rows = np.flatnonzero(open_lists[query][row_list]) if not open_lists[query].all() else np.arange(len(x))
+                if model is not None:
+                    total = np.zeros(len(rows), np.float32)
+                    whole = len(rows) == len(x)
                     for b, column in enumerate(columns):
-                        np.take(tables[i, b], column, out=part, mode="clip")
-                        np.add(total, part, out=total)
-                    np.multiply(total, length, out=total)
-                    np.add(total, near[i][coarse], out=total)
-                    np.multiply(total, factor, out=total)
-                    places = _chosen(total, rerank + 1)
-                places = places[ids[places] != query_ids[begin + i]]
-                scores = (x[places] * some[i]).sum(1)
-                good = scores >= best.least[begin + i]
+                        total += np.take(tables[i, b], column if whole else column[rows], mode="clip")
+                    total = (total * length[rows] + near[query].astype(np.float32)[coarse[rows]]) * factor[rows]
+                    rows = rows[_chosen(total, rerank + 1)]
+                rows = rows[ids[rows] != query_ids[query]]
+                scores = (x[rows] * q[query]).sum(1)
+                good = scores >= best.least[query]
                 if good.any():
-                    best.add(begin + i, scores[good], ids[places[good]])
-    for query_ids, _, best in held.values():
+                    best.add(query, scores[good], ids[rows[good]])
+    for query_ids, *_, best in held.values():
         yield query_ids, best
 
 
@@ -227,4 +241,11 @@ def nearest(df: DataFrame, asked: DataFrame, k: int = 20, sample: int = SAMPLE,
     asked = usable(asked, id_column, vector_column).filter(nonzero)
     fitted = {width: Quantiser(np.concatenate(parts)) for width, parts in sampled(rows, sample).items()}
     shared = df.sparkSession.sparkContext.broadcast(fitted)
-    return search(written(coded(rows, shared), "codes"), asked, k, lambda q, b: scan(q, b, k, rerank, shared.value), "double")
+    # the rows of a list lie together, those of a large one in several partitions
+    index = coded(rows, shared).repartition("coarse", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).sortWithinPartitions("coarse")
+    index = written(index, "codes")
+    first = written(search(index, asked, k, lambda q, b: scan(q, b, k, rerank, shared.value, False), "double"), "first")
+    bound = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    rest = search(index, asked.join(bound, "vec_id", "left"), k, lambda q, b: scan(q, b, k, rerank, shared.value, True), "double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return first.union(rest).withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

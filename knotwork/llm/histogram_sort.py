@@ -35,6 +35,8 @@ OVERHEAD = 16
 LOW, HIGH = -(1 << 63), 1 << 63
 #: Rows of a range, about, and ranges of a shard at least.
 RANGE_ROWS, LEAST_RANGES = 500_000, 4
+#: Ranges in all at most: what the driver counts doesn't grow beyond.
+MOST_RANGES = 16_384
 #: Probes of each open boundary in a round.
 PROBES = 16
 #: What a boundary may miss its target by: of a shard's bytes, and of a range's for those inside a shard.
@@ -78,7 +80,7 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> t
     probes = [LOW + (HIGH - LOW) * i // 1024 for i in range(1, 1024)]
     counted = below(rows, probes)
     total, n = counted[-1]
-    per_shard = max(LEAST_RANGES, -(-n // (n_shards * RANGE_ROWS)))
+    per_shard = max(LEAST_RANGES, min(-(-n // (n_shards * RANGE_ROWS)), MOST_RANGES // n_shards))
     ranges = n_shards * per_shard
     known = {LOW: (0, 0), HIGH: (total, n), **dict(zip(probes, counted, strict=False))}
     chosen: dict[int, int] = {}

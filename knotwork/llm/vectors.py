@@ -45,7 +45,7 @@ def by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     for width in np.unique(lengths):
         rows = np.flatnonzero(lengths == width)
         more = [c.take(pa.array(rows)) for c in batch.columns[2:]]
-        more = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(rows), -1) if pa.types.is_binary(c.type) else c.to_numpy() for c in more]
+        more = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(rows), -1) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in more]
         yield ids[rows], flat[starts[rows][:, None] + np.arange(width)], *more
 
 
@@ -71,10 +71,10 @@ def row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 class Best:
     """For each query its ``k`` largest scores, ties to smaller ids."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None):
         self.k = k
         self.found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
-        self.least = np.full(n, -np.inf)
+        self.least = np.full(n, -np.inf) if least is None else np.where(np.isnan(least), -np.inf, least)
 
     def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
         if self.found[query] is not None:
@@ -85,7 +85,7 @@ class Best:
         order = np.lexsort((ids, -scores))[: self.k]
         self.found[query] = scores[order], ids[order]
         if len(order) == self.k:
-            self.least[query] = scores[order[-1]]
+            self.least[query] = max(self.least[query], scores[order[-1]])
 
     def batch(self, query_ids: np.ndarray, kind: pa.DataType) -> pa.RecordBatch | None:
         rows = [i for i, x in enumerate(self.found) if x is not None and len(x[0])]
@@ -104,7 +104,7 @@ Scan = Callable[[np.ndarray, np.ndarray], Callable[[Iterator[tuple[np.ndarray, n
 def search(rows: DataFrame, asked: DataFrame, k: int, scan: Callable, score: str) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of ``asked`` the ``k`` best of ``rows``.
 
-    ``scan(queries, blocks)`` runs in a task: queries is a list of (ids, matrix),
+    ``scan(queries, blocks)`` runs in a task: queries is a list of (ids, matrix, further columns),
     one for each vector length, and blocks are those of ``row_blocks``, with any further
     columns of ``rows``; it gives
     (ids, Best).  An id asked for more than once is asked with its least vector.
@@ -115,7 +115,7 @@ def search(rows: DataFrame, asked: DataFrame, k: int, scan: Callable, score: str
     context = spark.sparkContext
     if rows.rdd.getNumPartitions() < context.defaultParallelism:
         rows = rows.repartition(context.defaultParallelism)
-    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"), *(F.max(c).alias(c) for c in asked.columns if c not in ("vec_id", "v")))
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     kind = pa.int64() if score == "long" else pa.float64()
 

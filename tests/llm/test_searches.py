@@ -144,3 +144,36 @@ def test_parallel_error_is_smaller_than_with_nearest_codes():
     model_codes = model._codes(parts, ways)
     assert model.books.shape == (8, 16, 2)
     assert (along(model_codes) ** 2).mean() <= (along(plain) ** 2).mean() + 1e-12
+
+
+def test_lists_that_cannot_hold_better_are_left_out(monkeypatch):
+    from knotwork.llm import anisotropic
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 12_000)] + 0.15 * rng.normal(size=(12_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    model = anisotropic.Quantiser(x[::4])
+    ids, coded = np.arange(len(x)), model.coded(x)
+    order = np.argsort(coded[1], kind="stable")
+    blocks = [tuple(c[order[i : i + 1000]] for c in (ids, x, *coded)) for i in range(0, len(x), 1000)]
+    scanned, plain = [], anisotropic._chosen
+    monkeypatch.setattr(anisotropic, "_chosen", lambda scores, most: scanned.append(len(scores)) or plain(scores, most))
+    q = np.arange(0, len(x), 100)
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -9
+
+    def recall(*found):
+        n = 0
+        for i, row in enumerate(scores):
+            parts = [b.found[i] for b in found if b.found[i] is not None]
+            both = np.concatenate([p[1] for p in parts])[np.argsort(-np.concatenate([p[0] for p in parts]))[:20]]
+            n += len(set(both) & set(np.argsort(-row)[:20]))
+        return n / (20 * len(q))
+
+    ((_, first),) = anisotropic.scan([(q, x[q])], iter(blocks), 20, 100, {32: model}, False)
+    ((_, rest),) = anisotropic.scan([(q, x[q], first.least)], iter(blocks), 20, 100, {32: model}, True)
+    work = sum(scanned)
+    ((_, every),) = anisotropic.scan([(q, x[q])], iter(blocks), 20, 100, {32: model}, True)
+    assert recall(first, rest) >= recall(first, every) >= 0.9
+    assert work < 0.2 * len(q) * len(x)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import scalar
-from knotwork.operators import entry, evaluate, evidence, extraction, fold, match, search, vectors
+from knotwork.operators import catalog, entry, evaluate, evidence, extraction, fold, match, search, vectors
 from knotwork.plans import graph_queries, tables
 from knotwork.plans.stage import kept, new_path, staged
 from knotwork.sources import documents, jsonl
@@ -499,8 +499,13 @@ def semantic_floor(spark, sf_dir):
     return entry.calibrated_floor(probes).select(*(F.round(c, 6).alias(c) for c in ("upper", "lower", "floor")))
 
 
-@query(None)
+@query(r"""WITH t AS (SELECT item_id, text, lower(text) AS low, list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+m AS (SELECT item_id, list_transform(['no', 'not', 'never', 'none', 'neither', 'nor', 'without', 'cannot', 'non'], lambda n: len(list_filter(w, lambda x: lower(x) = n))) AS words,
+  list_transform(['n''t', 'ない', 'ません', 'なかった', 'せず', '不', '無'], lambda p: (length(low) - length(replace(low, p, ''))) / length(p)) AS parts, list_sort(regexp_extract_all(text, '\p{N}+')) AS numbers,
+  list_sort(list_transform(list_filter(w, lambda x, i: regexp_matches(x, '\p{Lu}') AND (i > 1 OR (length(x) > 1 AND regexp_full_match(x, '\p{Lu}+')))), lambda x: lower(x))) AS names FROM t)
+SELECT a.item_id AS a, a.words = b.words AND a.parts = b.parts AND a.numbers = b.numbers AND a.names = b.names AS agree FROM m a JOIN m b ON b.item_id = a.item_id + 1""")
 def semantic_guard(spark, sf_dir):
+    """Each benchmark item with the next: alike in what they deny, count and name?"""
     asked = tables.read(spark, sf_dir, "benchmark")
     pairs = asked.select(F.col("item_id").alias("a"), F.col("text").alias("ta")).join(asked.select((F.col("item_id") - 1).alias("a"), F.col("text").alias("tb")), "a")
     return pairs.select("a", scalar.questions_agree(F.col("ta"), F.col("tb")).alias("agree"))
@@ -586,3 +591,33 @@ def tier_merge(spark, sf_dir):
     lexical, semantic = names.filter("doc_id % 3 = 0").select("name", F.lit(0.3).alias("score")), names.filter("doc_id % 2 = 0").select("name", F.lit(0.7).alias("score"))
     return entry.merged_tiers(lexical, semantic)
 
+
+@query("SELECT 'tpch' AS context, 'order:' || l_orderkey AS source, 'association' AS what, count(DISTINCT (l_suppkey, l_partkey)) AS n FROM lineitem GROUP BY l_orderkey UNION ALL SELECT DISTINCT 'tpch', 'order:' || l_orderkey, 'header', 1 FROM lineitem")
+def import_preview(spark, sf_dir):
+    """What reading an export again would bring, by source and kind of line."""
+    path = new_path(spark, "export")
+    jsonl.write(jsonl.export_lines(tables.supplies(spark, sf_dir), "tpch"), path)
+    return jsonl.preview(jsonl.parsed(jsonl.lines(spark, path)))
+
+
+@query("""WITH m AS (SELECT 'order:' || o_orderkey AS source, CAST(o_orderkey % 5 AS INTEGER) AS paragraph, 'part ' || (o_orderkey % 3) AS section FROM orders)
+SELECT 'supplier:' || l_suppkey AS subject, 'part:' || l_partkey AS object, s.source, s.paragraph, section FROM (SELECT l_suppkey, l_partkey, 'order:' || l_orderkey AS source, CAST(arg_min(l_linenumber, l_linenumber) AS INTEGER) AS paragraph FROM lineitem GROUP BY ALL) s LEFT JOIN m ON m.source = s.source AND m.paragraph = s.paragraph""")
+def marked_attributions(spark, sf_dir):
+    """Attributions with the section of their paragraph, where one is marked."""
+    marks = tables.read(spark, sf_dir, "orders").select(F.lit("tpch").alias("context"), tables.named("order", "o_orderkey").alias("source"), (F.col("o_orderkey") % 5).cast("int").alias("paragraph"), F.concat(F.lit("part "), (F.col("o_orderkey") % 3).cast("string")).alias("section"), F.lit(None).cast("string").alias("locator"))
+    return match.decorated(fold.attributions(tables.supplies(spark, sf_dir)), marks).select("subject", "object", "source", "paragraph", "section")
+
+
+@query("SELECT 'region:' || n_regionkey AS context, 'supplier:' || l_suppkey AS subject, 'part:' || l_partkey AS object, count(*) AS count FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (1, 3) GROUP BY ALL")
+def stored_contexts(spark, sf_dir):
+    """Edges saved by context, two of the contexts read again."""
+    path = new_path(spark, "stored")
+    catalog.save(fold.edges(tables.regional(spark, sf_dir).assertions), path, "edges")
+    return catalog.load(spark, path, "edges", "region:1", "region:3").select("context", "subject", "object", "count")
+
+
+@query("SELECT 'copy' AS context, 'supplier:' || l_suppkey AS subject, 'part:' || l_partkey AS object, sum(CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) AS sum, count(*) AS count FROM lineitem WHERE l_orderkey IN (1, 2, 3, 32) GROUP BY ALL")
+def promoted_sources(spark, sf_dir):
+    """What four sources say, as edges of another context."""
+    wanted = [f"order:{i}" for i in (1, 2, 3, 32)]
+    return fold.edges(catalog.promoted(tables.supplies(spark, sf_dir), wanted, "copy")).select("context", "subject", "object", "sum", "count")

@@ -30,10 +30,11 @@ KINDS = {"header": "kb_batch", "group": "kb_group", "schema": "kb_schema", "pass
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of every line that isn't blank, numbered within its file.
 
-    Files are read whole, one a row, since a line's batch depends on those before it.
+    Files are read in splits, a line a row: a line's place is that of its split and its order there.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).filter(F.trim("value") != "")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    number = F.row_number().over(Window.partitionBy("file").orderBy("block", "place")) - 1
+    return rows.select("file", number.alias("line"), "value").filter(F.trim("value") != "")
 
 
 def parsed(rows: DataFrame, prefix: str = "kb") -> DataFrame:

@@ -156,3 +156,14 @@ def test_why_a_name_is_not_served(spark):
     assert [r.label for r in match.label_sample(edge, 1).collect()] == ["l"]
     assert [(r.name, r.total) for r in match.vocabulary(edge, kind="label", excluded=["l", "none"]).collect()] == [("m", 1)]
     assert scalar.folded([]) == scalar.FNV_OFFSET
+
+
+def test_lines_of_a_file_in_several_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f"line {i} {'x' * (i % 50)}\r\n" if i % 7 else "\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = jsonl.lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() >= 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        assert {r.line: r.value for r in rows.collect()} == {i: f"line {i} {'x' * (i % 50)}" for i in range(3000) if i % 7}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -511,7 +511,17 @@ def semantic_guard(spark, sf_dir):
     return pairs.select("a", scalar.questions_agree(F.col("ta"), F.col("tb")).alias("agree"))
 
 
-@query(None)
+UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '(?s)<nav[^>]*>.*?</nav>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<h[1-6][^>]*>', chr(1) || chr(2), 'g'), '<title[^>]*>', chr(1) || chr(3), 'g'),
+  '</?(?:p|li|td|th|blockquote|pre|div|article|section|br|tr|ul|ol|table|body|figcaption|dd|dt|title|h[1-6])(?:[ /][^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g') AS h FROM c),
+b AS (SELECT page_id, generate_subscripts(string_split(h, chr(1)), 1) AS i, unnest(string_split(h, chr(1))) AS x FROM m),
+k AS (SELECT page_id, i, CASE WHEN x LIKE chr(2) || '%' THEN 'head' WHEN x LIKE chr(3) || '%' THEN 'title' ELSE 'text' END AS kind, trim(regexp_replace(""" + UNESCAPED.format("x") + r""", '[\s\x02\x03\xA0]+', ' ', 'g')) AS text FROM b),
+f AS (SELECT *, last_value(CASE WHEN kind = 'head' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS section FROM k WHERE text <> ''),
+t AS (SELECT page_id, arg_min(text, i) AS title FROM f WHERE kind = 'title' GROUP BY page_id)
+SELECT page_id, coalesce(title, '') AS title, NULL::VARCHAR AS canonical, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS paragraph, section, text FROM f LEFT JOIN t USING (page_id) WHERE kind = 'text'""")
 def html_paragraphs(spark, sf_dir):
     return documents.html_paragraphs(tables.read(spark, sf_dir, "pages"))
 

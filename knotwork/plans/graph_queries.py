@@ -56,8 +56,8 @@ def query(sql: str | None):
     return register
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.edges(tables.graph(spark, sf_dir).assertions)
+def _edges(spark: SparkSession, sf_dir: str, subjects: list[str] | None = None, objects: list[str] | None = None) -> DataFrame:
+    return fold.edges(tables.graph(spark, sf_dir, subjects, objects).assertions)
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def attribution_fold(spark, sf_dir):
 
 @query(W + f"SELECT {ROW}, (SELECT list({{'source': source, 'weight': s.total / s.n, 'count': s.n, 'paragraph': paragraph}} ORDER BY s.first_seq, source) FROM shares s WHERE s.subject = e.subject AND s.label = e.label AND s.object = e.object) AS attributions FROM edges e WHERE object = '{PART}'")
 def attributed_recall(spark, sf_dir):
-    log = tables.supplies(spark, sf_dir).filter(F.col("object") == PART)
+    log = tables.supplies(spark, sf_dir, objects=[PART])
     out = fold.with_attributions(fold.edges(log), fold.attributions(log))
     return out.select(*TRIPLE, average(F.col("sum"), F.col("count")).alias("weight"), "count", "attributions")
 
@@ -98,12 +98,13 @@ def recall_cue(spark, sf_dir):
 
 @query(W + f"SELECT {ROW}, count(*) OVER () AS total FROM edges WHERE subject = '{CONCEPT}' AND label = 'supplies' ORDER BY abs(total / n) DESC, subject, label, object LIMIT 100")
 def query_pinned(spark, sf_dir):
-    return match.page(match.query_any(_edges(spark, sf_dir), [CONCEPT], ["supplies"])).select(*TRIPLE, "weight", "count", "total")
+    return match.page(match.query_any(_edges(spark, sf_dir, [CONCEPT]), [CONCEPT], ["supplies"])).select(*TRIPLE, "weight", "count", "total")
 
 
 @query(W + f"SELECT {ROW} FROM edges WHERE subject IN ('supplier:1', 'supplier:2', 'nobody') AND label = 'supplies' AND object IN ({', '.join(f"'part:{i}'" for i in range(60))})")
 def query_any(spark, sf_dir):
-    return _rows(match.query_any(_edges(spark, sf_dir), ["supplier:1", "supplier:2", "nobody"], ["provides"], [f"part:{i}" for i in range(60)], tables.nation_aliases(spark, sf_dir)))
+    subjects, objects = ["supplier:1", "supplier:2", "nobody"], [f"part:{i}" for i in range(60)]
+    return _rows(match.query_any(_edges(spark, sf_dir, subjects, objects), subjects, ["provides"], objects, tables.nation_aliases(spark, sf_dir)))
 
 
 @query(W + f""", ranked AS (SELECT {ROW}, count(*) OVER () AS total FROM edges WHERE label = 'supplies')
@@ -329,13 +330,14 @@ regional AS (SELECT context, subject, label, object, sum(weight) AS total, count
 
 @query(W + REGIONAL + f"SELECT context, {ROW}, count(*) OVER () AS total FROM regional WHERE context IN ('region:0', 'region:2', 'region:4') AND object = '{PART}' ORDER BY abs(total / n) DESC, context, subject, label, object LIMIT 100")
 def cross_recall(spark, sf_dir):
-    t = tables.regional(spark, sf_dir).within("region:0", "region:2", "region:4")
+    t = tables.regional(spark, sf_dir, [PART]).within("region:0", "region:2", "region:4")
     return match.page(match.recall(fold.edges(t.assertions), PART), contexts=True)
 
 
 @query(W + REGIONAL + f"SELECT context, {ROW}, count(*) OVER () AS total FROM regional WHERE object IN ('part:1', 'part:2', 'part:3') ORDER BY abs(total / n) DESC, context, subject, label, object LIMIT 100")
 def cross_query(spark, sf_dir):
-    return match.page(match.query_any(fold.edges(tables.regional(spark, sf_dir).assertions), objects=["part:1", "part:2", "part:3"]), contexts=True)
+    parts = ["part:1", "part:2", "part:3"]
+    return match.page(match.query_any(fold.edges(tables.regional(spark, sf_dir, parts).assertions), objects=parts), contexts=True)
 
 
 def region_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

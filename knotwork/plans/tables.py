@@ -9,6 +9,7 @@ vector).  A context is a value of a column, never a table of its own.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,9 +43,21 @@ def named(kind: str, key: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
-def supplies(spark: SparkSession, sf_dir: str, context: Column | None = None) -> DataFrame:
-    """supplier -supplies-> part, one assertion a line item, negative for returns."""
-    return read(spark, sf_dir, "lineitem").select(
+def keys(names: list[str] | None, kind: str) -> list[int] | None:
+    """The keys of those names that are of a kind; None stands for all."""
+    return None if names is None else [int(n.removeprefix(f"{kind}:")) for n in names if re.fullmatch(rf"{kind}:\d{{1,18}}", n)]
+
+
+def _keyed(df: DataFrame, column: str, wanted: list[int] | None) -> DataFrame:
+    """The rows of the wanted keys: a filter that reaches the files, as one on names made of keys can't."""
+    return df if wanted is None else df.filter(F.col(column).isin(wanted))
+
+
+def supplies(spark: SparkSession, sf_dir: str, context: Column | None = None, subjects: list[str] | None = None, objects: list[str] | None = None) -> DataFrame:
+    """supplier -supplies-> part, one assertion a line item, negative for returns; of the
+    subjects and objects named, if any are."""
+    rows = _keyed(_keyed(read(spark, sf_dir, "lineitem"), "l_suppkey", keys(subjects, "supplier")), "l_partkey", keys(objects, "part"))
+    return rows.select(
         (F.lit("tpch") if context is None else context).alias("context"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         named("supplier", "l_suppkey").alias("subject"),
@@ -63,11 +76,12 @@ def _unsourced(df: DataFrame, offset: int, key: str, subject: Column, label: str
     )
 
 
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def places(spark: SparkSession, sf_dir: str, subjects: list[str] | None = None, objects: list[str] | None = None) -> DataFrame:
     """Where customers, suppliers and nations lie; nobody attests it."""
-    customers = _unsourced(read(spark, sf_dir, "customer"), CUSTOMERS, "c_custkey", named("customer", "c_custkey"), "located_in", named("nation", "c_nationkey"))
-    suppliers = _unsourced(read(spark, sf_dir, "supplier"), SUPPLIERS, "s_suppkey", named("supplier", "s_suppkey"), "located_in", named("nation", "s_nationkey"))
-    nations = _unsourced(read(spark, sf_dir, "nation"), NATIONS, "n_nationkey", named("nation", "n_nationkey"), "part_of", named("region", "n_regionkey"))
+    of = lambda table, key, kind, place, where: _keyed(_keyed(read(spark, sf_dir, table), key, keys(subjects, kind)), place, keys(objects, where))
+    customers = _unsourced(of("customer", "c_custkey", "customer", "c_nationkey", "nation"), CUSTOMERS, "c_custkey", named("customer", "c_custkey"), "located_in", named("nation", "c_nationkey"))
+    suppliers = _unsourced(of("supplier", "s_suppkey", "supplier", "s_nationkey", "nation"), SUPPLIERS, "s_suppkey", named("supplier", "s_suppkey"), "located_in", named("nation", "s_nationkey"))
+    nations = _unsourced(of("nation", "n_nationkey", "nation", "n_regionkey", "region"), NATIONS, "n_nationkey", named("nation", "n_nationkey"), "part_of", named("region", "n_regionkey"))
     return customers.union(suppliers).union(nations)
 
 
@@ -107,15 +121,16 @@ def nation_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.union(label)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(supplies(spark, sf_dir).union(places(spark, sf_dir)), order_sources(spark, sf_dir), nation_aliases(spark, sf_dir))
+def graph(spark: SparkSession, sf_dir: str, subjects: list[str] | None = None, objects: list[str] | None = None) -> Tables:
+    """All there is, or what is said of the subjects and objects named."""
+    return Tables(supplies(spark, sf_dir, None, subjects, objects).union(places(spark, sf_dir, subjects, objects)), order_sources(spark, sf_dir), nation_aliases(spark, sf_dir))
 
 
-def regional(spark: SparkSession, sf_dir: str) -> Tables:
-    """The supplies as five contexts, one for each supplier's region."""
+def regional(spark: SparkSession, sf_dir: str, objects: list[str] | None = None) -> Tables:
+    """The supplies, or those of the objects named, as five contexts, one for each supplier's region."""
     suppliers = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     suppliers = suppliers.select(F.col("s_suppkey"), named("region", "n_regionkey").alias("home"))
-    log = supplies(spark, sf_dir).withColumn("s_suppkey", F.substring_index("subject", ":", -1).cast("long")).join(suppliers, "s_suppkey")
+    log = supplies(spark, sf_dir, None, None, objects).withColumn("s_suppkey", F.substring_index("subject", ":", -1).cast("long")).join(suppliers, "s_suppkey")
     return Tables(log.select(F.col("home").alias("context"), *ASSERTION[1:]), order_sources(spark, sf_dir))
 
 

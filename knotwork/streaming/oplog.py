@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,29 +33,65 @@ def merged(state: DataFrame | None, ops: DataFrame) -> DataFrame:
     return kept.select(*STATE).union(new.select(*STATE)).groupBy(*TRIPLE, "source").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"))
 
 
-class Fold:
-    """Keeps the shares of a stream of ops under ``path``, one version a batch.
+#: What ends shares of earlier batches: an edge, or all that a source said in a context.
+ENDED = "context string, subject string, label string, object string, source string, batch long"
+DELTA = "context string, subject string, label string, object string, source string, sum double, count long, batch long"
+MARK = "watermark long"
 
-    A batch's version is written under its own number from the version before it, so
-    a batch that runs again after a failure writes the same version once more.  Ops
-    at or below the watermark of that version are skipped.
+
+class Fold:
+    """Keeps the shares of a stream of ops under ``path``.
+
+    A batch writes what it adds, what it ends and how far it came, and no more: a share
+    stays as long as no later batch ends it.  Every ``every`` batches the whole state is
+    written as one table, so that reading it never takes more than so many others.  What
+    a batch writes has its number, and comes from the numbers before it, so a batch that
+    runs again after a failure writes the same once more.  Ops at or below the watermark
+    of the batch before are skipped.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, every: int = 16):
+        self.spark, self.path, self.every = spark, path, every
+
+    def _read(self, name: str, schema: str, numbers: Iterable[int]) -> DataFrame:
+        paths = [f"{self.path}/{name}-{n}" for n in numbers]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def version(self, number: int) -> DataFrame | None:
-        return None if number < 0 else self.spark.read.parquet(f"{self.path}/state-{number}")
+        """The shares after the batch of a number."""
+        if number < 0:
+            return None
+        base = (number + 1) // self.every * self.every - 1
+        if base == number:
+            return self._read("state", DELTA, [base]).select(*STATE)
+        return self._folded(base, number)
+
+    def _folded(self, base: int, number: int) -> DataFrame:
+        later = range(base + 1, number + 1)
+        shares = self._read("delta", DELTA, later)
+        if base >= 0:
+            shares = shares.union(self._read("state", DELTA, [base]))
+        ended = self._read("ended", ENDED, later)
+        of_edges = ended.filter("subject IS NOT NULL").groupBy(*TRIPLE).agg(F.max("batch").alias("edge_end"))
+        of_sources = ended.filter("subject IS NULL").groupBy("context", "source").agg(F.max("batch").alias("source_end"))
+        live = shares.join(of_edges, TRIPLE, "left").join(of_sources, ["context", "source"], "left")
+        live = live.filter((F.col("batch") >= F.coalesce("edge_end", F.lit(-1))) & (F.col("batch") >= F.coalesce("source_end", F.lit(-1))))
+        return live.groupBy(*TRIPLE, "source").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"))
 
     def __call__(self, ops: DataFrame, number: int) -> None:
-        state = self.version(number - 1)
-        if state is not None:
-            mark = state.agg(F.max("watermark").alias("mark"))
-            ops = ops.crossJoin(F.broadcast(mark)).filter("mark IS NULL OR seq > mark").drop("mark")  # one row
-            top = ops.agg(F.max("seq").alias("top")).crossJoin(mark).select(F.greatest("top", "mark").alias("watermark"))
-        else:
-            top = ops.agg(F.max("seq").alias("watermark"))
-        merged(state, ops).crossJoin(F.broadcast(top)).write.mode("overwrite").parquet(f"{self.path}/state-{number}")
+        before = self._read("mark", MARK, [number - 1] if number else [])
+        mark = before.agg(F.max("watermark").alias("mark"))
+        new = ops.crossJoin(F.broadcast(mark)).filter("mark IS NULL OR seq > mark").drop("mark")  # one row
+        batch = F.lit(number).cast("long").alias("batch")
+        none = F.lit(None).cast("string")
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.path}/{name}-{number}")
+        put(merged(None, new).select(*STATE, batch), "delta")
+        edges_ended = new.filter("op = 'retract_association'").select(*TRIPLE, none.alias("source"), batch)
+        sources_ended = new.filter("op = 'retract_source'").select("context", *(none.alias(c) for c in TRIPLE[1:]), "source", batch)
+        put(edges_ended.union(sources_ended).distinct(), "ended")
+        if (number + 1) % self.every == 0:
+            put(self._folded(number - self.every, number).select(*STATE, batch), "state")
+        put(new.agg(F.max("seq").alias("top")).crossJoin(F.broadcast(mark)).select(F.greatest("top", "mark").cast("long").alias("watermark")), "mark")  # a batch is complete once it has this
 
     def start(self, ops: DataFrame, checkpoint: str) -> StreamingQuery:
         return ops.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -121,29 +159,31 @@ def feed_page(events: DataFrame, context: str, epoch: int, since: str | None, li
     return rows, cursor(epoch, served), served < head["head"]
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The complete versions below a ``Fold``'s path, in order."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not files.exists(where):
-        return []
-    found = [f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith("state-")]
+def complete(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the tables of a name below a path that were written whole, in order."""
     made = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(p.getName().removeprefix("state-")) for p in found if files.exists(made(p, "_SUCCESS")))
+    files = made(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(made(path)):
+        return []
+    found = [f.getPath() for f in files.listStatus(made(path)) if f.getPath().getName().startswith(f"{name}-")]
+    return sorted(int(p.getName().removeprefix(f"{name}-")) for p in found if files.exists(made(p, "_SUCCESS")))
 
 
-def tail(spark: SparkSession, source: str, target: str) -> int | None:
-    """Lands the newest complete version of ``source`` in ``target``, unless it is there, and
-    drops what it takes the place of; readers of ``target`` take its newest complete version,
-    so they see a whole one at any time.  The number of the version, or None without one."""
-    newest = versions(spark, source)
+def tail(source: Fold, target: str) -> int | None:
+    """Lands the newest complete version of a fold as one table in ``target``, unless it is
+    there, and drops those it takes the place of; readers of ``target`` take its newest
+    complete table, so they see a whole version at any time.  The number of the version, or
+    None where there is none."""
+    spark = source.spark
+    newest = complete(spark, source.path, "mark")
     if not newest:
         return None
-    there = versions(spark, target)
+    there = complete(spark, target, "state")
     if newest[-1] not in there:
-        spark.read.parquet(f"{source}/state-{newest[-1]}").write.mode("overwrite").parquet(f"{target}/state-{newest[-1]}")
+        source.version(newest[-1]).write.mode("overwrite").parquet(f"{target}/state-{newest[-1]}")
+    made = spark._jvm.org.apache.hadoop.fs.Path
     for old in there:
         if old < newest[-1]:
-            where = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/state-{old}")
+            where = made(f"{target}/state-{old}")
             where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
     return newest[-1]

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -88,14 +89,39 @@ def test_feeds_by_cursor(spark):
     assert [r.seq for r in page(oplog.cursor(7, 10), 99)[0].collect()] == list(range(11, 21))
 
 
+def random_ops(spark, n, seed=2):
+    rng = random.Random(seed)
+    rows = []
+    for q in range(n):
+        op = rng.choice(["associate"] * 6 + ["retract_association", "retract_source"])
+        triple = (None, None, None) if op == "retract_source" else ("x", "l", rng.choice("abcd"))
+        rows.append(("c", q, op, *triple, float(rng.randrange(-3, 4)), rng.choice(["s", "t", None]) if op == "associate" else rng.choice(["s", "t"])))
+    return spark.createDataFrame(rows, "context string, seq long, op string, subject string, label string, object string, weight double, source string")
+
+
+def test_batches_write_what_they_change_alone(spark, tmp_path):
+    ops, state = random_ops(spark, 60), oplog.Fold(spark, str(tmp_path / "state"), every=3)
+    live = lambda df: sorted((r.object, r.sum, r["count"]) for r in df.filter("count > 0").collect())
+    for number in range(8):
+        batch = ops.filter(f"seq >= {number * 7 - 2} AND seq < {number * 7 + 7}")  # the first two come a second time
+        state(batch, number)
+        if number in (2, 4):
+            state(batch, number)  # runs again after a failure
+        assert live(oplog.edges(state.version(number))) == live(fold.apply_ops(ops.filter(f"seq < {number * 7 + 7}"))), number
+    names = {p.name for p in (tmp_path / "state").iterdir()}
+    assert {n for n in names if n.startswith("state")} == {"state-2", "state-5"} and {f"delta-{i}" for i in range(8)} <= names
+
+
 def test_tailing_lands_whole_versions(spark, tmp_path):
-    source, target = str(tmp_path / "from"), str(tmp_path / "to")
-    assert oplog.tail(spark, source, target) is None
-    for n in range(2):
-        spark.range(n + 1).write.parquet(f"{source}/state-{n}")
-        assert oplog.tail(spark, source, target) == n and oplog.versions(spark, target) == [n]
-    (tmp_path / "from" / "state-2").mkdir()  # begun and not complete
-    assert oplog.tail(spark, source, target) == 1 and spark.read.parquet(f"{target}/state-1").count() == 2
+    ops, source, target = random_ops(spark, 30, 3), oplog.Fold(spark, str(tmp_path / "from"), every=2), str(tmp_path / "to")
+    assert oplog.tail(source, target) is None
+    for n in range(3):
+        source(ops.filter(f"seq >= {n * 10} AND seq < {n * 10 + 10}"), n)
+        assert oplog.tail(source, target) == n and oplog.complete(spark, target, "state") == [n]
+        want = source.version(n)
+        assert sorted(map(str, spark.read.parquet(f"{target}/state-{n}").select(want.columns).collect())) == sorted(map(str, want.collect()))
+    (tmp_path / "from" / "mark-3").mkdir()  # begun and not complete
+    assert oplog.tail(source, target) == 2
 
 
 def test_only_changed_paragraphs_are_embedded(spark):

@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import released, sliced
 from knotwork.llm.shingles import blocks
 
-NO_RANK = np.int64(1 << 40)
+NO_RANK = np.int32(1 << 30)  # above every id
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of pieces whose rows merge one pair in a round; cells of a matrix; pieces that a worker remembers, and their ids.
-NARROW, CELLS, REMEMBERED, REMEMBERED_IDS = 64, 1 << 18, 1 << 18, 1 << 21
+NARROW, CELLS, REMEMBERED, REMEMBERED_IDS = 64, 1 << 18, 1 << 19, 1 << 22
 #: Bytes of text that are tokenised together.
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 19
 
 
 class PairTable:
@@ -52,7 +52,7 @@ class PairTable:
         self.shift = np.uint64(64 - bits)
         self.mask = np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, EMPTY, np.uint64)
-        self.values = np.full(1 << bits, NO_RANK, np.int64)
+        self.values = np.full(1 << bits, NO_RANK, np.int32)
         slots, left = self.home(keys), np.arange(len(keys))
         while len(left):
             at = slots[left]
@@ -101,7 +101,7 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             pool[self.starts[rank] : self.starts[rank] + len(token)] = token
         self.pool = np.frombuffer(bytes(pool), np.uint8)
-        self.bytes_of = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.bytes_of = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         keys, values = [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -109,7 +109,7 @@ class Vocabulary:
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     values.append(rank)
-        self.pairs = PairTable(np.array(keys, np.uint64), np.array(values, np.int64))
+        self.pairs = PairTable(np.array(keys, np.uint64), np.array(values, np.int32))
         self.encoders: dict[str, Encoder] = {}
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ class Vocabulary:
         counts = np.zeros(len(pieces), np.int64)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, matrix, counts
         lengths = np.array([len(p) for p in pieces], np.int64)
-        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int32)
         rows = np.flatnonzero(whole >= 0)
         done.append((rows, whole[rows][:, None], np.ones(len(rows), np.int64)))
         width = np.left_shift(4, np.maximum(0, np.ceil(np.log2(np.maximum(lengths, 1))) - 2).astype(np.int64))
@@ -139,12 +139,12 @@ class Vocabulary:
         return flat, offsets
 
     def _merge_rows(self, pieces: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        symbols = np.full((len(pieces), width), -1, np.int64)
+        symbols = np.full((len(pieces), width), -1, np.int32)
         symbols[np.arange(width) < lengths[:, None]] = self.bytes_of[np.frombuffer(b"".join(pieces), np.uint8)]
         counts = lengths.copy()
         out = symbols.copy()
         active = np.arange(len(pieces))
-        ranks = np.full((len(pieces), width), NO_RANK, np.int64)
+        ranks = np.full((len(pieces), width), NO_RANK, np.int32)
         ranks[:, :-1] = self.pairs.find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(pieces), width - 1)
         columns = np.arange(width)
         while len(active):
@@ -172,11 +172,11 @@ class Vocabulary:
 
     def _merge_wide(self, pieces: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """As ``_merge_rows``, but a row merges all its pairs of least rank that can't get in each other's way."""
-        out = np.full((len(pieces), width), -1, np.int64)
-        symbols = np.full((len(pieces), width + 2), -1, np.int64)  # two more, so that every place has two to its right
+        out = np.full((len(pieces), width), -1, np.int32)
+        symbols = np.full((len(pieces), width + 2), -1, np.int32)  # two more, so that every place has two to its right
         symbols[:, :width][np.arange(width) < lengths[:, None]] = self.bytes_of[np.frombuffer(b"".join(pieces), np.uint8)]
         counts, held, active = lengths.copy(), lengths.copy(), np.arange(len(pieces))
-        ranks = np.full(symbols.shape, NO_RANK, np.int64)
+        ranks = np.full(symbols.shape, NO_RANK, np.int32)
         ranks[:, :-1] = self.pairs.find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(pieces), -1)
         while True:
             best = ranks.min(1)
@@ -211,7 +211,7 @@ class Vocabulary:
             old_row, old = np.nonzero(keep)
             new = place[old_row, old]
             size = int(held.max()) + 2
-            closed, closed_ranks = np.full((len(active), size), -1, np.int64), np.full((len(active), size), NO_RANK, np.int64)
+            closed, closed_ranks = np.full((len(active), size), -1, np.int32), np.full((len(active), size), NO_RANK, np.int32)
             closed[old_row, new], closed_ranks[old_row, new] = symbols[old_row, old], ranks[old_row, old]
             symbols, ranks, at = closed, closed_ranks, place[row, at]
             ranks[row, at] = self.pairs.find(symbols[row, at], symbols[row, at + 1])

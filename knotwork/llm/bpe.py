@@ -293,6 +293,23 @@ def cut(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def parted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The offsets of texts, with places between in those longer than ``BLOCK_BYTES`` at which
+    a piece begins whatever comes before: a blank between two visible ASCII characters."""
+    out = [offsets]
+    for text in np.flatnonzero(np.diff(offsets) > BLOCK_BYTES):
+        at, end = int(offsets[text]) + BLOCK_BYTES, int(offsets[text + 1])
+        while at < end - 1:
+            part = data[at - 1 : min(at + BLOCK_BYTES, end)]
+            seen = (part > 32) & (part < 127)
+            free = np.flatnonzero((part[1:-1] == 32) & seen[:-2] & seen[2:])
+            if len(free):
+                at += int(free[0])
+                out.append(np.array([at]))
+            at += BLOCK_BYTES
+    return np.unique(np.concatenate(out)) if len(out) > 1 else offsets
+
+
 def _powers_to(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     if not _powers or len(_powers[0][0]) < n:
         _powers.clear()
@@ -348,6 +365,16 @@ class Encoder:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
+        bounds = parted(data, offsets)
+        ids, before = [], np.zeros(len(bounds), np.int64)  # ids before each bound
+        for begin, end in blocks(np.diff(bounds).tolist(), BLOCK_BYTES):
+            some, ends = self._block(data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin])
+            before[begin + 1 : end + 1] = before[begin] + ends[1:]
+            ids.append(some)
+        return np.concatenate([np.zeros(0, np.int32), *ids]), before[np.searchsorted(bounds, offsets)]
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts, given as bytes and offsets, and the offsets of each."""
         points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         heads = np.flatnonzero((data & 0xC0) != 0x80)  # where code points begin among the bytes
         begins = cut(points, np.searchsorted(heads, offsets[1:]))

@@ -72,6 +72,19 @@ def test_pieces_as_the_pattern_cuts_them():
         assert [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)], strict=True)] == want
 
 
+def test_long_texts_go_in_parts(own, vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 40)
+    rng = random.Random(11)
+    bits = ["word", "don't", "é", " ", "  ", "\n", " \n ", "'s", "12", " x", " y's", "日本", "!", "\u00a0", "a b c d e f"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(120))) for _ in range(60)] + ["", None, "x" * 500, "a " * 300]
+    encoder = bpe.Encoder(vocabulary, P.PATTERN)
+    ids, offsets = encoder.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == own.encode_ordinary(text or ""), text
+    data = np.frombuffer(("a " * 300).encode(), np.uint8)
+    assert len(bpe.parted(data, np.array([0, 600]))) > 10
+
+
 def test_equal_hashes_do_not_mix_pieces_up(own, vocabulary, monkeypatch):
     plain = bpe.hashes
     monkeypatch.setattr(bpe, "hashes", lambda *a: [plain(*a)[0] % np.uint64(50), plain(*a)[1]])

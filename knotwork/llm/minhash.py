@@ -22,7 +22,7 @@ standard deviations of it; it is then confirmed on the full sets.  Pairs within
 a component are not made, since they can't change it.
 
 A pair of sets at exactly 75 percent shares no band with a probability of 1.2e-8
-(0.6836 to the 48th power) and falls below the estimate's bound with one of 1e-9.
+(0.6836 to the 48th power) and falls below the estimate's bound with one of 3e-9.
 
 Defined results: a null or blank text has an empty set, links with nothing and is
 kept; equal sets link whatever their size; rows that repeat a doc_id, with the same

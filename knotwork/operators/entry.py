@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalar import bigrams, containment, cosine, dice, normalized
+from knotwork.operators import vectors
 from knotwork.plans.stage import staged
 
 DICE_FLOOR, TWIN_FLOOR, CONFIDENT = 0.3, 0.6, 0.5
@@ -160,15 +161,9 @@ def merged_tiers(lexical: DataFrame, semantic: DataFrame, confident: float = CON
     return lexical.select("name", "score", F.lit("lexical").alias("tier")).union(extra.select("name", "score", F.lit("semantic")))
 
 
-def semantic_twins(vectors: DataFrame, floor: float, limit: int = 100, most: int = 2000) -> DataFrame:
-    """(a, b, score): the closest pairs of at most ``most`` names.  Above that number
-    the audit is refused, since it compares all pairs."""
-    if vectors.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} names: use an index instead")
-    a = vectors.select(F.col("name").alias("a"), F.col("vector").alias("va"))
-    b = vectors.select(F.col("name").alias("b"), F.col("vector").alias("vb"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("score"))
-    return pairs.filter(F.col("score") >= floor).orderBy(F.desc("score"), "a", "b").limit(limit)
+def semantic_twins(named: DataFrame, floor: float, limit: int = 100) -> DataFrame:
+    """(a, b, score): the closest pairs of all names (name, vector), by their cosine in six decimals."""
+    return vectors.closest_pairs(named, floor, limit)
 
 
 def calibrated_floor(probes: DataFrame) -> DataFrame:

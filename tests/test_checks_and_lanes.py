@@ -327,3 +327,19 @@ def test_large_groups_and_files_are_refused_aloud(spark, tmp_path):
     (tmp_path / "b.txt").write_text("x" * 50)
     got = {r.source: (r.text, r.refused) for r in documents.discover(spark, str(tmp_path), 20).collect()}
     assert got == {"a.md": ("small", None), "b.txt": (None, "50 bytes, 20 at most")}
+
+
+def test_twins_are_found_among_any_number_of_names(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2600, 8))
+    x[100:160] = x[7]  # more pairs of copies than are asked for
+    x[2500] = 0.0
+    rows = spark.createDataFrame([(f"n{i}", v.tolist()) for i, v in enumerate(x)], "name string, vector array<double>").repartition(3)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    scores, names = np.round(unit @ unit.T, 6), [f"n{i}" for i in range(len(x))]
+    for limit in (5, 100, 3000):
+        edge = np.sort(scores[np.triu_indices(len(x), 1)])[-limit]
+        want = sorted((-scores[i, j], *sorted((names[i], names[j]))) for i, j in zip(*np.nonzero(scores >= edge), strict=True) if i < j)[:limit]
+        assert [(-r.score, r.a, r.b) for r in entry.semantic_twins(rows, 0.3, limit).collect()] == want
+    assert entry.semantic_twins(rows.limit(1), 0.3).collect() == []
